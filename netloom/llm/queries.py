@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, sharding, simhash, token_files
+from . import common, fingerprints, licences, packing, sharding, simhash, token_files
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(common.documents(spark, sf_dir))
 
 
+def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(common.documents(spark, sf_dir))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.documents(spark, sf_dir))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
@@ -26,6 +34,6 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op8_simhash_components, op10_hilbert_shards)
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op4_multiset_fingerprints, op6_licence_scan, op8_simhash_components, op10_hilbert_shards)
 }
 ORACLE_SQL: dict[str, str] = {}
