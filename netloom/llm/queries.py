@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, fingerprints, licences, packing, sharding, simhash, token_files
+from . import common, fingerprints, licences, packing, sharding, simhash, suffixes, token_files
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(common.documents(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(common.documents(spark, sf_dir))
+
+
 def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(common.documents(spark, sf_dir))
 
@@ -34,6 +38,6 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op4_multiset_fingerprints, op6_licence_scan, op8_simhash_components, op10_hilbert_shards)
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_suffix_array_dedup, op4_multiset_fingerprints, op6_licence_scan, op8_simhash_components, op10_hilbert_shards)
 }
 ORACLE_SQL: dict[str, str] = {}
