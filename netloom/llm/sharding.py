@@ -60,7 +60,7 @@ def ordinal(column: str, kind: str):
 def cells(df: DataFrame, names: list[str], bits: int = BITS) -> list[list[float]]:
     """For each dimension the at most 2^bits - 1 distinct quantiles at which it is cut."""
     at = [k / 2**bits for k in range(1, 2**bits)]
-    row = df.agg(*[F.percentile_approx(n, at, 10_000).alias(n) for n in names]).first()
+    row = df.agg(*[F.percentile_approx(n, at, 1000).alias(n) for n in names]).first()
     return [sorted(set(row[n] or [])) for n in names]
 
 
