@@ -118,7 +118,8 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
 def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece's sequence and place there."""
     path = path or tokens.vocabulary()
-    ranked = common.in_order(pieces(df, path, capacity, end_id), ["length", "doc_id", "piece", "ids_crc32"], name="pieces")
+    cut = common.keep(pieces(df, path, capacity, end_id), "pieces")  # written first: dealing by range would tokenise twice, once for its sample
+    ranked = common.in_order(cut, ["length", "doc_id", "piece", "ids_crc32"], name="ranked")
     histogram = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}
     where = places(histogram, plan(histogram, capacity))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
 
-#: Chunks that are remembered in a worker before it starts afresh.
-REMEMBERED = 400_000
-_plain_space = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces that a worker remembers, in two generations: the older half goes, but for what was seen again.
+REMEMBERED = 1_000_000
 _open: dict[str, "Encoder"] = {}
 
 
@@ -23,19 +22,21 @@ class Encoder:
 
     A pre-token of this tokenizer takes a space at its front only, so a text falls at every single space between two
     other characters into pieces with ids of their own. Pieces repeat; each worker asks the tokenizer once for each and
-    remembers the answer. A text with white space of any other shape around its spaces is cut there more carefully, and
-    tests/llm hold all of it against the ids of whole texts.
+    remembers the answer. A text with white space of any other shape around its spaces is encoded as a whole; tests/llm
+    hold all of it against the ids of whole texts.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        #: Piece to the ids of a space and the piece; None for a piece that touches other white space.
-        self.known: dict[str, bytes | None] = {}
+        #: Piece to the ids of a space and the piece; False for a piece that touches other white space.
+        self.known: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -44,7 +45,7 @@ class Encoder:
         clean = []
         for p in pieces:
             if not p or p[0].isspace() or p[-1].isspace():
-                self.known[p] = None
+                self.known[p] = False
             else:
                 clean.append(p)
         groups = [clean[at : at + 5000] for at in range(0, len(clean), 5000)]
@@ -57,38 +58,40 @@ class Encoder:
             data, bounds = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
             self.known.update(zip(group, map(data.__getitem__, map(slice, bounds, bounds[1:]))))
 
+    def ready(self, pieces: set[str]) -> None:
+        """Put `pieces` into `known`: from the generation before, else from the tokenizer."""
+        new = []
+        for p in pieces:
+            ids = self.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        if new:
+            self.learn(new)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        known = self.known
         for at in range(0, len(texts), 64):
+            if len(self.known) > REMEMBERED // 2:
+                self.old, self.known = self.known, {}
+            known = self.known
             cut = [t.split(" ") for t in texts[at : at + 64]]
-            if len(known) > REMEMBERED:
-                known.clear()
-            if new := {p for pieces in cut for p in pieces[1:] if p not in known}:
-                self.learn(list(new))
-            for text, pieces in zip(texts[at : at + 64], cut):
-                found = list(map(known.__getitem__, pieces[1:]))
+            first = [pieces.pop(0) for pieces in cut]
+            found = [list(map(known.get, pieces)) for pieces in cut]
+            if missing := {p for pieces, ids in zip(cut, found) for p, x in zip(pieces, ids) if x is None}:
+                self.ready(missing)
+            for text, head, pieces, ids in zip(texts[at : at + 64], first, cut, found):
+                if None in ids:
+                    ids = [known[p] if x is None else x for p, x in zip(pieces, ids)]
                 if not text:
                     out.append(b"")
-                elif len(pieces) == 1:
+                elif not pieces or not head or head[-1].isspace() or False in ids:
                     out.append(self.whole(text))
-                elif None in found or not pieces[0] or pieces[0][-1].isspace():
-                    out.append(self.careful(text))
                 else:
-                    out.append(self.whole(pieces[0]) + b"".join(found))
+                    out.append(self.whole(head) + b"".join(ids))
         return out
 
-    def careful(self, text: str) -> bytes:
-        """Cut only at spaces between two characters that aren't white space."""
-        first, *rest = _plain_space.split(text)
-        if new := {p for p in rest if p not in self.known}:
-            self.learn_odd(list(new))
-        return self.whole(first) + b"".join(self.known[p] or self.whole(" " + p) for p in rest)
-
-    def learn_odd(self, pieces: list[str]) -> None:
-        """Pieces of a careful cut may hold runs of white space inside."""
-        self.known.update((p, self.whole(" " + p)) for p in pieces)
-
 
 def encoder(path: str) -> Encoder:
     if path not in _open:
