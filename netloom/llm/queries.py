@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, fingerprints, licences, packing, sharding, simhash, suffixes, token_files
+from . import common, decontaminate, fingerprints, licences, packing, sharding, simhash, suffixes, token_files, toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +29,24 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_suffix_array_dedup, op4_multiset_fingerprints, op6_licence_scan, op8_simhash_components, op10_hilbert_shards)
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_suffix_array_dedup, op4_multiset_fingerprints, op6_licence_scan, op7_toxicity, op8_simhash_components, op9_benchmark_decontamination, op10_hilbert_shards)
 }
 ORACLE_SQL: dict[str, str] = {}
