@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, fingerprints, licences, packing, sharding, simhash, suffixes, token_files, toxicity
+from . import common, decontaminate, fingerprints, html, licences, packing, sharding, simhash, suffixes, token_files, toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(common.documents(spark, sf_dir))
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.documents(spark, sf_dir))
 
@@ -47,6 +51,6 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_suffix_array_dedup, op4_multiset_fingerprints, op6_licence_scan, op7_toxicity, op8_simhash_components, op9_benchmark_decontamination, op10_hilbert_shards)
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_suffix_array_dedup, op4_multiset_fingerprints, op5_wrapper_induction, op6_licence_scan, op7_toxicity, op8_simhash_components, op9_benchmark_decontamination, op10_hilbert_shards)
 }
 ORACLE_SQL: dict[str, str] = {}
