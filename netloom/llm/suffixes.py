@@ -12,7 +12,7 @@ Before anything is shuffled, a task keeps only the first of the segments that re
 reports the others as removed, so that a passage in a third of all documents arrives as a row for each piece of input.
 Hashes with over CROWD different segments skip the sorting: their windows are filed one by one, by the whole window.
 
-Documents are ordered by doc_id; rows of one doc_id by their texts. Nulls and empty texts have no bytes. Equal rows are
+Documents are ordered by doc_id; rows of one doc_id by a hash of their texts. Nulls and empty texts have no bytes. Equal rows are
 documents of their own: the later ones go like any copy. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -25,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 LENGTH, GRAM = 100, 32
 #: Different segments of one hash that are sorted together at most; bytes of a shard's text at most, and of a piece of input.
-CROWD, SHARD, PIECE = 4000, 1 << 20, 8 << 20
-#: Windows of a segment at most.
-LONG = 1 << 14
+CROWD, SHARD, PIECE = 128, 4 << 20, 2 << 20
+#: Windows of a segment at most, and of all segments under one hash that are sorted together.
+LONG, MASS = 1 << 12, 1 << 14
 SEGMENT = "v long, s long, rid long, start int, n int"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -40,100 +41,165 @@ _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 # --- suffix array -------------------------------------------------------------------------------------------------------
 
 
-def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array of `s` (numbers below sigma) by induced sorting; the end sorts before every number."""
-    n = len(s)
+def suffix_arrays(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix arrays of the columns of `s` (length, strings), numbers below sigma, by induced sorting; the end sorts before
+    every number. Zeros behind a shorter string act as its end. All strings go step by step together."""
+    n, width = s.shape
+    sa = np.zeros((n, width), np.int32)
     if n < 2:
-        return np.arange(n)
-    rises = np.sign(np.diff(s.astype(np.int64)))
-    known = np.flatnonzero(rises)
-    small = np.zeros(n, bool)  # S-type: smaller than the suffix behind it
-    after = np.searchsorted(known, np.arange(n - 1))
-    inner = after < len(known)
-    small[: n - 1][inner] = rises[known[after[inner]]] > 0
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    counts = np.bincount(s, minlength=sigma)
-    ends = np.cumsum(counts)
-    text, kind = s.tolist(), small.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa, tail = [-1] * n, ends.tolist()
-        for j in reversed(order):
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-        head = (ends - counts).tolist()
-        c = text[n - 1]
-        sa[head[c]] = n - 1  # the suffix before the end comes first in its bucket
-        head[c] += 1
-        for j in sa:
-            if j > 0 and not kind[j - 1]:
-                c = text[j - 1]
-                sa[head[c]] = j - 1
-                head[c] += 1
-        tail = ends.tolist()
-        for j in reversed(sa):
-            if j > 0 and kind[j - 1]:
-                c = text[j - 1]
-                tail[c] -= 1
-                sa[tail[c]] = j - 1
         return sa
+    column = np.arange(width)
+    small = np.zeros((n, width), bool)  # S-type: smaller than the suffix behind it
+    for j in range(n - 2, -1, -1):
+        small[j] = (s[j] < s[j + 1]) | ((s[j] == s[j + 1]) & small[j + 1])
+    lms = np.zeros((n, width), bool)
+    lms[1:] = small[1:] & ~small[:-1]
+    bucket = column * sigma  # buckets of all strings in one row
+    counts = np.bincount((s + bucket[None, :]).ravel(), minlength=sigma * width).reshape(width, sigma)
+    ends = np.cumsum(counts, axis=1)
+    heads, ends = (ends - counts).ravel(), ends.ravel()
+    text, kind, flat = s.ravel(), small.ravel(), sa.ravel()
+
+    def induce(order: np.ndarray) -> None:
+        """order: (k, strings), the leftmost-smaller places of each string sorted, -1 behind them."""
+        flat.fill(-1)
+        room = ends.copy()
+        for r in range(len(order) - 1, -1, -1):
+            at = np.flatnonzero(order[r] >= 0)
+            j = order[r][at]
+            q = bucket[at] + text[j * width + at]
+            room[q] -= 1
+            flat[room[q] * width + at] = j
+        room = heads.copy()
+        q = bucket + s[n - 1]
+        flat[room[q] * width + column] = n - 1  # the suffix before the end comes first in its bucket
+        room[q] += 1
+        for i in range(n):
+            at = np.flatnonzero(sa[i] > 0)
+            k = sa[i][at] - 1
+            where = k * width + at
+            large = ~kind[where]
+            at, k = at[large], k[large]
+            q = bucket[at] + text[where[large]]
+            p = room[q]
+            flat[p * width + at] = k
+            room[q] = p + 1
+        room = ends.copy()
+        for i in range(n - 1, -1, -1):
+            at = np.flatnonzero(sa[i] > 0)
+            k = sa[i][at] - 1
+            where = k * width + at
+            less = kind[where]
+            at, k = at[less], k[less]
+            q = bucket[at] + text[where[less]]
+            p = room[q] - 1
+            flat[p * width + at] = k
+            room[q] = p
+
+    def stacked(col: np.ndarray, value: np.ndarray, many: np.ndarray, fill: int) -> np.ndarray:
+        """Values in order of their strings as columns, `fill` behind them."""
+        out = np.full((int(many.max(initial=0)), width), fill, np.int32)
+        first = np.cumsum(many) - many
+        out[np.arange(len(col)) - first[col], col] = value
+        return out
+
+    col, place = np.nonzero(lms.T)
+    many = np.bincount(col, minlength=width)
+    if len(col):
+        induce(stacked(col, place, many, -1))
+        ranked = sa.T[lms.ravel()[(sa * width + column[None, :])].T]  # string by string, their places sorted by substring
+        until = np.full(n * width, n + 1, np.int64)
+        same_string = col[1:] == col[:-1]
+        until[(place * width + col)[:-1][same_string]] = place[1:][same_string]
+        x, y = ranked[:-1].astype(np.int64), ranked[1:].astype(np.int64)
+        long = until[x * width + col[:-1]] - x
+        alike = same_string & (long == until[y * width + col[1:]] - y) & (x + long <= n) & (y + long <= n)
+        open_ = np.flatnonzero(alike)
+        d = 0
+        while len(open_):
+            c = col[open_]
+            equal = text[(x[open_] + d) * width + c] == text[(y[open_] + d) * width + c]
+            alike[open_[~equal]] = False
+            open_ = open_[equal & (d < long[open_])]
+            d += 1
+        name = np.concatenate(([0], np.cumsum(~alike)))
+        first = np.cumsum(many) - many
+        name = name - np.repeat(name[first[many > 0]], many[many > 0]) + 1
+        named = np.zeros(n * width, np.int64)
+        named[ranked.astype(np.int64) * width + col] = name
+        short = named[place * width + col]
+        tied = np.flatnonzero(np.bincount(col[1:][alike], minlength=width) > 0)
+        order = stacked(col, ranked, many, -1)
+        if len(tied):
+            reduced = stacked(col, short, many, 0)[:, tied]
+            places = stacked(col, place, many, -1)
+            sub = suffix_arrays(reduced, int(reduced.max()) + 1)
+            for r, c in enumerate(tied.tolist()):
+                m = many[c]
+                order[:m, c] = places[sub[len(reduced) - m :, r], c]
+        induce(order)
+    else:
+        induce(np.zeros((0, width), np.int32))
+    return sa
+
+
+def prefix_reaches(data: np.ndarray, before: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For each place `at` of a text, taken in text order, whether it shares `length` bytes with the place `before` that precedes it in its suffix array."""
+    order = np.argsort(at, kind="stable")
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
+    out = np.zeros(len(at), bool)
+    for k in range(0, len(order), 50_000):
+        o = order[k : k + 50_000]
+        o = o[(data[at[o]] == data[before[o]]) & (data[at[o] + length - 1] == data[before[o] + length - 1])]
+        out[o] = (view[at[o]] == view[before[o]]).all(axis=1)
+    return out
+
 
-    if not len(lms):
-        return np.array(induce([]))
-    if len(lms) > 1:
-        once = np.array(induce(lms.tolist()))
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        ranked = once[is_lms[once]]
-        behind = np.full(n, n)
-        behind[lms[:-1]] = lms[1:] + 1
-        raw = s.astype("<u4").tobytes()
-        parts = [raw[4 * a : 4 * b] for a, b in zip(ranked.tolist(), behind[ranked].tolist())]
-        names = np.zeros(n, np.int64)
-        names[ranked[1:]] = np.cumsum([a != b for a, b in zip(parts, parts[1:])])
-        short = names[lms]
-        most = int(short.max()) + 1
-        if most == len(lms):
-            lms = ranked
-        else:
-            lms = lms[suffix_array(short, most)]
-    return np.array(induce(lms.tolist()))
-
-
-def common_prefix_reaches(s: np.ndarray, sa: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
-    """Permuted, in text order: for each start whether it shares `length` numbers with the suffix before it in the array."""
-    phi = np.full(len(s), -1)
-    phi[sa[1:]] = sa[:-1]
-    reach = np.zeros(len(s), bool)
-    at = np.flatnonzero(valid & (phi >= 0) & (phi <= len(s) - length))
-    view = np.lib.stride_tricks.sliding_window_view(s, length)
-    for k in range(0, len(at), 20_000):
-        i = at[k : k + 20_000]
-        i = i[s[i + length - 1] == s[phi[i] + length - 1]]
-        reach[i] = (view[i] == view[phi[i]]).all(axis=1)
-    return reach
-
-
-def repeated(segments: list[bytes], rid: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rid, start, n): windows of `segments`, which stand at (rid, start), that also stand at an earlier place of them."""
-    sizes = np.array([len(x) for x in segments])
-    s = np.zeros(int(sizes.sum()) + len(segments), np.uint16)
-    edge = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-    own = np.repeat(np.arange(len(segments)), sizes + 1)
-    inside = np.arange(len(s)) - edge[own]
-    s[inside < sizes[own]] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
-    valid = inside + length <= sizes[own]
-    sa = suffix_array(s, 257)
-    reach = common_prefix_reaches(s, sa, length, valid)
-    group = np.cumsum(~reach[sa])
-    windows = valid[sa]
-    group, at = group[windows], sa[windows]
-    seg = own[at]
-    place = start[seg] + inside[at]
-    order = np.lexsort((place, rid[seg], group))
-    late = np.concatenate(([False], group[order][1:] == group[order][:-1]))
-    gone = np.sort(at[order][late])  # in text order, so that neighbours join into one range
+def repeated(groups: list[list[tuple[int, int, bytes]]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, start, n): windows of each group's segments (rid, start, bytes) that also stand at an earlier place of the same group."""
+    sizes = [sum(len(b) + 1 for _, _, b in g) for g in groups]
+    out = []
+    at = 0
+    order = np.argsort(sizes, kind="stable").tolist()
+    while at < len(order):  # groups of about one size side by side
+        end = at + 1
+        while end < len(order) and end - at < 4096 and sizes[order[end]] <= 1.25 * sizes[order[at]] + 64 and (end - at + 1) * sizes[order[end]] <= 1 << 20:
+            end += 1
+        out.append(_repeated([groups[k] for k in order[at:end]], [sizes[k] for k in order[at:end]], length))
+        at = end
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
+
+
+def _repeated(groups, sizes, length):
+    segs = [x for g in groups for x in g]
+    many = np.array([len(g) for g in groups])
+    size = np.array([len(b) for _, _, b in segs])
+    data = np.frombuffer(b"\0".join([b for _, _, b in segs]) + b"\0", np.uint8)
+    edge = np.cumsum(size + 1) - (size + 1)
+    own = np.repeat(np.arange(len(segs)), size + 1)
+    inside = np.arange(len(data)) - edge[own]
+    group = np.repeat(np.arange(len(groups)), many)[own]
+    base = np.cumsum(sizes) - sizes
+    n = max(sizes)
+    s = np.zeros((n, len(groups)), np.int32)
+    s[np.arange(len(data)) - base[group], group] = np.where(inside < size[own], data.astype(np.int32) + 1, 0)
+    sa = suffix_arrays(s, 257).T  # a row for each group
+    real = sa < np.array(sizes)[:, None]
+    flat = (sa + base[:, None])[real]
+    flat = flat[(inside + length <= size[own])[flat]]  # windows, in the order of their groups' suffix arrays
+    if not len(flat):
+        return (np.zeros(0, np.int64),) * 3
+    meets = np.zeros(len(flat), bool)
+    meets[1:] = group[flat[1:]] == group[flat[:-1]]
+    k = np.flatnonzero(meets)
+    meets[k] = prefix_reaches(data, flat[k - 1], flat[k], length)
+    run = np.cumsum(~meets)
+    rid, start = np.array([r for r, _, _ in segs], np.int64), np.array([a for _, a, _ in segs], np.int64)
+    place = start[own[flat]] + inside[flat]
+    o = np.lexsort((place, rid[own[flat]], run))
+    late = np.zeros(len(o), bool)
+    late[1:] = run[o][1:] == run[o][:-1]
+    gone = np.sort(flat[o][late])
     return joined(rid[own[gone]], start[own[gone]] + inside[gone], own[gone])
 
 
@@ -311,7 +377,7 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
                     size, mass = np.repeat(each, each), np.repeat(np.add.reduceat(np.abs(done[4]).astype(np.int64), cut), each)
                     many = (size > 1) | (done[4] < 0)
                     if many.any():
-                        yield _batch(FOUND, *[x[many] for x in done[:4]], np.abs(done[4][many]), np.where((size[many] > crowd) | (mass[many] > SHARD), 2, 1))
+                        yield _batch(FOUND, *[x[many] for x in done[:4]], np.abs(done[4][many]), np.where((size[many] > crowd) | (mass[many] > MASS), 2, 1))
                 held, held_n, held_v, crowded = [tuple(x[tail:] for x in rows)], len(rows[0]) - tail, rows[0][-1], False
             if held_n > crowd:
                 crowded = True
@@ -324,19 +390,19 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
         columns = [np.concatenate([h[k] for h in held]) for k in range(5)] if n else []
         if n and (n > 1 or crowded or columns[4][0] < 0):
             size = np.abs(columns[4])
-            yield _batch(FOUND, *columns[:4], size, np.full(n, 2 if crowded or size.sum(dtype=np.int64) > SHARD else 1))
+            yield _batch(FOUND, *columns[:4], size, np.full(n, 2 if crowded or size.sum(dtype=np.int64) > MASS else 1))
 
     dealt = df.repartition("v").sortWithinPartitions("v", "s", "rid", "start")
     return dealt.mapInArrow(judge, FOUND)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """rid, doc_id, text: rid orders the rows. It is doc_id itself where that tells all rows apart, else a place in the order (doc_id, text)."""
-    rows = common.plain(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+def numbered(df: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """rid, doc_id, text: rid orders the rows. It is doc_id itself where that tells all rows apart, else a place in the order of doc_id and a hash of the text."""
+    rows = common.plain(df, "doc_id", "text", *(more or [])).withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"]:
         return rows.withColumn("rid", F.col("doc_id"))
-    return common.in_order(rows, ["doc_id", "text"], name="numbered").withColumnRenamed("before", "rid")
+    return common.in_order(rows.withColumn("_tie", F.xxhash64("text")), ["doc_id", "_tie"], name="numbered").withColumnRenamed("before", "rid").drop("_tie")
 
 
 def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -370,23 +436,19 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     pieces = common.keep(texts.join(common.keep(asked, "asked"), "rid").select("rid", "text", "asked").mapInArrow(cut, "v long, rid long, start int, kind int, bytes binary"), "pieces")
 
     def sort(batches):
-        v_of, rows_v, size = None, [], 0
-
-        def shards(rows):
-            if rows:
-                r, a, b = zip(*rows)
-                got = repeated(list(b), np.array(r, np.int64), np.array(a, np.int64), length)
-                yield _batch(RANGE, *got)
-
+        v_of, groups, size = None, [], 0
         for batch in batches:
             for v, r, a, b in zip(batch.column("v").to_pylist(), batch.column("rid").to_pylist(), batch.column("start").to_pylist(), batch.column("bytes").to_pylist()):
-                if v != v_of and size >= SHARD:
-                    yield from shards(rows_v)
-                    rows_v, size = [], 0
-                v_of = v
-                rows_v.append((r, a, b))
+                if v != v_of:
+                    if size >= SHARD:
+                        yield _batch(RANGE, *repeated(groups, length))
+                        groups, size = [], 0
+                    groups.append([])
+                    v_of = v
+                groups[-1].append((r, a, b))
                 size += len(b)
-        yield from shards(rows_v)
+        if groups:
+            yield _batch(RANGE, *repeated(groups, length))
 
     sorted_out = pieces.where("kind = 1").drop("kind").repartition("v").sortWithinPartitions("v", "rid", "start").mapInArrow(sort, RANGE)
 
@@ -456,14 +518,20 @@ def digests(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     return removed(df, length, gram, crowd).select("doc_id", "text", "gone").mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def texts_kept(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id and the text that is left; a character that loses some of its bytes goes whole."""
+def rows_kept(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """The rows of `df`, all columns, with the text that is left; a character that loses some of its bytes goes whole."""
+    others = [c for c in df.columns if c != "text"]
+    rows = numbered(df, [c for c in others if c != "doc_id"])
+    gone = common.keep(ranges(rows, length, gram, crowd).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
+    schema = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in df.schema.fields])
 
     def cut(batches):
         for batch in batches:
             out = []
             for text, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()):
                 out.append(kept_bytes(text, spans(len(text), gone, length)).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+            columns = [pa.array(out, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return removed(df, length, gram, crowd).select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, text string")
+    joined = rows.join(gone, "rid", "left").withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType))
+    return joined.select(*df.columns, "gone").mapInArrow(cut, schema)
