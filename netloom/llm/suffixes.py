@@ -10,7 +10,8 @@ window, and all but its first place go.
 
 Before anything is shuffled, a task keeps only the first of the segments that repeat in the text it has read and
 reports the others as removed, so that a passage in a third of all documents arrives as a row for each piece of input.
-Hashes with over CROWD different segments skip the sorting: their windows are filed one by one, by the whole window.
+Hashes with over CROWD different segments are filed anew under longer strings, and what still crowds then window by
+window, without sorting.
 
 Documents are ordered by doc_id; rows of one doc_id by a hash of their texts. Nulls and empty texts have no bytes. Equal rows are
 documents of their own: the later ones go like any copy. An empty table gives no rows. Extra columns are ignored.
@@ -19,7 +20,6 @@ documents of their own: the later ones go like any copy. An empty table gives no
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,14 @@ from pyspark.sql import types as T
 from . import common
 
 LENGTH, GRAM = 100, 32
+#: Grams of further filings, for hashes with too many different segments: what crowds under one mostly parts under the next.
+FINER = (72, 90, 97)
 #: Different segments of one hash that are sorted together at most; bytes of a shard's text at most, and of a piece of input.
-CROWD, SHARD, PIECE = 128, 4 << 20, 2 << 20
+CROWD, SHARD, PIECE = 48, 24 << 20, 8 << 20
+#: Bytes that are hashed together: arrays of that size stay in a core's cache.
+BLOCK = 1 << 18
 #: Windows of a segment at most, and of all segments under one hash that are sorted together.
-LONG, MASS = 1 << 12, 1 << 14
+LONG, MASS = 1 << 12, 1 << 13
 SEGMENT = "v long, s long, rid long, start int, n int"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -299,29 +303,35 @@ def segments(texts: list[bytes], rid: np.ndarray, length: int, gram: int) -> tup
     return low[at], s, rid[doc], at - edge[doc], np.where(periodic | (n > wide), -n, n)
 
 
-def split(texts: list[bytes], rid: np.ndarray, length: int, gram: int):
-    """The segments of a piece of input: which of them to send on, the first of each content, and which are gone here already."""
-    v, s, r, start, n = segments(texts, rid, length, gram)
-    order = np.lexsort((start, r, s, v))
-    same = np.zeros(len(v), bool)
-    if len(v):
-        o = order
-        same[o[1:]] = (v[o][1:] == v[o][:-1]) & (s[o][1:] == s[o][:-1])
-    return (v, s, r, start, n), ~same
+def _pieces(batches, length: int, gram: int):
+    """The segments of each piece of input, hashed block by block."""
+    texts, rid, size, done, total = [], [], 0, [], 0
 
+    def block():
+        done.append(segments(texts, np.array(rid, np.int64), length, gram))
+        texts.clear()
+        rid.clear()
+
+    def piece():
+        out = tuple(np.concatenate([d[k] for d in done]) for k in range(5))
+        done.clear()
+        return out
 
-def _pieces(batches):
-    texts, rid, size = [], [], 0
     for batch in batches:
         for r, t in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
             texts.append(t)
             rid.append(r)
             size += len(t)
-            if size >= PIECE:
-                yield texts, np.array(rid, np.int64)
-                texts, rid, size = [], [], 0
+            if size >= BLOCK:
+                block()
+                total, size = total + size, 0
+                if total >= PIECE:
+                    yield piece()
+                    total = 0
     if texts:
-        yield texts, np.array(rid, np.int64)
+        block()
+    if done:
+        yield piece()
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -338,47 +348,61 @@ FOUND = f"{SEGMENT}, kind int"
 
 
 def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Segments (v, s, rid, start, n) meet under v. kind 0: not the first of its content, gone. kind 1: the first of a
-    content under a v with others, to be sorted with them; kind 2: the same, under a v with over `crowd` of them."""
+    """Segments (v, s, rid, start, n, perhaps bytes) meet under v. kind 0: not the first of its content, gone. kind 1: the
+    first of a content under a v with others, to be sorted with them; kind 2: the same, under a v with over `crowd` of them.
+    Rows with a negative start, -1 - start, are gone already and only pass."""
+    names = [*(f.split()[0] for f in SEGMENT.split(", ")), *(["bytes"] if "bytes" in df.columns else [])]
+    schema = FOUND + (", bytes binary" if "bytes" in names else "")
+
+    def put(columns, kind) -> pa.RecordBatch:
+        out = _batch(FOUND, *columns[:4], np.abs(columns[4]), kind)
+        if len(columns) > 5:
+            out = pa.RecordBatch.from_arrays([*out.columns, pa.array(columns[5], pa.binary())], names=[*out.schema.names, "bytes"])
+        return out
 
     def judge(batches):
         last = None  # v, s of the row before
-        held: list[tuple] = []  # firsts of the last v, whose end is not in sight
+        held: list[list] = []  # firsts of the last v, whose end is not in sight
         held_n, crowded, held_v = 0, False, None
         for batch in batches:
-            if not batch.num_rows:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            passing = rows[3] < 0
+            if passing.any():
+                gone = [x[passing] for x in rows]
+                gone[3] = -1 - gone[3]
+                yield put(gone, np.zeros(len(gone[0])))
+                rows = [x[~passing] for x in rows]
+            v, s = rows[:2]
+            if not len(v):
                 continue
-            v, s, r, a, n = (batch.column(c).to_numpy() for c in ("v", "s", "rid", "start", "n"))
             first = np.ones(len(v), bool)
             first[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
             if last is not None:
                 first[0] = (v[0], s[0]) != last
-            last = (v[-1], s[-1])
-            gone = ~first
-            if gone.any():
-                yield _batch(FOUND, v[gone], s[gone], r[gone], a[gone], np.abs(n[gone]), np.zeros(gone.sum()))
-            rows = [x[first] for x in (v, s, r, a, n)]
+            last, last_v = (v[-1], s[-1]), v[-1]
+            if not first.all():
+                gone = [x[~first] for x in rows]
+                yield put(gone, np.zeros(len(gone[0])))
+            rows = [x[first] for x in rows]
             if held_v is not None:  # rows of the v that was left open
                 more = int(np.searchsorted(rows[0] != held_v, True))
-                held.append(tuple(x[:more] for x in rows))
+                held.append([x[:more] for x in rows])
                 held_n += more
-                if more < len(rows[0]) or (more == 0 and v[-1] != held_v):
+                rows = [x[more:] for x in rows]
+                if last_v != held_v:
                     yield from let_go(held, held_n, crowded)
                     held, held_n, crowded, held_v = [], 0, False, None
-                    rows = [x[more:] for x in rows]
-                else:
-                    rows = [x[:0] for x in rows]
             if len(rows[0]):
                 tail = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
-                done = [x[:tail] for x in rows]
                 if tail:
+                    done = [x[:tail] for x in rows]
                     cut = np.flatnonzero(np.concatenate(([True], done[0][1:] != done[0][:-1])))
                     each = np.diff(np.concatenate((cut, [tail])))
                     size, mass = np.repeat(each, each), np.repeat(np.add.reduceat(np.abs(done[4]).astype(np.int64), cut), each)
                     many = (size > 1) | (done[4] < 0)
                     if many.any():
-                        yield _batch(FOUND, *[x[many] for x in done[:4]], np.abs(done[4][many]), np.where((size[many] > crowd) | (mass[many] > MASS), 2, 1))
-                held, held_n, held_v, crowded = [tuple(x[tail:] for x in rows)], len(rows[0]) - tail, rows[0][-1], False
+                        yield put([x[many] for x in done], np.where((size[many] > crowd) | (mass[many] > MASS), 2, 1))
+                held, held_n, held_v, crowded = [[x[tail:] for x in rows]], len(rows[0]) - tail, rows[0][-1], False
             if held_n > crowd:
                 crowded = True
                 yield from let_go(held, held_n, True)
@@ -387,13 +411,12 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
             yield from let_go(held, held_n, crowded)
 
     def let_go(held, n, crowded):
-        columns = [np.concatenate([h[k] for h in held]) for k in range(5)] if n else []
+        columns = [np.concatenate([h[k] for h in held]) for k in range(len(names))] if n else []
         if n and (n > 1 or crowded or columns[4][0] < 0):
-            size = np.abs(columns[4])
-            yield _batch(FOUND, *columns[:4], size, np.full(n, 2 if crowded or size.sum(dtype=np.int64) > MASS else 1))
+            yield put(columns, np.full(n, 2 if crowded or np.abs(columns[4]).sum(dtype=np.int64) > MASS else 1))
 
     dealt = df.repartition("v").sortWithinPartitions("v", "s", "rid", "start")
-    return dealt.mapInArrow(judge, FOUND)
+    return dealt.mapInArrow(judge, schema)
 
 
 def numbered(df: DataFrame, more: list[str] | None = None) -> DataFrame:
@@ -408,21 +431,17 @@ def numbered(df: DataFrame, more: list[str] | None = None) -> DataFrame:
 def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(rid, start, n): runs of windows that go, for rows of rid and text."""
     texts = rows.select("rid", "text")
-    if re.search(r"\b(Join|Aggregate|Repartition|Sort|Window|Distinct|Limit|Sample|Union|Python|InArrow)", rows._jdf.queryExecution().optimizedPlan().toString()):
-        texts = common.keep(texts, "texts")  # the two passes below must see the same pieces
 
     def send(batches):
-        for some, rid in _pieces(batches):
-            (v, s, r, a, n), on = split(some, rid, length, gram)
-            yield _batch(SEGMENT, v[on], s[on], r[on], a[on], n[on])
-
-    def gone_here(batches):
-        for some, rid in _pieces(batches):
-            (v, s, r, a, n), on = split(some, rid, length, gram)
-            yield _batch(RANGE, r[~on], a[~on], np.abs(n[~on]))
+        for v, s, r, a, n in _pieces(batches, length, gram):
+            order = np.lexsort((a, r, s, v))
+            again = np.zeros(len(v), bool)  # not the first of its content in this piece
+            again[order[1:]] = (v[order][1:] == v[order][:-1]) & (s[order][1:] == s[order][:-1])
+            # what is gone here already travels under a hash of its own, so that it meets nothing and crowds nothing
+            own = _mix((r * 0x9E3779B1 + a).astype(np.uint64))
+            yield _batch(SEGMENT, np.where(again, own, v), s, r, np.where(again, -1 - a, a), n)
 
     found = common.keep(resolve(texts.mapInArrow(send, SEGMENT), crowd), "segments")
-    early = texts.mapInArrow(gone_here, RANGE)
     asked = found.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("v", "start", "n", "kind")).alias("asked"))
 
     def cut(batches):
@@ -450,7 +469,18 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
         if groups:
             yield _batch(RANGE, *repeated(groups, length))
 
-    sorted_out = pieces.where("kind = 1").drop("kind").repartition("v").sortWithinPartitions("v", "rid", "start").mapInArrow(sort, RANGE)
+    def refine(batches, longer):
+        """The windows of crowded segments, filed anew under longer grams, with their bytes."""
+        for batch in batches:
+            body = batch.column("bytes").to_pylist()
+            for at in range(0, len(body), 500):
+                some = body[at : at + 500]
+                v, s, k, a, n = segments(some, np.arange(len(some)), length, longer)
+                size = np.abs(n) + length - 1
+                cut = pa.array([some[i][x : x + m] for i, x, m in zip(k.tolist(), a.tolist(), size.tolist())], pa.binary())
+                rid, start = batch.column("rid").to_numpy()[at : at + 500], batch.column("start").to_numpy()[at : at + 500]
+                out = _batch(SEGMENT, v, s, rid[k], start[k] + a, n)
+                yield pa.RecordBatch.from_arrays([*out.columns, cut], names=[*out.schema.names, "bytes"])
 
     def windows(batches):
         for batch in batches:
@@ -469,12 +499,20 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                     h.append(_mix((sums[i + length] - sums[i]) * _hasher.inverse[k][i]))
                 yield _batch(SEGMENT, h[0], h[1], rid[at : at + 100][own], start[at : at + 100][own] + inside, np.ones(len(own)))
 
+    out = found.where("kind = 0").select("rid", "start", "n")
+    sorted_in = pieces.where("kind = 1").select("v", "rid", "start", "bytes")
     crowded = pieces.where("kind = 2")
-    out = early.unionByName(found.where("kind = 0").select("rid", "start", "n")).unionByName(sorted_out)
+    for longer in [x for x in FINER if gram < x < length]:
+        if not crowded.limit(1).count():
+            break
+        finer = common.keep(resolve(crowded.select("rid", "start", "bytes").mapInArrow(lambda batches, x=longer: refine(batches, x), f"{SEGMENT}, bytes binary"), crowd), "finer")
+        sorted_in = sorted_in.unionByName(finer.where("kind = 1").select("v", "rid", "start", "bytes"))
+        out = out.unionByName(finer.where("kind = 0").select("rid", "start", "n"))
+        crowded = finer.where("kind = 2")
     if crowded.limit(1).count():
-        single = resolve(crowded.mapInArrow(windows, SEGMENT), 1 << 60)  # equal windows have equal hashes: nothing is left to sort
+        single = resolve(crowded.select("rid", "start", "bytes").mapInArrow(windows, SEGMENT), 1 << 60)  # equal windows have equal hashes: nothing is left to sort
         out = out.unionByName(single.where("kind = 0").select("rid", "start", "n"))
-    return out
+    return out.unionByName(sorted_in.repartition("v").sortWithinPartitions("v", "rid", "start").mapInArrow(sort, RANGE))
 
 
 def removed(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
