@@ -31,7 +31,7 @@ from . import common
 
 LENGTH, GRAM = 100, 32
 #: Grams of further filings, for hashes with too many different segments: what crowds under one mostly parts under the next.
-FINER = (72, 90, 97)
+FINER = (72, 92)
 #: Different segments of one hash that are sorted together at most; bytes of a shard's text at most, and of a piece of input.
 CROWD, SHARD, PIECE = 48, 24 << 20, 8 << 20
 #: Bytes that are hashed together: arrays of that size stay in a core's cache.
@@ -347,6 +347,16 @@ RANGE = "rid long, start int, n int"
 FOUND = f"{SEGMENT}, kind int"
 
 
+def combined(v, s, r, a, n):
+    """Segments of a piece of input; those whose content came before in it are gone already (a negative start), and travel
+    under a hash of their own, so that they meet nothing and crowd nothing."""
+    order = np.lexsort((a, r, s, v))
+    again = np.zeros(len(v), bool)
+    again[order[1:]] = (v[order][1:] == v[order][:-1]) & (s[order][1:] == s[order][:-1])
+    own = _mix((r * 0x9E3779B1 + a).astype(np.uint64))
+    return np.where(again, own, v), s, r, np.where(again, -1 - a, a), n
+
+
 def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Segments (v, s, rid, start, n, perhaps bytes) meet under v. kind 0: not the first of its content, gone. kind 1: the
     first of a content under a v with others, to be sorted with them; kind 2: the same, under a v with over `crowd` of them.
@@ -434,12 +444,7 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
 
     def send(batches):
         for v, s, r, a, n in _pieces(batches, length, gram):
-            order = np.lexsort((a, r, s, v))
-            again = np.zeros(len(v), bool)  # not the first of its content in this piece
-            again[order[1:]] = (v[order][1:] == v[order][:-1]) & (s[order][1:] == s[order][:-1])
-            # what is gone here already travels under a hash of its own, so that it meets nothing and crowds nothing
-            own = _mix((r * 0x9E3779B1 + a).astype(np.uint64))
-            yield _batch(SEGMENT, np.where(again, own, v), s, r, np.where(again, -1 - a, a), n)
+            yield _batch(SEGMENT, *combined(v, s, r, a, n))
 
     found = common.keep(resolve(texts.mapInArrow(send, SEGMENT), crowd), "segments")
     asked = found.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("v", "start", "n", "kind")).alias("asked"))
@@ -473,14 +478,14 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
         """The windows of crowded segments, filed anew under longer grams, with their bytes."""
         for batch in batches:
             body = batch.column("bytes").to_pylist()
-            for at in range(0, len(body), 500):
-                some = body[at : at + 500]
-                v, s, k, a, n = segments(some, np.arange(len(some)), length, longer)
-                size = np.abs(n) + length - 1
-                cut = pa.array([some[i][x : x + m] for i, x, m in zip(k.tolist(), a.tolist(), size.tolist())], pa.binary())
-                rid, start = batch.column("rid").to_numpy()[at : at + 500], batch.column("start").to_numpy()[at : at + 500]
-                out = _batch(SEGMENT, v, s, rid[k], start[k] + a, n)
-                yield pa.RecordBatch.from_arrays([*out.columns, cut], names=[*out.schema.names, "bytes"])
+            if not body:
+                continue
+            v, s, k, a, n = segments(body, np.arange(len(body)), length, longer)
+            size = np.abs(n) + length - 1
+            cut = pa.array([body[i][x : x + m] for i, x, m in zip(k.tolist(), a.tolist(), size.tolist())], pa.binary())
+            v, s, rid, start, n = combined(v, s, batch.column("rid").to_numpy()[k], batch.column("start").to_numpy()[k] + a, n)
+            out = _batch(SEGMENT, v, s, rid, start, n)
+            yield pa.RecordBatch.from_arrays([*out.columns, cut], names=[*out.schema.names, "bytes"])
 
     def windows(batches):
         for batch in batches:
@@ -497,7 +502,7 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                 for k in (0, 1):
                     sums = _hasher.sums(data, k)
                     h.append(_mix((sums[i + length] - sums[i]) * _hasher.inverse[k][i]))
-                yield _batch(SEGMENT, h[0], h[1], rid[at : at + 100][own], start[at : at + 100][own] + inside, np.ones(len(own)))
+                yield _batch(SEGMENT, *combined(h[0], h[1], rid[at : at + 100][own], start[at : at + 100][own] + inside, np.ones(len(own), np.int64)))
 
     out = found.where("kind = 0").select("rid", "start", "n")
     sorted_in = pieces.where("kind = 1").select("v", "rid", "start", "bytes")
@@ -505,7 +510,9 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     for longer in [x for x in FINER if gram < x < length]:
         if not crowded.limit(1).count():
             break
-        finer = common.keep(resolve(crowded.select("rid", "start", "bytes").mapInArrow(lambda batches, x=longer: refine(batches, x), f"{SEGMENT}, bytes binary"), crowd), "finer")
+        filed = common.keep(crowded.select("rid", "start", "bytes").mapInArrow(lambda batches, x=longer: refine(batches, x), f"{SEGMENT}, bytes binary"), "filed")
+        out = out.unionByName(filed.where("start < 0").select("rid", (-1 - F.col("start")).alias("start"), F.abs("n").alias("n")))
+        finer = common.keep(resolve(filed.where("start >= 0"), crowd), "finer")
         sorted_in = sorted_in.unionByName(finer.where("kind = 1").select("v", "rid", "start", "bytes"))
         out = out.unionByName(finer.where("kind = 0").select("rid", "start", "n"))
         crowded = finer.where("kind = 2")
