@@ -10,13 +10,11 @@ from netloom.network import Network, NetworkError
 from netloom.operators import terms as T
 from netloom.operators.terms import Context, Part, Stat, tie_part
 
-W = F.col("w")
-
-
 def _count(net: Network, title: str, test, zero_counts: bool) -> Stat:
+    w = F.col("w")
     hit = tie_part(F.when(test, 1.0).otherwise(0.0))
-    some = tie_part(F.when(W != 0, 1.0).otherwise(0.0))
-    zeros = tie_part(F.when((W == 0) & test, 1.0).otherwise(0.0))
+    some = tie_part(F.when(w != 0, 1.0).otherwise(0.0))
+    zeros = tie_part(F.when((w == 0) & test, 1.0).otherwise(0.0))
     if zero_counts:  # all dyads without a tie meet the test
         return Stat(title, [hit, some, zeros], lambda p: p[0] - p[2] + net.dyads() - p[1])
     return Stat(title, [hit, zeros], lambda p: p[0] - p[1])
@@ -71,25 +69,25 @@ def _covariance(ctx, name, center=False, transform="identity"):
 
 
 def valued_stats(ctx: Context, name: str, *args, **kw) -> list[Stat]:
-    net = ctx.net
+    net, w = ctx.net, F.col("w")
     if name == "sum":
         power = kw.get("pow", args[0] if args else 1)
-        return [Stat("sum" if power == 1 else f"sum{label(power)}", [tie_part(F.pow(W, F.lit(float(power))))])]
+        return [Stat("sum" if power == 1 else f"sum{label(power)}", [tie_part(F.pow(w, F.lit(float(power))))])]
     if name in ("nonzero", "edges"):
-        return [Stat("nonzero", [tie_part(F.when(W != 0, 1.0).otherwise(0.0))])]
+        return [Stat("nonzero", [tie_part(F.when(w != 0, 1.0).otherwise(0.0))])]
     if name in ("atleast", "atmost", "greaterthan", "smallerthan"):
         out = []
         for x in T.as_list(kw.get("threshold", args[0] if args else 0)):
-            test, zero = {"atleast": (W >= x, 0 >= x), "atmost": (W <= x, 0 <= x), "greaterthan": (W > x, 0 > x), "smallerthan": (W < x, 0 < x)}[name]
+            test, zero = {"atleast": (w >= x, 0 >= x), "atmost": (w <= x, 0 <= x), "greaterthan": (w > x, 0 > x), "smallerthan": (w < x, 0 < x)}[name]
             out.append(_count(net, f"{name}.{label(x)}", test, zero))
         return out
     if name == "equalto":
         value, tolerance = kw.get("value", args[0] if args else 0), kw.get("tolerance", args[1] if len(args) > 1 else 0)
-        return [_count(net, f"equalto.{label(value)}.pm.{label(tolerance)}" if tolerance else f"equalto.{label(value)}", F.abs(W - value) <= tolerance, abs(value) <= tolerance)]
+        return [_count(net, f"equalto.{label(value)}.pm.{label(tolerance)}" if tolerance else f"equalto.{label(value)}", F.abs(w - value) <= tolerance, abs(value) <= tolerance)]
     if name == "ininterval":
         lower, upper = kw.get("lower", args[0] if args else float("-inf")), kw.get("upper", args[1] if len(args) > 1 else float("inf"))
         open_ = kw.get("open", [True, True])
-        test = ((W > lower) if open_[0] else (W >= lower)) & ((W < upper) if open_[1] else (W <= upper))
+        test = ((w > lower) if open_[0] else (w >= lower)) & ((w < upper) if open_[1] else (w <= upper))
         zero = ((0 > lower) if open_[0] else (0 >= lower)) and ((0 < upper) if open_[1] else (0 <= upper))
         return [_count(net, f"ininterval{'(' if open_[0] else '['}{label(lower)},{label(upper)}{')' if open_[1] else ']'}", test, zero)]
     if name == "mutual":
@@ -104,10 +102,10 @@ def valued_stats(ctx: Context, name: str, *args, **kw) -> list[Stat]:
     if name in ("nodecovar", "nodeocovar", "nodeicovar", "nodesqrtcovar", "nodeosqrtcovar", "nodeisqrtcovar"):
         return _covariance(ctx, name, *args, **kw)
     if name == "CMP":
-        return [Stat("CMP", [tie_part(log_factorial(W))])]
+        return [Stat("CMP", [tie_part(log_factorial(w))])]
     if name in ("transitiveties", "cyclicalties"):
         threshold = kw.get("threshold", args[0] if args else 0)
-        inner = net.with_edges(net.ties.where(W > threshold)).held()
+        inner = net.with_edges(net.ties.where(w > threshold)).held()
         (got,) = T.TERMS[name](Context(inner, ctx.data), name)
         part = got.parts[0]
         return [Stat(f"{name}.{label(threshold)}" if threshold else name, [Part((*part.key, threshold), lambda _n: part.frame(inner), part.expr)])]
@@ -116,7 +114,7 @@ def valued_stats(ctx: Context, name: str, *args, **kw) -> list[Stat]:
     for stat in T.TERMS[name](ctx, name, *args, **kw):
         if stat.dyad is None:
             raise NetworkError(f"{name} has no valued form")
-        out.append(Stat(f"{stat.name}.{form}", [tie_part(stat.dyad * (W if form == "sum" else F.when(W != 0, 1.0).otherwise(0.0)), stat.attrs)], attrs=stat.attrs))
+        out.append(Stat(f"{stat.name}.{form}", [tie_part(stat.dyad * (w if form == "sum" else F.when(w != 0, 1.0).otherwise(0.0)), stat.attrs)], attrs=stat.attrs))
     return out
 
 

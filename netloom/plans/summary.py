@@ -428,28 +428,21 @@ def wide(net: Network, stats: list) -> tuple[DataFrame, list[str]]:
         got = x.stat.final([F.coalesce(F.col(columns[id(p)]), F.lit(0.0)).cast("double") for p in x.stat.parts])
         return got
 
-    selected = []
+    # statistics of an operator's network see its own number of vertices: the columns trade names for them
+    rounds: dict = {}
     for x, n in zip(stats, names):
-        selected.append(value(x).cast("double").alias(n))
-    if own_size:  # statistics of an operator's network see its own number of vertices
-        frames = out
-        result = frames.select("net", *[c for c, x in zip(selected, stats)])
-        return _with_sizes(out, stats, names, value, own_size), names
-    result = out.select("net", *selected)
-    return result, names
-
-
-def _with_sizes(out: DataFrame, stats, names, value, own_size) -> DataFrame:
-    plain, result = out, None
-    for x, n in zip(stats, names):
-        k = next((id(b.net) for b in _leaves(x) if id(b.net) in own_size), None)
-        frame = plain
+        rounds.setdefault(next((id(b.net) for b in _leaves(x) if id(b.net) in own_size), None), []).append((x, n))
+    final = {n: f"_v{k}" for k, n in enumerate(names)}
+    for k, some in rounds.items():
+        there = {}
         if k is not None:
             a, b = own_size[k]
-            frame = plain.drop("n", "n1").withColumnRenamed(a, "n").withColumnRenamed(b, "n1")
-        one = frame.select("net", value(x).cast("double").alias(n))
-        result = one if result is None else result.join(one, "net")
-    return result
+            there = {"n": "_n", "n1": "_n1", a: "n", b: "n1"}
+            there = {x: y for x, y in there.items() if x in out.columns}
+            out = out.withColumnsRenamed(there)
+        out = out.withColumns({final[n]: value(x).cast("double") for x, n in some})
+        out = out.withColumnsRenamed({y: x for x, y in there.items()})
+    return out.select("net", *[F.col(final[n]).alias(n) for n in names]), names
 
 
 def _tie_attributes(p: Part, net: Network) -> list[str]:
