@@ -227,16 +227,20 @@ def logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 1e-2, s
         use[int(np.argmin(w[:-1]))] = False
 
 
-def first_of_kind(texts: list[str]) -> np.ndarray:
-    """Places of the texts that aren't near copies of one before: copies would make all their words stand out."""
-    seen, out = set(), []
+def first_of_kind(texts: list[str], like: float = 0.8) -> np.ndarray:
+    """Places of the texts that aren't near copies of one before: copies would make all their words stand out. Pairs that
+    agree in a band of least hashes are compared word set by word set."""
+    seen: dict[tuple, set] = {}
+    out = []
     for k, t in enumerate(texts):
-        words = [w.encode("utf-8", "surrogatepass") for w in set(t.lower().split())]
-        least = [min((xxhash.xxh64_intdigest(w, seed) for w in words), default=0) for seed in range(4)]
-        marks = {(0, least[0], least[1]), (1, least[2], least[3])}
-        if not marks & seen:
+        words = set(t.lower().split())
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        least = [min((xxhash.xxh64_intdigest(w, seed) for w in raw), default=0) for seed in range(4)]
+        bands = [(0, least[0], least[1]), (1, least[2], least[3])]
+        if not any(len(words & seen[b]) >= like * len(words | seen[b]) for b in bands if b in seen):
             out.append(k)
-        seen |= marks
+        for b in bands:
+            seen.setdefault(b, words)
     return np.array(out, np.int64)
 
 
