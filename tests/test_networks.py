@@ -137,3 +137,50 @@ def test_unknown_terms_and_wrong_kinds_are_refused(spark):
         summary_stats(net, "mutual")
     with pytest.raises(NetworkError):
         summary_stats(net, "b1star(2)")
+
+
+def test_chains_draw_from_the_model(spark):
+    """Independent ties: the simulated density has its closed form."""
+    from netloom.plans.sampling import simulate
+
+    net = network(spark, [(0, 1)], 8)
+    got = simulate(net, "edges+nodematch('g')", [-1.0, 0.7], nsim=300, burnin=500, interval=60, chains=3).toPandas()
+    mean = got.groupby("stat").value.mean()
+    same = 2 * math.comb(4, 2)
+    want = same / (1 + math.exp(0.3)), (28 - same) / (1 + math.exp(1.0))
+    assert abs(mean["nodematch.g"] - want[0]) < 0.5 and abs(mean["edges"] - sum(want)) < 0.8
+
+
+def test_chains_keep_their_statistics(spark):
+    from netloom.plans.sampling import simulate
+
+    net = network(spark, [(0, 1), (1, 2), (0, 2)], 9)
+    formula = "edges+triangle+kstar(2)+gwesp(0.5,fixed=TRUE)+degree(1)+gwdegree(0.4,fixed=TRUE)"
+    coef = [-1.5, 0.2, 0.05, 0.3, 0.1, 0.1]
+    walked = simulate(net, formula, coef, nsim=4, burnin=300, interval=200, chains=2, seed=5).toPandas()
+    drawn = simulate(net, formula, coef, nsim=4, burnin=300, interval=200, chains=2, seed=5, ties=True).toPandas()
+    for sim, g in drawn.groupby("sim"):
+        again = stats(network(spark, list(zip(g.src.tolist(), g.dst.tolist())), 9), formula)
+        mine = walked[walked.sim == sim].set_index("stat").value
+        assert all(abs(again[k] - mine[k]) < 1e-9 for k in again)
+
+
+def test_egos_that_see_everything_give_the_network(spark):
+    """With every vertex an ego of weight 1 the estimates are the network's own statistics."""
+    from netloom.plans.ego import ego_stats
+
+    ties = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5)]
+    net = network(spark, ties, 7)
+    around = {i: sorted({b if a == i else a for a, b in ties if i in (a, b)}) for i in range(7)}
+    level = lambda i: "ab"[i % 2]
+    egos = spark.createDataFrame([(i, level(i)) for i in range(7)], "ego long, g string")
+    alters = spark.createDataFrame([(i, j, level(j)) for i, js in around.items() for j in js], "ego long, alter long, g string")
+    aaties = spark.createDataFrame([(i, a, b) for i, js in around.items() for a, b in itertools.combinations(js, 2) if (a, b) in ties], "ego long, a long, b long")
+    formula = "edges+nodematch('g')+degree(0:3)+kstar(2)+triangle+gwesp(0.5,fixed=TRUE)+esp(0:1)+transitiveties"
+    names, value, cov = ego_stats(egos, alters, formula, aaties)
+    want = stats(net, formula)
+    assert all(abs(want[n] - v) < 1e-9 for n, v in zip(names, value))
+    assert (np.linalg.eigvalsh(cov) > -1e-9).all()
+    for kind in ("asymptotic", "naive", "jackknife", "bootstrap"):
+        other = ego_stats(egos, alters, formula, aaties, variance=kind)[2]
+        assert np.allclose(np.diag(other), np.diag(cov), rtol=0.35, atol=0.3)
