@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from netloom.formula import Binary, Formula, FormulaError, Name, Term, parse
 from netloom.functions.numbers import label
 from netloom.network import Network, NetworkError
+from netloom.operators import multilevel  # noqa: F401  registers its terms
 from netloom.operators import terms as T
 from netloom.operators.terms import Context, Part, Stat
 

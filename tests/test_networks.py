@@ -184,3 +184,56 @@ def test_egos_that_see_everything_give_the_network(spark):
     for kind in ("asymptotic", "naive", "jackknife", "bootstrap"):
         other = ego_stats(egos, alters, formula, aaties, variance=kind)[2]
         assert np.allclose(np.diag(other), np.diag(cov), rtol=0.35, atol=0.3)
+
+
+def _two_levels(spark, directed):
+    rng = np.random.default_rng(11)
+    level = lambda i: "A" if i < 5 else "B"
+    ties = []
+    for i in range(10):
+        for j in range(10):
+            if i == j or (not directed and i > j) or (directed and level(i) == "B" and level(j) == "A"):
+                continue
+            if rng.random() < 0.45:
+                ties.append((i, j))
+    v = spark.createDataFrame([(i, level(i)) for i in range(10)], "key long, l string")
+    return Network.from_tables(spark.createDataFrame(ties, "src long, dst long"), v, directed=directed), ties
+
+
+def test_undirected_multilevel_terms(spark):
+    net, ties = _two_levels(spark, False)
+    y = np.zeros((10, 10))
+    for i, j in ties:
+        y[i, j] = y[j, i] = 1
+    a, b, x = y[:5, :5], y[5:, 5:], y[:5, 5:]
+    g = lambda d: 2 * (1 - 0.5**d)
+    da, db, xa, xb = a.sum(1), b.sum(1), x.sum(1), x.sum(0)
+    up = np.triu(np.ones((5, 5)), 1)
+    want = {
+        "Star2AX.l": da @ xa, "Star2BX.l": db @ xb, "AXS1A.l.0.693147": da @ g(xa), "AXS1B.l.0.693147": db @ g(xb), "AAS1X.l.0.693147": g(da) @ xa, "ABS1X.l.0.693147": g(db) @ xb, "AAAXS.l.0.693147": g(da) @ g(xa), "ABAXS.l.0.693147": g(db) @ g(xb),
+        "TXAX.l": (a * up * (x @ x.T)).sum(), "TXBX.l": (b * up * (x.T @ x)).sum(), "ATXAX.l.0.693147": (a * up * g(x @ x.T)).sum(), "ATXBX.l.0.693147": (b * up * g(x.T @ x)).sum(), "L3XAX.l": (a * up * np.outer(xa, xa)).sum(), "L3XBX.l": (b * up * np.outer(xb, xb)).sum(),
+        "L3AXB.l": (x * np.outer(da, db)).sum(), "C4AXB.l": np.trace(a @ x @ b @ x.T) / 2, "EXTA.l": np.diag(a @ a @ a) / 2 @ xa, "EXTB.l": np.diag(b @ b @ b) / 2 @ xb, "ASAXASB.l.0.693147": (x * np.outer(g(da), g(db))).sum(),
+    }
+    got = stats(net, "+".join(f"{k.split('.')[0].lower()}('l')" for k in want))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), {k: (got[k], want[k]) for k in want if abs(got[k] - want[k]) > 1e-9}
+
+
+def test_directed_multilevel_terms(spark):
+    net, ties = _two_levels(spark, True)
+    y = np.zeros((10, 10))
+    for i, j in ties:
+        y[i, j] = 1
+    a, b, x = y[:5, :5], y[5:, 5:], y[:5, 5:]
+    g = lambda d: 2 * (1 - 0.5**d)
+    ia, oa, ib, ob, xa, xb = a.sum(0), a.sum(1), b.sum(0), b.sum(1), x.sum(1), x.sum(0)
+    ma, mb = a * a.T, b * b.T
+    d = ".0.693147"
+    want = {
+        "In2StarAX.l": ia @ xa, "In2StarBX.l": ib @ xb, "Out2StarAX.l": oa @ xa, "Out2StarBX.l": ob @ xb, "AXS1Ain.l" + d: ia @ g(xa), "AXS1Bout.l" + d: ob @ g(xb), "AAinS1X.l" + d: g(ia) @ xa, "ABoutS1X.l" + d: g(ob) @ xb,
+        "TXAXarc.l": (a * (x @ x.T)).sum(), "TXBXreciprocity.l": (mb * (x.T @ x)).sum() / 2, "ATXAXreciprocity.l" + d: (ma * g(x @ x.T)).sum() / 2, "ATXBXarc.l" + d: (b * g(x.T @ x)).sum(), "L3XAXreciprocity.l": (ma * np.outer(xa, xa)).sum() / 2,
+        "L3AXBin.l": (x * np.outer(ia, ib)).sum(), "L3AXBout.l": (x * np.outer(oa, ob)).sum(), "L3AXBpath.l": (x * np.outer(ia, ob)).sum(), "L3BXApath.l": (x * np.outer(oa, ib)).sum(),
+        "C4AXBentrainment.l": (a * (x @ b @ x.T)).sum(), "C4AXBexchange.l": (a * (x @ b.T @ x.T)).sum(), "C4AXBexchangeAreciprocity.l": (ma * (x @ b @ x.T)).sum() / 2, "C4AXBexchangeBreciprocity.l": (a * (x @ mb @ x.T)).sum(), "C4AXBreciprocity.l": (ma * (x @ mb @ x.T)).sum() / 2,
+        "AinASXAinBS.l" + d: (x * np.outer(g(ia), g(ib))).sum(), "AoutASXAinBS.l" + d: (x * np.outer(g(oa), g(ib))).sum(),
+    }
+    got = stats(net, "+".join(f"{k.split('.')[0].lower()}('l')" for k in want))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), {k: (got[k], want[k]) for k in want if abs(got[k] - want[k]) > 1e-9}
