@@ -237,3 +237,33 @@ def test_directed_multilevel_terms(spark):
     }
     got = stats(net, "+".join(f"{k.split('.')[0].lower()}('l')" for k in want))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), {k: (got[k], want[k]) for k in want if abs(got[k] - want[k]) > 1e-9}
+
+
+def test_linear_models_over_networks(spark):
+    from netloom.plans.combined import network_model
+
+    e = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 1), (2, 0, 2), (2, 1, 2), (2, 0, 1)], "net long, src long, dst long")
+    v = spark.createDataFrame([(n, i) for n in range(4) for i in range(3)], "net long, key long")
+    net = Network.from_tables(e, v, net="net")
+    g = spark.createDataFrame([(0, 3, 1.0, "x"), (1, 3, 2.0, "y"), (2, 3, 4.0, "y"), (3, 3, 8.0, "x")], "net long, n long, z double, kind string")
+    net = Network(net.vertices, net.edges, g)
+    got = {r["stat"]: r["value"] for r in network_model(net, "edges+triangle", "~z+kind+I(z^2)").collect()}
+    assert got == {"N(1)~edges": 6, "N(z)~edges": 2 + 2 + 12, "N(kindy)~edges": 4, "N(I(z^2))~edges": 2 + 4 + 48, "N(1)~triangle": 1, "N(z)~triangle": 4, "N(kindy)~triangle": 1, "N(I(z^2))~triangle": 16}
+    some = {r["stat"]: r["value"] for r in network_model(net, "edges", "~0+kind", subset="~z>1").collect()}
+    assert some == {"N(kindx)~edges": 0, "N(kindy)~edges": 4}
+
+
+def test_layers(spark):
+    from netloom.plans import combined
+
+    net = network(spark, [(0, 1)], 5, directed=True)
+    rows = [("f", 0, 1), ("f", 1, 0), ("f", 1, 2), ("f", 3, 4), ("g", 1, 2), ("g", 2, 1), ("g", 4, 3), ("g", 0, 2)]
+    layers = spark.createDataFrame([(0, *r) for r in rows], "net long, layer string, src long, dst long")
+    count = lambda logic: combined.layer_stats(net, layers, "edges", logic).first()["value"]
+    assert (count("~f&g"), count("~f|g"), count("~f&t(g)"), count("~xor(f,g)"), count("~f-g"), count("~.")) == (1, 7, 2, 6, 6, 7)
+    with pytest.raises(FormulaError):
+        count("~!f")
+    assert combined.mutual_layers(net, layers, "f", "g").first()["value"] == 2
+    assert combined.mutual_layers(net, layers, "f", "f").first()["value"] == 1
+    assert combined.twostar_layers(net, layers, "f", "g", "out").first()["value"] == 1 * 1 + 2 * 1 - 1
+    assert abs(combined.conway_maxwell_binomial(net, layers).first()["value"] - 6 * math.log(1 / 2)) < 1e-12
