@@ -31,12 +31,21 @@ def keep(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return back
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python a thousand at a time at most: batches stay a few MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that a clash with other columns of the input can't arise; a null text is an empty one."""
+    small_batches(df.sparkSession)
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("text", "html") else F.col(c) for c in columns])
 
 

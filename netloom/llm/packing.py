@@ -99,15 +99,13 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
 
     def cut(batches):
         encode = tokens.encoder(path).encode
-        for batch in batches:
+        for table in tokens.gathered(batches):
             rows = []
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc, data in zip(ids[at : at + 256], encode(texts[at : at + 256])):
-                    data += end
-                    n = len(data) // 4
-                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                    rows.extend((doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:])))
+            for doc, data in zip(tokens.flat(table, "doc_id").to_pylist(), encode(tokens.flat(table, "text"))):
+                data += end
+                n = len(data) // 4
+                edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                rows.extend((doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:])))
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
