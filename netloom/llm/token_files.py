@@ -39,10 +39,10 @@ def write(df: DataFrame, folder: str, path: str | None = None, end_id: int = 2,
 
     def encode(batches):
         part, total, make = TaskContext.get().partitionId(), 0, tokens.encoder(path).encode
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        for table in tokens.gathered(batches, most=1000):  # beside Spark's sort and the file writer there is room for little
+            ids, made = tokens.flat(table, "doc_id"), make(tokens.flat(table, "text"))
             for at in range(0, len(ids), 512):
-                data = [x + end for x in make(texts[at : at + 512])]
+                data = [x + end for x in made[at : at + 512]]
                 counts = np.array([len(x) // 4 for x in data], np.int64)
                 upto = np.cumsum(counts)
                 offsets = np.concatenate(([0], upto)).astype(np.int32)
@@ -51,7 +51,8 @@ def write(df: DataFrame, folder: str, path: str | None = None, end_id: int = 2,
                 total += int(upto[-1])
 
     rows = common.plain(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**layout).parquet(folder)
+    rows = rows.withColumn("_tie", F.xxhash64("text"))  # the sample of the ranges takes short keys, not texts, to the driver
+    rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie").mapInArrow(encode, SCHEMA).write.options(**layout).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, where=None) -> DataFrame:
