@@ -30,7 +30,7 @@ SHINGLE, LIKE = 5, 0.8
 RADIUS, BLOCKS = 24, 8
 ITEMS = 20_000
 #: Characters of a piece of input at most.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _TABLE = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else b if b >= 128 else 32 for b in range(256))
 _hasher = Hasher()
 

@@ -69,7 +69,7 @@ def edited(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100_000)).first()[0]
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(1000, 4 * buckets))).first()[0]
     cuts = sorted(set(cuts or []))
     bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     rows = rows.withColumn("_bucket", bucket)
