@@ -267,3 +267,55 @@ def test_layers(spark):
     assert combined.mutual_layers(net, layers, "f", "f").first()["value"] == 1
     assert combined.twostar_layers(net, layers, "f", "g", "out").first()["value"] == 1 * 1 + 2 * 1 - 1
     assert abs(combined.conway_maxwell_binomial(net, layers).first()["value"] - 6 * math.log(1 / 2)) < 1e-12
+
+
+def test_constraints_leave_free_dyads(spark):
+    from netloom.plans.constraints import free_dyads
+
+    net = network(spark, [(0, 1), (0, 2), (3, 5)], 6)  # levels a: 0 2 4, b: 1 3 5
+    held = spark.createDataFrame([(2, 0), (1, 3)], "src long, dst long")
+    count = lambda c, data=None: free_dyads(net, c, data)(net.dyad_frame()).count()
+    assert count("~blockdiag('g')") == 6 and count("~blocks('g',levels2=1)") == 12 and count("~Dyads(fix=~nodematch('g'))") == 9
+    assert count("~Dyads(vary=~nodematch('g'))") == 6 and count("~fixedas(present=d)", {"d": held}) == 13 and count("~fixallbut(d)", {"d": held}) == 2
+    fit = pseudolikelihood.fit(net, "edges", free=free_dyads(net, "~blockdiag('g')"))
+    assert fit.dyads == 6 and math.isclose(fit.coef[0], math.log(2 / 4), abs_tol=1e-9)
+    with pytest.raises(FormulaError):
+        count("~degrees")
+
+
+def test_monte_carlo_fit_meets_the_exact_one(spark):
+    from netloom.plans.estimation import mcmle
+
+    net = network(spark, [(0, 2), (1, 3), (0, 4), (2, 4), (5, 6), (1, 6), (3, 7)], 9)
+    exact = pseudolikelihood.fit(net, "edges+nodematch('g')")
+    got = mcmle(net, "edges+nodematch('g')", init=[0.0, 0.0], nsim=400, burnin=800, interval=80, chains=2)
+    assert got.converged and np.abs(got.coef - exact.coef).max() < 0.35
+    assert np.abs(got.stderr / exact.stderr - 1).max() < 0.35
+
+
+def test_separable_fit_of_a_series(spark):
+    from netloom.network import series
+    from netloom.plans.estimation import btergm, cmle
+
+    ties = [(1, 0, 1), (1, 1, 2), (1, 3, 4), (2, 0, 1), (2, 2, 3), (3, 0, 1), (3, 2, 3), (3, 1, 4)]
+    v = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(5)], "key long, g string")
+    net = series(spark.createDataFrame(ties, "t long, src long, dst long"), v, time="t")
+    formed, kept = cmle(net, "edges", "edges")
+    # formed: 1 of 7 and 1 of 8 dyads without a tie before; kept: 1 of 3 and 2 of 2
+    assert formed.dyads == 15 and math.isclose(formed.coef[0], math.log(2 / 13), abs_tol=1e-8)
+    assert kept.dyads == 5 and math.isclose(kept.coef[0], math.log(3 / 2), abs_tol=1e-8)
+    names, estimate, draws = btergm(net, "edges", replicates=20)
+    assert names == ["edges"] and math.isclose(estimate[0], math.log(5 / 15), abs_tol=1e-8) and draws.shape == (20, 1)
+
+
+def test_reports(spark, tmp_path):
+    from netloom.plans import report
+
+    net = network(spark, [(0, 1), (2, 3), (0, 2), (1, 3), (4, 5)], 6)
+    one, two = pseudolikelihood.fit(net, "edges"), pseudolikelihood.fit(net, "edges+nodematch('g')")
+    text = report.table(one, two)
+    assert "edges" in text and f"{two.aic:.2f}" in text and text.splitlines()[0].split() == ["Model", "1", "Model", "2"]
+    assert report.table(one, style="markdown").startswith("|") and "\\hline" in report.table(one, style="latex") and "<table>" in report.table(one, style="html")
+    report.save(two, str(tmp_path / "fit.json"))
+    assert np.allclose(report.load(str(tmp_path / "fit.json")).coef, two.coef)
+    assert pseudolikelihood.compare(one, two)[1]["lr_df"] == 1
