@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.network import Network
 from netloom.operators.valued import valued_summary
-from netloom.plans import gof, pseudolikelihood
+from netloom.plans import combined, constraints, ego, estimation, gof, pseudolikelihood
 from netloom.plans.summary import summary_stats
 from netloom.sources import tables
 from netloom.streaming import ages
@@ -326,5 +327,137 @@ QUERIES["cosupply_distances"] = cosupply_distances
 ORACLE_SQL["cosupply_distances"] = f"WITH RECURSIVE {COSUPPLY}, r AS (SELECT vid AS s, vid AS x, 0 AS k FROM v UNION SELECT r.s, a.j, r.k + 1 FROM r JOIN a ON a.i = r.x WHERE r.k < 12), f AS (SELECT s, x, min(k) AS k FROM r GROUP BY s, x) SELECT CAST(k AS BIGINT) AS k, CAST(count(*) / 2 AS BIGINT) AS n FROM f WHERE k > 0 GROUP BY k UNION ALL SELECT CAST(-1 AS BIGINT), n FROM (SELECT CAST((SELECT count(*) * (count(*) - 1) / 2 FROM v) - (SELECT count(*) / 2 FROM f WHERE k > 0) AS BIGINT) AS n) WHERE n > 0"
 
 
+# --- levels, layers, many networks, egos ----------------------------------------------------------------------------------------
+
+
+def _two_levels(spark: SparkSession, sf_dir: str) -> Network:
+    """Suppliers tied by common orders, parts tied by common orders, and suppliers with their parts of large lineitems."""
+    key = lambda p, c: F.concat(F.lit(p), F.lpad(c, 9, "0"))
+    pair = lambda frame, p: frame.select(key(p, "src").alias("src"), key(p, "dst").alias("dst"))
+    a = pair(tables.strongest(tables.together(spark, sf_dir, "l_suppkey"), 400), "s")
+    b = pair(tables.together(spark, sf_dir, "l_partkey").where("w >= 2"), "t")
+    x = tables.table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(key("s", "l_suppkey").alias("src"), key("t", "l_partkey").alias("dst")).distinct()
+    v = tables.table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("key"), F.lit("A").alias("level")).union(tables.table(spark, sf_dir, "part").select(key("t", "p_partkey").alias("key"), F.lit("B").alias("level")))
+    return Network.from_tables(a.union(b).union(x), v)
+
+
+_LOG2 = lambda x: f"(2 * (1 - power(0.5, {x})))"
+LEVELS = """la AS (SELECT DISTINCT l_orderkey, l_suppkey AS x FROM lineitem), pa AS (SELECT a.x AS u, b.x AS v, count(*) AS w FROM la a JOIN la b ON a.l_orderkey = b.l_orderkey AND a.x < b.x GROUP BY ALL), ea AS (SELECT u, v FROM pa ORDER BY w DESC, u, v LIMIT 400),
+lb AS (SELECT DISTINCT l_orderkey, l_partkey AS x FROM lineitem), eb AS (SELECT a.x AS u, b.x AS v FROM lb a JOIN lb b ON a.l_orderkey = b.l_orderkey AND a.x < b.x GROUP BY ALL HAVING count(*) >= 2), ex AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 48),
+ga AS (SELECT i, count(*) AS k FROM (SELECT u AS i FROM ea UNION ALL SELECT v FROM ea) GROUP BY i), gb AS (SELECT i, count(*) AS k FROM (SELECT u AS i FROM eb UNION ALL SELECT v FROM eb) GROUP BY i), xa AS (SELECT a AS i, count(*) AS k FROM ex GROUP BY a), xb AS (SELECT b AS i, count(*) AS k FROM ex GROUP BY b),
+va AS (SELECT ga.i, ga.k AS d, xa.k AS x FROM ga JOIN xa ON ga.i = xa.i), vb AS (SELECT gb.i, gb.k AS d, xb.k AS x FROM gb JOIN xb ON gb.i = xb.i),
+sa AS (SELECT ea.u, ea.v, count(*) AS sp FROM ea JOIN ex p ON p.a = ea.u JOIN ex q ON q.a = ea.v AND q.b = p.b GROUP BY ALL), sb AS (SELECT eb.u, eb.v, count(*) AS sp FROM eb JOIN ex p ON p.b = eb.u JOIN ex q ON q.b = eb.v AND q.a = p.a GROUP BY ALL),
+bb AS (SELECT u, v FROM eb UNION ALL SELECT v, u FROM eb)"""
+stats(
+    "multilevel_statistics", _two_levels,
+    "star2ax('level')+star2bx('level')+axs1a('level')+axs1b('level')+aas1x('level')+abs1x('level')+aaaxs('level')+abaxs('level')+txax('level')+txbx('level')+atxax('level')+atxbx('level')+l3xax('level')+l3xbx('level')+l3axb('level')+c4axb('level')+asaxasb('level')",
+    LEVELS,
+    [(f"Star2{m}X.level", f"SELECT sum(d * x) FROM v{m.lower()}") for m in "AB"] + [(f"AXS1{m}.level.0.693147", f"SELECT sum(d * {_LOG2('x')}) FROM v{m.lower()}") for m in "AB"] + [(f"A{m}S1X.level.0.693147", f"SELECT sum({_LOG2('d')} * x) FROM v{m.lower()}") for m in "AB"] + [(f"A{m}AXS.level.0.693147", f"SELECT sum({_LOG2('d')} * {_LOG2('x')}) FROM v{m.lower()}") for m in "AB"]
+    + [(f"TX{m}X.level", f"SELECT coalesce(sum(sp), 0) FROM s{m.lower()}") for m in "AB"] + [(f"ATX{m}X.level.0.693147", f"SELECT coalesce(sum({_LOG2('sp')}), 0) FROM s{m.lower()}") for m in "AB"]
+    + [(f"L3X{m}X.level", f"SELECT sum(p.k * q.k) FROM e{m.lower()} e JOIN x{m.lower()} p ON e.u = p.i JOIN x{m.lower()} q ON e.v = q.i") for m in "AB"]
+    + [("L3AXB.level", "SELECT sum(p.k * q.k) FROM ex JOIN ga p ON ex.a = p.i JOIN gb q ON ex.b = q.i"), ("C4AXB.level", "SELECT count(*) FROM ea JOIN ex p ON p.a = ea.u JOIN ex q ON q.a = ea.v JOIN bb ON bb.u = p.b AND bb.v = q.b"), ("ASAXASB.level.0.693147", f"SELECT sum({_LOG2('p.k')} * {_LOG2('q.k')}) FROM ex JOIN ga p ON ex.a = p.i JOIN gb q ON ex.b = q.i")],
+)
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> Network:
+    """Suppliers tied by common orders inside their region: a network for each region, with its number and name."""
+    nation = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("long").alias("net"))
+    v = tables.table(spark, sf_dir, "supplier").join(F.broadcast(nation), "s_nationkey").select("net", F.col("s_suppkey").alias("key"))
+    e = tables.strongest(tables.together(spark, sf_dir, "l_suppkey"), 400)
+    e = e.join(v.select("net", F.col("key").alias("src")), "src").join(v.select(F.col("net").alias("net2"), F.col("key").alias("dst")), "dst").where("net = net2").select("net", "src", "dst")
+    got = Network.from_tables(e, v, net="net")
+    names = tables.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("net"), F.col("r_name").alias("name"))
+    return Network(got.vertices, got.edges, got.graphs.join(names, "net"))
+
+
+def regional_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combined.network_model(_regions(spark, sf_dir), "edges+degree(0:2)+kstar(2)", "~n+name").select("stat", F.round("value", 6).alias("value"))
+
+
+QUERIES["regional_models"] = regional_models
+_REG = """l AS (SELECT DISTINCT l_orderkey, l_suppkey AS x FROM lineitem), p AS (SELECT a.x AS src, b.x AS dst, count(*) AS w FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.x < b.x GROUP BY ALL), t AS (SELECT src, dst FROM p ORDER BY w DESC, src, dst LIMIT 400),
+v AS (SELECT s_suppkey AS vid, n_regionkey AS net, r_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), e AS (SELECT a.net, src, dst FROM t JOIN v a ON src = a.vid JOIN v b ON dst = b.vid WHERE a.net = b.net),
+d AS (SELECT v.net, v.vid, (SELECT count(*) FROM e WHERE src = vid OR dst = vid) AS k FROM v), g AS (SELECT net, name, count(*) AS n FROM v GROUP BY ALL),
+m AS (SELECT net, 'edges' AS stat, count(*) AS value FROM e GROUP BY net UNION ALL SELECT net, 'degree' || k, count(*) FROM d WHERE k < 3 GROUP BY net, k UNION ALL SELECT net, 'kstar2', sum(k * (k - 1) / 2) FROM d GROUP BY net),
+c AS (SELECT net, '1' AS c, 1 AS x FROM g UNION ALL SELECT net, 'n', n FROM g UNION ALL SELECT g.net, 'name' || r.name, CASE WHEN g.name = r.name THEN 1 ELSE 0 END FROM g CROSS JOIN (SELECT name FROM g WHERE name <> (SELECT min(name) FROM g)) r),
+s AS (SELECT unnest(['edges', 'degree0', 'degree1', 'degree2', 'kstar2']) AS stat)"""
+ORACLE_SQL["regional_models"] = f"WITH {_REG} SELECT 'N(' || c.c || ')~' || s.stat AS stat, round(CAST(sum(c.x * coalesce(m.value, 0)) AS DOUBLE), 6) AS value FROM c CROSS JOIN s LEFT JOIN m ON m.net = c.net AND m.stat = s.stat GROUP BY c.c, s.stat"
+
+
+def _flag_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = tables.strongest(tables.trade_pairs(spark, sf_dir, "l_returnflag"), 100, "l_returnflag")
+    return pairs.select(F.lit(0).cast("long").alias("net"), F.col("l_returnflag").alias("layer"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
+def trade_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' trade in a layer for each return flag: logical layers and terms across layers."""
+    net, layers = tables.trade(spark, sf_dir), _flag_layers(spark, sf_dir).persist()
+    parts = [combined.layer_stats(net, layers, "edges+mutual", logic).select("stat", "value") for logic in ("~A&R", "~A|N", "~A&t(R)", "~xor(A,R)", "~.")]
+    named = lambda title, frame: frame.select(F.lit(title).alias("stat"), "value")
+    parts += [named("mutualL.A.R", combined.mutual_layers(net, layers, "A", "R")), named("mutualL.A.A", combined.mutual_layers(net, layers, "A", "A")), named("CMBL", combined.conway_maxwell_binomial(net, layers))]
+    parts += [named(f"twostarL.{t}", combined.twostar_layers(net, layers, "A", "R", t)) for t in ("out", "in", "path")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.select("stat", F.round("value", 6).alias("value"))
+
+
+QUERIES["trade_layers"] = trade_layers
+_LAY = f"""p AS ({_PAIRS.format(more="l.l_returnflag AS f,", where="")}), q AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY w DESC, src, dst) AS r FROM p), k AS (SELECT f, src, dst FROM q WHERE r <= 100),
+y AS (SELECT src, dst, max(CASE WHEN f = 'A' AND v = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN f = 'R' AND v = 0 THEN 1 ELSE 0 END) AS r, max(CASE WHEN f = 'N' AND v = 0 THEN 1 ELSE 0 END) AS n, max(CASE WHEN f = 'R' AND v = 1 THEN 1 ELSE 0 END) AS tr FROM (SELECT f, src, dst, 0 AS v FROM k UNION ALL SELECT f, dst, src, 1 FROM k) GROUP BY src, dst),
+z AS (SELECT 'A&R' AS l, src, dst FROM y WHERE a = 1 AND r = 1 UNION ALL SELECT 'A|N', src, dst FROM y WHERE a = 1 OR n = 1 UNION ALL SELECT 'A&t(R)', src, dst FROM y WHERE a = 1 AND tr = 1 UNION ALL SELECT 'xor(A,R)', src, dst FROM y WHERE a <> r UNION ALL SELECT '.', src, dst FROM y WHERE a + r + n > 0),
+o AS (SELECT unnest(['A&R', 'A|N', 'A&t(R)', 'xor(A,R)', '.']) AS l), ka AS (SELECT src, dst FROM k WHERE f = 'A'), kr AS (SELECT src, dst FROM k WHERE f = 'R')"""
+ORACLE_SQL["trade_layers"] = f"""WITH {_LAY} SELECT stat, round(CAST(value AS DOUBLE), 6) AS value FROM (SELECT 'L(' || l || ')~edges' AS stat, (SELECT count(*) FROM z WHERE z.l = o.l) AS value FROM o UNION ALL SELECT 'L(' || l || ')~mutual', (SELECT count(*) / 2 FROM z x JOIN z w ON x.l = w.l AND x.src = w.dst AND x.dst = w.src WHERE x.l = o.l) FROM o
+UNION ALL SELECT 'mutualL.A.R', (SELECT count(*) FROM ka JOIN kr ON ka.src = kr.dst AND ka.dst = kr.src) UNION ALL SELECT 'mutualL.A.A', (SELECT count(*) / 2 FROM ka x JOIN ka w ON x.src = w.dst AND x.dst = w.src) UNION ALL SELECT 'CMBL', (SELECT sum(CASE WHEN a + r + n IN (1, 2) THEN -ln(3) ELSE 0 END) FROM y WHERE a + r + n > 0)
+UNION ALL SELECT 'twostarL.out', (SELECT count(*) FROM ka JOIN kr ON ka.src = kr.src AND ka.dst <> kr.dst) UNION ALL SELECT 'twostarL.in', (SELECT count(*) FROM ka JOIN kr ON ka.dst = kr.dst AND ka.src <> kr.src) UNION ALL SELECT 'twostarL.path', (SELECT count(*) FROM ka JOIN kr ON ka.dst = kr.src AND ka.src <> kr.dst))"""
+
+
+def supplier_ego_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Egocentric estimates from suppliers weighted by their balance's rank in thirds; standard errors of the survey kind."""
+    pairs = tables.strongest(tables.together(spark, sf_dir, "l_suppkey"), 400)
+    v = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ego"), (F.col("s_nationkey") % 3).alias("third"), (1 + F.col("s_nationkey") % 2).alias("weight"))
+    ends = pairs.select(F.col("src").alias("ego"), F.col("dst").alias("alter")).union(pairs.select("dst", "src"))
+    alters = ends.join(v.select(F.col("ego").alias("alter"), "third"), "alter")
+    names, value, cov = ego.ego_stats(v, alters, "edges+nodematch('third')+degree(0:2)+concurrent")
+    rows = [(n, round(float(x), 6), round(float(c) ** 0.5, 6)) for n, x, c in zip(names, value, cov.diagonal())]
+    return spark.createDataFrame(rows, "stat string, value double, stderr double")
+
+
+QUERIES["supplier_ego_stats"] = supplier_ego_stats
+ORACLE_SQL["supplier_ego_stats"] = f"""WITH {COSUPPLY}, h AS (SELECT v.vid, 1 + v.nation % 2 AS w, (SELECT count(*) FROM a WHERE a.i = v.vid) AS g, (SELECT count(*) FROM a JOIN v z ON a.j = z.vid WHERE a.i = v.vid AND z.third = v.third) AS s FROM v),
+x AS (SELECT w, unnest(['edges', 'nodematch.third', 'degree0', 'degree1', 'degree2', 'concurrent']) AS stat, unnest([g / 2.0, s / 2.0, CASE WHEN g = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN g = 1 THEN 1.0 ELSE 0.0 END, CASE WHEN g = 2 THEN 1.0 ELSE 0.0 END, CASE WHEN g >= 2 THEN 1.0 ELSE 0.0 END]) AS h FROM h),
+m AS (SELECT stat, CAST(sum(w * h) AS DOUBLE) / sum(w) AS mean, CAST(sum(w) AS DOUBLE) AS t, count(*) AS n FROM x GROUP BY stat) SELECT m.stat, round(max(m.mean * m.n), 6) AS value, round(max(m.n) * sqrt(max(m.n) / (max(m.n) - 1.0) * sum(power(x.w * (x.h - m.mean) / m.t, 2))), 6) AS stderr FROM x JOIN m ON x.stat = m.stat GROUP BY m.stat"""
+
+
+def copart_blockdiag_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact fit where only dyads inside a brand are free: the logit of their density."""
+    net = tables.copart(spark, sf_dir)
+    got = pseudolikelihood.fit(net, "edges", free=constraints.free_dyads(net.held(), "~blockdiag('brand')"))
+    return spark.createDataFrame([("edges", round(float(got.coef[0]), 6), got.dyads)], "name string, estimate double, dyads long")
+
+
+QUERIES["copart_blockdiag_logit"] = copart_blockdiag_logit
+ORACLE_SQL["copart_blockdiag_logit"] = f"WITH {COPART}, z AS (SELECT (SELECT count(*) FROM v p JOIN v q ON p.vid < q.vid AND p.brand = q.brand) AS n, (SELECT count(*) FROM t WHERE sb = db) AS y) SELECT 'edges' AS name, round(ln(CAST(y AS DOUBLE) / (n - y)), 6) AS estimate, CAST(n AS BIGINT) AS dyads FROM z"
+
+
+def trade_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formation and persistence of trade ties, with the closed form of a density each."""
+    formed, kept = estimation.cmle(tables.trade_series(spark, sf_dir), "edges", "edges")
+    return spark.createDataFrame([("form", round(float(formed.coef[0]), 6), formed.dyads), ("persist", round(float(kept.coef[0]), 6), kept.dyads)], "model string, estimate double, dyads long")
+
+
+QUERIES["trade_separable"] = trade_separable
+ORACLE_SQL["trade_separable"] = f"WITH {SERIES}, z AS (SELECT (SELECT count(DISTINCT net) * 600 FROM c) - (SELECT count(*) FROM b) AS nf, (SELECT count(*) FROM c ANTI JOIN b ON c.net = b.net AND c.src = b.src AND c.dst = b.dst) AS yf, (SELECT count(*) FROM b) AS np, (SELECT count(*) FROM c SEMI JOIN b ON c.net = b.net AND c.src = b.src AND c.dst = b.dst) AS yp) SELECT 'form' AS model, round(ln(CAST(yf AS DOUBLE) / (nf - yf)), 6) AS estimate, CAST(nf AS BIGINT) AS dyads FROM z UNION ALL SELECT 'persist', round(ln(CAST(yp AS DOUBLE) / (np - yp)), 6), CAST(np AS BIGINT) FROM z"
+
+
+def trade_degree_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ages.degree_mean_age(ages.tie_ages(_yearly(spark, sf_dir)), list(range(8, 17)))
+    return got.select("t", "stat", F.round("value", 6).alias("value"))
+
+
+QUERIES["trade_degree_ages"] = trade_degree_ages
+ORACLE_SQL["trade_degree_ages"] = f"WITH {SERIES}, {_AGES}, u AS (SELECT t, src AS v, age FROM a UNION ALL SELECT t, dst, age FROM a), dg AS (SELECT t, v, count(*) AS k, sum(age) AS s FROM u GROUP BY t, v) SELECT CAST(y.t AS BIGINT) AS t, 'degree' || z.k || '.mean.age' AS stat, round(CAST(coalesce((SELECT sum(s) / CAST(sum(dg.k) AS DOUBLE) FROM dg WHERE dg.t = y.t AND dg.k = z.k), 0) AS DOUBLE), 6) AS value FROM (SELECT DISTINCT t FROM a) y CROSS JOIN (SELECT unnest(range(8, 17)) AS k) z"
+
+
 def copart_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["copart_statistics"](spark, sf_dir)
