@@ -181,12 +181,16 @@ class Network:
 
     def dyad_frame(self) -> DataFrame:
         """(net, src, dst, y): all free observed dyads with their state; generated per net, never held."""
-        v = self.vertices.select("net", F.col("vid").alias("src"), *(["mode"] if self.bipartite else []))
-        u = self.vertices.select("net", F.col("vid").alias("dst"), *([F.col("mode").alias("mode2")] if self.bipartite else []))
+        sizes = self.graphs.select("net", "n", *(["n1"] if self.bipartite else []))
+        v = self.vertices.select("net", F.col("vid").alias("src")).join(sizes, "net")
+        # vertices are numbered without gaps, so a vertex makes its own dyads; dealt by vertex first, since few rows make many
+        v = v.repartition(4 * int(self.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "net", "src")
         if self.bipartite:
-            d = v.where("mode = 1").join(u.where("mode2 = 2"), "net").select("net", "src", "dst")
+            d = v.where("src < n1 and n1 < n").select("net", "src", F.explode(F.sequence(F.col("n1"), F.col("n") - 1)).alias("dst"))
+        elif self.directed:
+            d = v.select("net", "src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("dst")).where("src != dst")
         else:
-            d = v.join(u, "net").where("src != dst" if self.directed else "src < dst")
+            d = v.where("src < n - 1").select("net", "src", F.explode(F.sequence(F.col("src") + 1, F.col("n") - 1)).alias("dst"))
         e = self.edges.select("net", "src", "dst", "na", F.lit(1).alias("_y"))
         return d.join(e, ["net", "src", "dst"], "left").where("na is null or not na").select("net", "src", "dst", F.coalesce("_y", F.lit(0)).alias("y"))
 
