@@ -19,6 +19,7 @@ or kept by clean().
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -229,15 +230,17 @@ def logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 1e-2, s
 
 def first_of_kind(texts: list[str], like: float = 0.8) -> np.ndarray:
     """Places of the texts that aren't near copies of one before: copies would make all their words stand out. Pairs that
-    agree in a band of least hashes are compared word set by word set."""
-    seen: dict[tuple, set] = {}
+    agree in a band of least hashes are compared word set by word set, as sorted hashes of the words."""
+    seen: dict[tuple, np.ndarray] = {}
     out = []
     for k, t in enumerate(texts):
-        words = set(t.lower().split())
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        least = [min((xxhash.xxh64_intdigest(w, seed) for w in raw), default=0) for seed in range(4)]
+        raw = [w.encode("utf-8", "surrogatepass") for w in set(t.lower().split())]
+        hashes = [np.array([xxhash.xxh64_intdigest(w, seed) for w in raw], np.uint64) for seed in range(4)]
+        least = [int(h.min(initial=np.iinfo(np.uint64).max)) for h in hashes]
+        words = np.sort(hashes[0])
         bands = [(0, least[0], least[1]), (1, least[2], least[3])]
-        if not any(len(words & seen[b]) >= like * len(words | seen[b]) for b in bands if b in seen):
+        both = [np.isin(words, seen[b], assume_unique=True).sum() / max(1, len(words) + len(seen[b])) for b in bands if b in seen]
+        if not any(x / max(1e-9, 1 - x) >= like for x in both):
             out.append(k)
         for b in bands:
             seen.setdefault(b, words)
@@ -252,7 +255,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
     texts, toxic, prior = [texts[k] for k in alone], toxic[alone], prior[alone]
     if toxic.all() or not toxic.any():
         return Machine()
-    bags = [sorted(set(pieces(t))) for t in texts]
+    bags = [sorted({sys.intern(w) for w in pieces(t)}) for t in texts]  # a word once, however many bags hold it
     spell = {w: codes(w) for b in bags for w in b}
     seen = [Counter(), Counter()]
     for b, y in zip(bags, toxic):
@@ -281,20 +284,27 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
     machine = Machine(marks=padded(chosen), weight=np.zeros(len(chosen)))
     k = machine.kernel(machine.marks)
     k = (k + k.T) / 2
-    values, vectors = np.linalg.eigh(k + 1e-6 * np.eye(len(k)))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    values, vectors = np.linalg.eigh((k + 1e-6 * np.eye(len(k))).astype(np.float64))
+    root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
     vocabulary = sorted({w for b in bags for w in b})
     number = {w: i for i, w in enumerate(vocabulary)}
-    cut = [parts(spell[w]) for w in vocabulary]
-    raw = machine.kernel(padded([p for c in cut for p in c]))
-    raw = np.maximum.reduceat(raw, np.cumsum([0, *map(len, cut)])[:-1]) @ root
     rows = [np.array([number[w] for w in b], np.int64) for b in bags]
     sign = np.array([excess.get(spell[w], 0.0) for w in vocabulary])
+    seen.clear()
+    # words below the screen are one and the same point, the origin: only the others' rows are kept, row 0 stands for the rest
+    place, kept = np.zeros(len(vocabulary), np.int64), [np.zeros((1, len(chosen)), np.float32)]
+    for at in range(0, len(vocabulary), 20_000):
+        cut = [parts(spell[w]) for w in vocabulary[at : at + 20_000]]
+        k = machine.kernel(padded([p for c in cut for p in c]))
+        k = np.maximum.reduceat(k, np.cumsum([0, *map(len, cut)])[:-1])
+        some = np.flatnonzero(k.any(axis=1))
+        place[at + some] = sum(map(len, kept)) + np.arange(len(some))
+        kept.append(k[some])
+    raw = np.concatenate(kept) @ root
     score = sign.copy()
     negative = Counter(int(i) for r, y in zip(rows, toxic) if not y for i in r)
-    some = raw.any(axis=1)  # words below the screen are one and the same point: it stands for all of them
-    common_words = np.array(sorted(i for i in negative if some[i]), np.int64)
-    worth = np.array([*[negative[i] for i in common_words.tolist()], sum(c for i, c in negative.items() if not some[i])], float)
+    common_words = np.array(sorted(i for i in negative if place[i]), np.int64)
+    worth = np.array([*[negative[i] for i in common_words.tolist()], sum(c for i, c in negative.items() if not place[i])], float)
     for turn in range(rounds):
         witness = Counter()
         for r, y in zip(rows, toxic):
@@ -304,11 +314,11 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
         mine = np.array(sorted(witness), np.int64)
         if not len(mine):
             return Machine()
-        x = np.vstack([raw[mine], raw[common_words], np.zeros((1, raw.shape[1]))])
+        x = np.vstack([raw[place[mine]], raw[place[common_words]], raw[:1]])
         y = np.concatenate((np.ones(len(mine)), -np.ones(len(worth))))
         cost = np.concatenate(([witness[i] for i in mine.tolist()], worth * sum(witness.values()) / worth.sum()))
         w, bias = hinge(x, y, cost)
-        score = raw @ w + bias
+        score = (raw @ w + bias)[place]
     machine = Machine(marks=machine.marks, weight=root @ w, bias=bias)
     machine.known = dict(zip(vocabulary, score.tolist()))
     x = np.array([machine.features(set(b)) for b in bags])
