@@ -319,3 +319,18 @@ def test_reports(spark, tmp_path):
     report.save(two, str(tmp_path / "fit.json"))
     assert np.allclose(report.load(str(tmp_path / "fit.json")).coef, two.coef)
     assert pseudolikelihood.compare(one, two)[1]["lr_df"] == 1
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_tables_by_class_equal_tables_by_dyad(spark, directed):
+    rng = np.random.default_rng(9)
+    ties = [(i, j) for i in range(40) for j in range(40) if i != j and (directed or i < j) and rng.random() < 0.1]
+    v = spark.createDataFrame([(i, "abc"[i % 3], i % 2) for i in range(40)], "key long, g string, x long")
+    e = spark.createDataFrame([(i, j, k % 17 == 0) for k, (i, j) in enumerate(ties)], "src long, dst long, na boolean")
+    net = Network.from_tables(e, v, missing="na", directed=directed)
+    formula = "edges+nodematch('g')+absdiff('x')+nodefactor('g')+nodemix('g')"
+    rows, names, stats_ = pseudolikelihood.table(net, formula)
+    assert pseudolikelihood._by_class(net.held(), stats_) is not None
+    xs = [f"x{k}" for k in range(len(names))]
+    want = pseudolikelihood.design(net, formula)[0].groupBy(*xs, "y").count()
+    assert {tuple(r[c] for c in [*xs, "y"]): r["n"] for r in rows.collect()} == {tuple(r[c] for c in [*xs, "y"]): r["count"] for r in want.collect()}
