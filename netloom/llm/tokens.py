@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: Pieces, and pre-tokens of pieces, that a worker remembers, in two generations: the older half goes, but for what was seen again.
 REMEMBERED, REMEMBERED_PARTS = 600_000, 500_000
 #: Texts that are encoded together at most: the more, the fewer different pieces there are to each.
-ROWS, BYTES = 4000, 16 << 20
+ROWS, BYTES = 2500, 10 << 20
 _open: dict[str, "Encoder"] = {}
 _common_letters = re.compile(r"[\x00-ɏ‐-‧]*\Z")
 
