@@ -43,12 +43,13 @@ SAME = 3
 
 
 class Node:
-    __slots__ = ("tag", "key", "parts", "number", "bad")
+    __slots__ = ("tag", "key", "parts", "number", "bad", "holds")
 
     def __init__(self, tag: str, key: str, bad: bool):
         self.tag, self.key, self.bad = tag, key, bad
         self.parts: list = []  # texts and nodes
         self.number = -1
+        self.holds = False  # an article or main element below
 
 
 def parse(page: str) -> Node:
@@ -83,6 +84,11 @@ def parse(page: str) -> Node:
         words = {w.lower() for x in labels for w in _words.findall(x)}
         node = Node(name, name + "".join("." + _digits.sub("", x.lower()) for x in labels[:1]), name in DROPPED or bool(words & NAMED))
         stack[-1].parts.append(node)
+        if name in ("article", "main"):
+            for above in reversed(stack):
+                if above.holds:
+                    break
+                above.holds = True
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else n
@@ -188,9 +194,11 @@ def blocks(root: Node) -> list[tuple[int, bool, bool, int, int, str]]:
             text.clear()
         link = 0
 
-    def walk(node: Node, owner: Node, article: bool, bad: bool, container: int, anchor: bool, depth: int) -> None:
-        nonlocal link
-        for x in node.parts:
+    # an explicit stack, since elements that are never closed nest without bound
+    todo: list[tuple] = [(iter(root.parts), root, False, False, -1, False, None)]
+    while todo:
+        parts, owner, article, bad, container, anchor, after = todo[-1]
+        for x in parts:
             if isinstance(x, str):
                 text.append(x)
                 if anchor:
@@ -201,26 +209,24 @@ def blocks(root: Node) -> list[tuple[int, bool, bool, int, int, str]]:
                 pass
             elif x.tag in BLOCK or x.bad:
                 flush(owner, (article, bad, container))
-                if depth < 400:
-                    inside = article or (x.tag in ("article", "main") and not bad)
-                    header = x.tag == "header" and not article
-                    # a name on an element that holds the article itself says nothing of the article
-                    lost = bad or (header or x.bad) and not (x.tag not in DROPPED and holds_article(x, 0))
-                    walk(x, x, inside, lost, container if x.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "dd", "dt") else x.number, anchor, depth + 1)
-                flush(x, (article or x.tag in ("article", "main"), bad or x.bad, x.number))
-            elif depth < 400:
-                walk(x, owner, article, bad, container, anchor or x.tag == "a", depth + 1)
-            # text behind an inline element goes on in the same block
-
-    walk(root, root, False, False, -1, False, 0)
+                inside = article or (x.tag in ("article", "main") and not bad)
+                header = x.tag == "header" and not article
+                # a name on an element that holds the article itself says nothing of the article
+                lost = bad or (header or x.bad) and not (x.tag not in DROPPED and x.holds)
+                own = container if x.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "dd", "dt") else x.number
+                todo.append((iter(x.parts), x, inside, lost, own, anchor, (article or x.tag in ("article", "main"), bad or x.bad, x.number)))
+                break
+            else:
+                todo.append((iter(x.parts), owner, article, bad, container, anchor or x.tag == "a", None))
+                break
+        else:  # text behind an inline element goes on in the same block
+            todo.pop()
+            if after is not None:
+                flush(owner, after)
     flush(root, (False, False, -1))
     return out
 
 
-def holds_article(node: Node, depth: int) -> bool:
-    return depth < 60 and any(isinstance(x, Node) and (x.tag in ("article", "main") or holds_article(x, depth + 1)) for x in node.parts)
-
-
 def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", (url or "").split("://", 1)[-1], maxsplit=1)[0].rsplit("@", 1)[-1].lower()
 
