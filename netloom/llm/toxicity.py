@@ -4,7 +4,8 @@ The kernel of two words is the subsequence kernel of Lodhi et al.: shared subseq
 by DECAY to the power of the stretch it covers, normalised to 1 for equal words; an insult with letters put in between,
 or some left out, stays close to the insult. Pairs whose skip-bigrams (gaps up to three letters) agree in less than
 SCREEN of the landmark's count as 0, which spares the sum for most words. Landmarks are words that stand much oftener
-in toxic documents than in others; the Nyström map K_mm^-1/2 k(word, landmarks) makes the machine linear. It is trained
+in toxic documents than in others, by a likelihood ratio that one of so many words reaches by chance, or the best of them
+where labelled rows are too few for that; the Nyström map K_mm^-1/2 k(word, landmarks) makes the machine linear. It is trained
 on the labelled documents as bags of words: each toxic bag is represented by its words that stand out
 and its highest-scoring one, chosen anew in each of a few rounds, the others by all of theirs. A text is scored by how many of its words reach each of a few
 margins, through a logistic curve without negative weights that is fitted on the training rows.
@@ -12,7 +13,7 @@ margins, through a logistic curve without negative weights that is fitted on the
 Learning takes at most SAMPLE labelled rows of each label, the first by a hash of doc_id, a bound that does not grow
 with the corpus; scoring is a map over all rows and whole texts, with a memory of scores for words in each worker. Runs
 of single letters count as one word. Nulls and empty texts get the score of a text without any word. Without two labels
-to learn from, every score is 0. Equal texts get equal scores. An empty table gives no rows. Extra columns are ignored,
+to learn from, or without a word that is oftener in toxic rows, every score is 0. Equal texts get equal scores. An empty table gives no rows. Extra columns are ignored,
 or kept by clean().
 """
 
@@ -22,6 +23,7 @@ import re
 import sys
 from collections import Counter
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ from . import common
 ORDER, DECAY, SCREEN = 3, 0.7, 0.5
 #: Labelled rows of each label to learn from, landmarks, letters of a word that are looked at together.
 SAMPLE, LANDMARKS, LETTERS = 2000, 64, 24
-#: Likelihood ratio (chi-square, one degree) from which a word stands out: about one in a million by chance.
-STANDS_OUT = 24.0
 #: Scores of words (margins of the machine) at which a text's words are counted.
 STEPS = (0.0, 0.3, 0.6, 0.8, 0.9)
 #: Words whose scores a worker remembers.
@@ -247,6 +247,11 @@ def first_of_kind(texts: list[str], like: float = 0.8) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def stands_out(words: int) -> float:
+    """The likelihood ratio (chi-square, one degree) that about one of so many words reaches by chance."""
+    return NormalDist().inv_cdf(1 - 0.5 / max(2, words)) ** 2
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LANDMARKS, rounds: int = 3) -> Machine:
     """`prior`: the weight of each row, so that both labels have the share they have among all labelled rows."""
     if toxic.all() or not toxic.any():
@@ -261,12 +266,16 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
     for b, y in zip(bags, toxic):
         seen[int(y)].update({spell[w] for w in b if len(spell[w]) > 2})
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    excess = {}
+    ratios = {}
     for s, c in seen[1].items():  # the likelihood ratio of its counts, where it is much the oftener in toxic rows
         d, p = seen[0][s], n1 / (n1 + n0)
         ratio = 2 * (c * np.log(c / ((c + d) * p)) + (d * np.log(d / ((c + d) * (1 - p))) if d else 0.0))
-        if c / n1 > 5 * d / n0 and ratio > STANDS_OUT:
-            excess[s] = ratio
+        if c / n1 > 5 * d / n0:
+            ratios[s] = ratio
+    least = stands_out(len(ratios))
+    if ratios and max(ratios.values()) <= least:  # too few rows for any word to stand out: the best are taken as they are
+        least = 0.999 * max(ratios.values())
+    excess = {s: ratio for s, ratio in ratios.items() if ratio > least}
     ranked = sorted(excess, key=lambda s: (-excess[s], s))
     chosen: list[bytes] = []
     for letters in ranked:  # the strongest words that are not all but one with a chosen one
