@@ -4,8 +4,8 @@ Every page becomes a tree. Runs of like siblings (same tag and class) are folded
 page's layout and not its length. The commonest tree of a host is its reference, and each page of the host is aligned
 with it by simple tree matching (the largest set of matched nodes that keeps parents and the order of siblings). A node
 whose text is the same on all pages of the host, while their contents differ, is template; what varies is a slot. The
-content is the page's article (article or main element; else the slot with most text outside of links), without parts
-that HTML or their class and id name as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+content is the page's article (article or main element; else all of the page but what is mostly links outside of the
+smallest subtree that holds the slot with most text and the blocks beside it, or ahead of its text), without parts that HTML or their class and id name as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 comments of readers, and without template nodes.
 
 References and template nodes come from counts over all pages, combined before they are shuffled; what is kept of a host
@@ -43,13 +43,15 @@ SAME = 3
 
 
 class Node:
-    __slots__ = ("tag", "key", "parts", "number", "bad", "holds")
+    __slots__ = ("tag", "key", "parts", "number", "bad", "holds", "up", "first", "last")
 
     def __init__(self, tag: str, key: str, bad: bool):
         self.tag, self.key, self.bad = tag, key, bad
         self.parts: list = []  # texts and nodes
         self.number = -1
         self.holds = False  # an article or main element below
+        self.up: Node | None = None  # the block around it, and which of the page's blocks of text are below
+        self.first = self.last = 0
 
 
 def parse(page: str) -> Node:
@@ -179,52 +181,70 @@ def match(one: str, other: str) -> dict[int, int]:
     return out
 
 
-def blocks(root: Node) -> list[tuple[int, bool, bool, int, int, str]]:
-    """(node, inside an article, named as no content, number of the container, letters in links, text) of every block of text, in page order."""
+def blocks(root: Node) -> list[tuple[int, bool, bool, int, int, int, str]]:
+    """(node, inside an article, named as no content, first and last + 1 of the blocks around its slot, letters in links, text) of every block of text, in page order."""
     out: list = []
     text: list[str] = []
     link = 0
+    extent: dict[int, tuple[int, int]] = {}
 
-    def flush(node: Node, place: tuple[bool, bool, int]) -> None:
+    def flush(node: Node, article: bool, bad: bool) -> None:
         nonlocal link
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append((node.number, place[0], place[1], place[2], link, joined))
+                out.append((node, article, bad, link, joined))
             text.clear()
         link = 0
 
     # an explicit stack, since elements that are never closed nest without bound
-    todo: list[tuple] = [(iter(root.parts), root, False, False, -1, False, None)]
+    todo: list[tuple] = [(iter(root.parts), root, False, False, False, True)]
     while todo:
-        parts, owner, article, bad, container, anchor, after = todo[-1]
+        parts, owner, article, bad, anchor, block = todo[-1]
         for x in parts:
             if isinstance(x, str):
                 text.append(x)
                 if anchor:
-                    link += len(x.strip())
+                    link += len("".join(x.split()))
             elif x.tag == "br":
                 text.append(" ")
             elif x.tag in VOID and x.tag != "hr":
                 pass
             elif x.tag in BLOCK or x.bad:
-                flush(owner, (article, bad, container))
+                flush(owner, article, bad)
                 inside = article or (x.tag in ("article", "main") and not bad)
                 header = x.tag == "header" and not article
                 # a name on an element that holds the article itself says nothing of the article
                 lost = bad or (header or x.bad) and not (x.tag not in DROPPED and x.holds)
-                own = container if x.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "dd", "dt") else x.number
-                todo.append((iter(x.parts), x, inside, lost, own, anchor, (article or x.tag in ("article", "main"), bad or x.bad, x.number)))
+                x.up, x.first = owner, len(out)
+                todo.append((iter(x.parts), x, inside, lost, anchor, True))
                 break
             else:
-                todo.append((iter(x.parts), owner, article, bad, container, anchor or x.tag == "a", None))
+                todo.append((iter(x.parts), owner, article, bad, anchor or x.tag == "a", False))
                 break
         else:  # text behind an inline element goes on in the same block
             todo.pop()
-            if after is not None:
-                flush(owner, after)
-    flush(root, (False, False, -1))
-    return out
+            if block:
+                flush(owner, article, bad)
+                owner.last = len(out)
+                if owner.number >= 0:
+                    low, high = extent.get(owner.number, (owner.first, owner.last))
+                    extent[owner.number] = min(low, owner.first), max(high, owner.last)
+    around: dict[int, tuple[int, int]] = {}
+
+    def slot(node: Node) -> tuple[int, int]:
+        """What stands around the block that holds `node`, and around all others of its kind that were folded with it."""
+        holder = node.up or node
+        key = holder.number if holder.number >= 0 else -2 - id(holder)
+        if key not in around:
+            low, high = extent.get(holder.number, (holder.first, holder.last)) if holder.number >= 0 else (holder.first, holder.last)
+            top = holder.up or holder
+            while top.up is not None and (top.first > low or top.last < high):
+                top = top.up
+            around[key] = top.first, top.last
+        return around[key]
+
+    return [(node.number, article, bad, *slot(node), link, joined) for node, article, bad, link, joined in out]
 
 
 def host_of(url: str | None) -> str:
@@ -235,11 +255,11 @@ def mark(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-PARSED = "page_id long, url string, host string, folded string, marks array<struct<node:int,mark:bigint>>, content long, blocks array<struct<node:int,article:boolean,bad:boolean,container:int,link:int,text:string>>"
+PARSED = "page_id long, url string, host string, folded string, marks array<struct<node:int,mark:bigint>>, content long, blocks array<struct<node:int,article:boolean,bad:boolean,first:int,last:int,link:int,text:string>>"
 
 
 def parsed(df: DataFrame) -> DataFrame:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("node", pa.int32()), ("mark", pa.int64())])), pa.int64(), pa.list_(pa.struct([("node", pa.int32()), ("article", pa.bool_()), ("bad", pa.bool_()), ("container", pa.int32()), ("link", pa.int32()), ("text", pa.string())]))]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("node", pa.int32()), ("mark", pa.int64())])), pa.int64(), pa.list_(pa.struct([("node", pa.int32()), ("article", pa.bool_()), ("bad", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("link", pa.int32()), ("text", pa.string())]))]
 
     def read(batches):
         for batch in batches:
@@ -250,10 +270,10 @@ def parsed(df: DataFrame) -> DataFrame:
                 found = blocks(root)
                 own: dict[int, list[str]] = {}
                 for b in found:
-                    own.setdefault(b[0], []).append(b[5])
+                    own.setdefault(b[0], []).append(b[-1])
                 marks = [{"node": k, "mark": mark("\n".join(t))} for k, t in own.items()]
-                keys = ("node", "article", "bad", "container", "link", "text")
-                rows.append((page, url, host_of(url), folded, marks, mark("\n".join(b[5] for b in found if not b[2])), [dict(zip(keys, b)) for b in found]))
+                keys = ("node", "article", "bad", "first", "last", "link", "text")
+                rows.append((page, url, host_of(url), folded, marks, mark("\n".join(b[-1] for b in found if not b[2])), [dict(zip(keys, b)) for b in found]))
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "host", "folded", "marks", "content", "blocks"])
 
@@ -287,18 +307,22 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def content(found: list[dict], template: set[int]) -> list[str]:
     """The texts that are content, of a page's blocks."""
-    good = [b for b in found if not b["bad"] and b["node"] not in template]
-    inside = [b for b in good if b["article"]]
+    good = [k for k, b in enumerate(found) if not b["bad"] and b["node"] not in template]
+    inside = [found[k]["text"] for k in good if found[k]["article"]]
     if inside or any(b["article"] for b in found):
-        return [b["text"] for b in inside]
-    plain = [b for b in good if 2 * b["link"] <= len(b["text"])]
+        return inside
+    letters = [len("".join(b["text"].split())) for b in found]
+    plain = [k for k in good if 2 * found[k]["link"] <= letters[k]]
     if not plain:
         return []
-    size: dict[int, int] = {}
-    for b in plain:
-        size[b["container"]] = size.get(b["container"], 0) + len(b["text"]) - b["link"]
-    best = max(size.values())
-    return [b["text"] for b in plain if 5 * size[b["container"]] >= best]  # the slot with most text, and others of its kind
+    size: dict[tuple[int, int], int] = {}
+    for k in plain:
+        place = found[k]["first"], found[k]["last"]
+        size[place] = size.get(place, 0) + letters[k] - found[k]["link"]
+    first, last = max(size, key=lambda p: (size[p], p[0] - p[1], p))  # around the slot with most text
+    start = min(k for k in plain if first <= k < last)
+    # what is mostly links is a menu outside of that, and, if it is nothing but links, ahead of its text
+    return [found[k]["text"] for k in good if 2 * found[k]["link"] <= letters[k] or first <= k < last and (k > start or found[k]["link"] < letters[k])]
 
 
 def extract(df: DataFrame) -> DataFrame:

@@ -21,3 +21,18 @@ def test_text_below_many_unclosed_elements_stays(tag):
 
 def test_an_article_deep_below_a_named_wrapper_stays():
     assert text("<div class=sidebar>" + "<div>" * 3000 + "<article><p>here") == ["here"]
+
+
+def test_a_long_article_without_an_article_element_stays_whole():
+    body = "".join(f"<h2>Section {k}</h2><p>{'Long words of it. ' * 300}</p>" for k in range(3))
+    page = f"<body><div class=page><div class=top><a href=1>Home</a> <a href=2>News</a></div><div class=lead><h1>Head</h1><p>A lead.</p></div><div class=text>{body}</div><div class=closing>The end.</div><div class=sources><ul><li><a href=3>First source of it</a><li>Second, <a href=4>on a web page of theirs</a></ul></div></div></body>"
+    got = text(page)
+    assert got[:3] == ["Head", "A lead.", "Section 0"] and got[-3:] == ["The end.", "First source of it", "Second, on a web page of theirs"]
+    assert len(got) == 11 and not any("Home" in t for t in got)
+
+
+def test_short_sections_and_their_links_stay():
+    body = "".join(f"<section><h2>S{k}</h2><p>{'Some words. ' * (1 + 40 * (k == 2))}</p><p><a href=x>See there {k}</a></section>" for k in range(5))
+    got = text(f"<body><div><a href=1>Home</a></div><div>{body}</div></body>")
+    assert [t for t in got if t.startswith("S") and not t.startswith("Some")] == [x for k in range(5) for x in (f"S{k}", f"See there {k}")]
+    assert got[0] == "S0" and len(got) == 15
