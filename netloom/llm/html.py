@@ -6,7 +6,8 @@ with it by simple tree matching (the largest set of matched nodes that keeps par
 whose text is the same on all pages of the host, while their contents differ, is template; what varies is a slot. The
 content is the page's article (article or main element; else all of the page but what is mostly links outside of the
 smallest subtree that holds the slot with most text and the blocks beside it, or ahead of its text), without parts that HTML or their class and id name as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments of readers, and without template nodes.
+comments of readers, and without template nodes. Names are whole words of a class or role or whole ids; names that an
+article's own parts may bear, such as related or notice, count inside an article for what is mostly links only.
 
 References and template nodes come from counts over all pages, combined before they are shuffled; what is kept of a host
 is as large as one folded tree. A null or empty page has an empty text, a null url the empty host. Unclosed, wrongly
@@ -33,17 +34,23 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 DROPPED = frozenset("script style textarea title iframe noembed noframes noscript template svg math head nav footer aside form button select datalist dialog menu object canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 #: Words of a class, id or role that name what isn't content.
-NAMED = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies pagination pager toolbar skip widget contentinfo complementary search".split())
+NAMED = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies pagination pager toolbar skip widget contentinfo complementary search".split())
+#: Parts that a compound name may have besides, as in site-footer; others, as in has-sidebar or related-work, say something else.
+BESIDE = frozenset("site page main top bottom left right box block list wrapper container section area bar links link posts post items item inner primary secondary global text".split())
+#: Names that an article's own parts may bear too: in an article they count for what is mostly links only.
+UNSURE = frozenset("banner promotion menu aside notice notices popup modal overlay subscription share sharing social related recommended recommendations respond replies toolbar skip widget complementary search".split())
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*+>?)|[^<]+|<""", re.S)
-_named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_named = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _words = re.compile(r"[A-Za-z]+")
+_apart = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 _digits = re.compile(r"\d+")
 #: Pages of a host from which a node that never changes counts as template.
 SAME = 3
 
 
 class Node:
-    __slots__ = ("tag", "key", "parts", "number", "bad", "holds", "up", "first", "last")
+    __slots__ = ("tag", "key", "parts", "number", "bad", "holds", "up", "first", "last", "unsure")
 
     def __init__(self, tag: str, key: str, bad: bool):
         self.tag, self.key, self.bad = tag, key, bad
@@ -52,6 +59,22 @@ class Node:
         self.holds = False  # an article or main element below
         self.up: Node | None = None  # the block around it, and which of the page's blocks of text are below
         self.first = self.last = 0
+        self.unsure = False  # named, but maybe a part of an article
+
+
+def named(kind: str, value: str) -> set[str]:
+    """The names of NAMED that an attribute gives: whole words of a class or role, also compounds of such names; an id as a whole."""
+    if kind == "id":
+        return {value.lower()} & NAMED
+    out: set[str] = set()
+    for word in value.split():
+        if word.lower() in NAMED:
+            out.add(word.lower())
+            continue
+        parts = {x.lower() for x in (_words if word.islower() or word.isupper() else _apart).findall(word)}
+        if parts <= NAMED | BESIDE:
+            out |= parts & NAMED
+    return out
 
 
 def parse(page: str) -> Node:
@@ -82,9 +105,11 @@ def parse(page: str) -> Node:
                 elif stack[k].tag in BLOCK:
                     break
         attributes = m[3]
-        labels = [x for g in _named.findall(attributes) for x in g if x] if attributes and len(attributes) > 2 else []
-        words = {w.lower() for x in labels for w in _words.findall(x)}
-        node = Node(name, name + "".join("." + _digits.sub("", x.lower()) for x in labels[:1]), name in DROPPED or bool(words & NAMED))
+        labels = [(g[0].lower(), g[1] or g[2] or g[3]) for g in _named.findall(attributes)] if attributes and len(attributes) > 2 else []
+        names = set() if name in UNNAMED else set().union(*(named(kind, x) for kind, x in labels))
+        bad = name in DROPPED or bool(names)
+        node = Node(name, name + "".join("." + _digits.sub("", x.lower()) for x in [x for _, x in labels if x][:1]), bad)
+        node.unsure = bool(names) and name not in DROPPED and (names <= UNSURE or name not in BLOCK)
         stack[-1].parts.append(node)
         if name in ("article", "main"):
             for above in reversed(stack):
@@ -197,6 +222,21 @@ def blocks(root: Node) -> list[tuple[int, bool, bool, int, int, int, str]]:
             text.clear()
         link = 0
 
+    shares: dict[int, tuple[int, int]] = {}
+
+    def linked(node: Node) -> bool:
+        """Whether most letters below are links; what is below is summed up once."""
+        if id(node) not in shares:
+            order = [(node, False)]
+            for x, anchor in order:
+                order += [(c, anchor or c.tag == "a") for c in x.parts if not isinstance(c, str)]
+            for x, anchor in reversed(order):
+                own = sum(len("".join(c.split())) for c in x.parts if isinstance(c, str))
+                below = [shares[id(c)] for c in x.parts if not isinstance(c, str)]
+                shares[id(x)] = own + sum(a for a, _ in below), own * anchor + sum(b for _, b in below)
+        letters, inside = shares[id(node)]
+        return 2 * inside > letters
+
     # an explicit stack, since elements that are never closed nest without bound
     todo: list[tuple] = [(iter(root.parts), root, False, False, False, True)]
     while todo:
@@ -215,7 +255,7 @@ def blocks(root: Node) -> list[tuple[int, bool, bool, int, int, int, str]]:
                 inside = article or (x.tag in ("article", "main") and not bad)
                 header = x.tag == "header" and not article
                 # a name on an element that holds the article itself says nothing of the article
-                lost = bad or (header or x.bad) and not (x.tag not in DROPPED and x.holds)
+                lost = bad or (header or x.bad) and not (x.tag not in DROPPED and x.holds) and not (article and x.unsure and not linked(x))
                 x.up, x.first = owner, len(out)
                 todo.append((iter(x.parts), x, inside, lost, anchor, True))
                 break

@@ -36,3 +36,18 @@ def test_short_sections_and_their_links_stay():
     got = text(f"<body><div><a href=1>Home</a></div><div>{body}</div></body>")
     assert [t for t in got if t.startswith("S") and not t.startswith("Some")] == [x for k in range(5) for x in (f"S{k}", f"See there {k}")]
     assert got[0] == "S0" and len(got) == 15
+
+
+@pytest.mark.parametrize("part", ["<h2 id='related-work'>kept</h2>", "<section id='search-methods'><p>kept</section>", "<p id=notice-1>kept</p>", "<p class='notice'>kept</p>", "<section class=related><p>kept</section>", "<h2 class=search>kept</h2>", "<pre><span class='token comment'>kept</span></pre>"])
+def test_names_in_an_article_do_not_drop_its_own_parts(part):
+    assert text(f"<article><p>first</p>{part}<p>last</article>") == ["first", "kept", "last"]
+
+
+@pytest.mark.parametrize("open", ["<body class=no-sidebar><div>", "<body class=search><div>", "<body><div class='content has-sidebar'>", "<body><div data-role=search>"])
+def test_names_of_wrappers_do_not_empty_the_page(open):
+    assert text(f"<html>{open}<p>one</p><p>two</p></div></body>") == ["one", "two"]
+
+
+@pytest.mark.parametrize("part", ["<div class='related'><a href=1>Another thing</a> by us</div>", "<section class=comments><p>reader</section>", "<div class='site-footer'>foot</div>", "<div class='cookie-notice x'>cookies</div>", "<div class=siteFooter>foot</div>", "<div id=comments>reader</div>", "<div class=ad-1>buy</div>"])
+def test_named_parts_that_are_no_content_go(part):
+    assert text(f"<article><p>first</p>{part}<p>last</article>") == ["first", "last"]
