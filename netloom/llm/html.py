@@ -11,7 +11,7 @@ article's own parts may bear, such as related or notice, count inside an article
 
 References and template nodes come from counts over all pages, combined before they are shuffled; what is kept of a host
 is as large as one folded tree. A null or empty page has an empty text, a null url the empty host. Unclosed, wrongly
-nested and cut off elements are closed as browsers do. Repeated rows give the same text each. An empty table gives no
+nested and cut off elements are closed as browsers do; no depth is too deep. Repeated rows give the same text each. An empty table gives no
 rows. Extra columns are ignored.
 """
 
@@ -45,6 +45,8 @@ _named = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _words = re.compile(r"[A-Za-z]+")
 _apart = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 _digits = re.compile(r"\d+")
+#: Runs of siblings that a folded node keeps apart at most: alignment takes the product of two nodes' runs.
+WIDE = 64
 #: Pages of a host from which a node that never changes counts as template.
 SAME = 3
 
@@ -108,7 +110,7 @@ def parse(page: str) -> Node:
         labels = [(g[0].lower(), g[1] or g[2] or g[3]) for g in _named.findall(attributes)] if attributes and len(attributes) > 2 else []
         names = set() if name in UNNAMED else set().union(*(named(kind, x) for kind, x in labels))
         bad = name in DROPPED or bool(names)
-        node = Node(name, name + "".join("." + _digits.sub("", x.lower()) for x in [x for _, x in labels if x][:1]), bad)
+        node = Node(name, name + "".join("." + _digits.sub("", " ".join(x.lower().split())) for x in [x for _, x in labels if x][:1]), bad)
         node.unsure = bool(names) and name not in DROPPED and (names <= UNSURE or name not in BLOCK)
         stack[-1].parts.append(node)
         if name in ("article", "main"):
@@ -128,27 +130,34 @@ def fold(root: Node) -> str:
     """Number the nodes by their place in the folded tree, which comes back as a line of depth:key for each node."""
     lines: list[str] = []
 
-    def walk(nodes: list[Node], depth: int) -> None:
-        last, group = None, []
-        for x in [*(c for node in nodes for c in [*node.parts, None]), None]:
-            if isinstance(x, Node) and x.tag not in VOID and (x.tag in BLOCK or x.bad):
-                if last is not None and x.key != last:
-                    put(group, depth)
-                    group = []
-                group.append(x)
-                last = x.key
-        if group:
-            put(group, depth)
-
-    def put(group: list[Node], depth: int) -> None:
-        number = len(lines)
-        lines.append(f"{depth}:{group[0].key}")
+    def groups(nodes: list[Node]):
+        """Runs of like block children of the folded nodes, in order; of more than WIDE runs all of one key become one."""
+        out: list[list[Node]] = []
+        last = None
+        for node in nodes:
+            for x in node.parts:
+                if isinstance(x, Node) and x.tag not in VOID and (x.tag in BLOCK or x.bad):
+                    if x.key != last:
+                        out.append([])
+                    out[-1].append(x)
+                    last = x.key
+        if len(out) > WIDE:
+            named: dict[str, list[Node]] = {}
+            for group in out:
+                named.setdefault(group[0].key, []).extend(group)
+            out = list(named.values())
+        return iter(out)
+
+    todo = [groups([root])]  # an explicit stack: elements that are never closed nest without bound
+    while todo:
+        group = next(todo[-1], None)
+        if group is None:
+            todo.pop()
+            continue
+        lines.append(f"{len(todo) - 1}:{group[0].key}")
         for x in group:
-            x.number = number
-        if depth < 40:
-            walk(group, depth + 1)
-
-    walk([root], 0)
+            x.number = len(lines) - 1
+        todo.append(groups(group))
     return "\n".join(lines)
 
 
@@ -168,39 +177,49 @@ def tree(folded: str) -> list[tuple[str, list[int]]]:
 
 
 def match(one: str, other: str) -> dict[int, int]:
-    """Simple tree matching: which node of `other` each node of `one` is aligned with."""
+    """Simple tree matching: which node of `other` each node of `one` is aligned with.
+
+    Pairs of nodes are met from the roots down, through children with equal keys, and scored from the deepest up: a pair
+    counts itself and the best order-keeping set of pairs of its children.
+    """
     if one == other:
         return {k: k for k in range(one.count("\n") + 1)} if one else {}
     a, b = tree(one), tree(other)
-    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def score(i: int, j: int) -> int:
-        if a[i][0] != b[j][0]:
-            return 0
-        if (i, j) not in known:
-            x, y = a[i][1], b[j][1]
-            table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for p, c in enumerate(x, 1):
-                for q, d in enumerate(y, 1):
-                    table[p][q] = max(table[p - 1][q], table[p][q - 1], table[p - 1][q - 1] + score(c, d))
-            pairs, p, q = [], len(x), len(y)
-            while p and q:
-                if table[p][q] == table[p - 1][q]:
-                    p -= 1
-                elif table[p][q] == table[p][q - 1]:
-                    q -= 1
-                else:
-                    p, q = p - 1, q - 1
-                    pairs.append((x[p], y[q]))
-            known[i, j] = table[-1][-1] + 1, pairs
-        return known[i, j][0]
-
+    top = len(a) - 1, len(b) - 1
+    order, below = [top], {}
+    for i, j in order:  # grows as it is read; two nodes meet at one depth only
+        x, y = a[i][1], b[j][1]
+        named: dict[str, list[int]] = {}
+        for d in y:
+            named.setdefault(b[d][0], []).append(d)
+        below[i, j] = [(c, d) for c in x for d in named.get(a[c][0], ())]
+        order += below[i, j]
+    score: dict[tuple[int, int], int] = {}
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, j in reversed(order):
+        x, y = a[i][1], b[j][1]
+        if not below[i, j]:
+            score[i, j], pairs[i, j] = 1, []
+            continue
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for p, c in enumerate(x, 1):
+            row, before = table[p], table[p - 1]
+            for q, d in enumerate(y, 1):
+                row[q] = max(before[q], row[q - 1], before[q - 1] + score.get((c, d), 0))
+        found, p, q = [], len(x), len(y)
+        while p and q:
+            if table[p][q] == table[p - 1][q]:
+                p -= 1
+            elif table[p][q] == table[p][q - 1]:
+                q -= 1
+            else:
+                p, q = p - 1, q - 1
+                found.append((x[p], y[q]))
+        score[i, j], pairs[i, j] = table[-1][-1] + 1, found
     out: dict[int, int] = {}
-    score(len(a) - 1, len(b) - 1)
-    todo = [(len(a) - 1, len(b) - 1)]
+    todo = [top]
     while todo:
-        pair = todo.pop()
-        for i, j in known[pair][1] if pair in known else ():
+        for i, j in pairs[todo.pop()]:
             out[i] = j
             todo.append((i, j))
     return out
