@@ -1,5 +1,5 @@
-"""Token ids as Parquet list columns: dictionary pages for ids, delta encoding for counts and places, bounded row
-groups and pages, page indexes; a reader of the metadata columns touches no token page, and a reader of some doc_ids
+"""Token ids as Parquet list columns: dictionary pages, delta encoding where a column chunk has too many values for a
+dictionary (version 2 pages), bounded row groups and pages, page indexes; a reader of the metadata columns touches no token page, and a reader of some doc_ids
 touches only the row groups and pages whose ranges hold them.
 
 Nulls and empty texts are documents of the end id alone. Rows of one doc_id stand in the order of their texts. An empty

@@ -58,7 +58,7 @@ class Encoder:
     A pre-token of this tokenizer takes a space at its front only, so a text falls at every single space between two
     other characters into pieces with ids of their own. A batch's pieces are told apart by Arrow; each worker asks the
     tokenizer once for each piece, or for the pre-tokens in it, and remembers the answers. A text with white space of
-    any other shape around its spaces is encoded as a whole. tests/llm hold all of it against the ids of whole texts.
+    any other shape around its spaces, or with the content of an added token, such as the end mark, is encoded as a whole. tests/llm hold all of it against the ids of whole texts.
     """
 
     def __init__(self, path: str):
@@ -67,7 +67,8 @@ class Encoder:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Contents of added tokens, which the tokenizer cuts out of a text before anything else.
+        self.added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         #: The same model, given words of byte letters that stand line by line.
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
@@ -167,6 +168,8 @@ class Encoder:
         heads = words.take(pa.array(edges[:-1])).to_pylist()  # the first piece of a text has no space before it
         index[edges[:-1]] = len(found) + np.arange(len(heads))
         odd = np.array([not h or h[-1].isspace() for h in heads])
+        for mark in self.added:
+            odd |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
         if bad.any():
             marks = np.concatenate((bad, odd))[index]
             odd = np.logical_or.reduceat(marks, edges[:-1])
