@@ -2,9 +2,10 @@
 
 Every notice in NOTICES is a template of words, some of them mandatory (its key phrase). Document frequencies of the
 templates' words are counted over all documents; the words of highest inverse document frequency of each template form
-the index: word -> (template, place). A document's occurrences of indexed words give candidates (template, start) by
-their relative places; a candidate counts if the template's mandatory words stand exactly there and at least MATCH of
-its weight (inverse document frequencies) agrees place by place. Besides, the base phrases are counted at every place.
+the index: word -> (template, place). A document's places of a template's indexed words, each less the word's place in the
+template, are intersected: what is left are the starts at which all of them stand at their relative places. A start
+counts if the template's mandatory words stand exactly there and at least MATCH of its weight (inverse document
+frequencies) agrees place by place. Indexed words are the rarest of the mandatory ones, so the intersection loses none. Besides, the base phrases are counted at every place.
 
 Null texts are empty, without words. Places overlap freely and are all counted. An empty table gives no rows. Extra
 columns are ignored. score is the largest agreeing share of any candidate whose mandatory words stand, 1 for a base
@@ -93,6 +94,10 @@ def _starts(key: list[str]):
     return F.transform(F.filter("_ends", stands), lambda i: i - n)
 
 
+def _numbered(t: int, starts):
+    return F.transform(starts, lambda a: a.cast("long") + F.lit(t * _SHIFT).cast("long"))
+
+
 def scan(df: DataFrame, notices=NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     words = with_words(df)
@@ -106,11 +111,21 @@ def scan(df: DataFrame, notices=NOTICES) -> DataFrame:
     words = words.withColumn("_all", F.concat(*base))
 
     rare = F.array(*map(F.lit, sorted(postings)))
-    table = F.create_map(*[x for word, where in postings.items() for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in where]))])
     hits = F.filter(F.transform(w, lambda x, i: F.struct(F.when(F.array_contains(rare, x), x).alias("x"), i.alias("i"))), lambda h: h["x"].isNotNull())
-    # a candidate as one number, template * 2^40 + start, so that repeated ones go by hashing; starts before the text fall away
-    candidates = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.filter(F.element_at(table, h["x"]), lambda q: q["p"] <= h["i"]), lambda q: q["t"].cast("long") * _SHIFT + (h["i"] - q["p"])))))
-    words = words.withColumn("_found", F.when(F.arrays_overlap(w, rare), candidates).otherwise(F.array().cast("array<bigint>")))
+    words = words.withColumn("_hits", F.when(F.arrays_overlap(w, rare), hits))
+
+    def starts_of(word: str, place: int):
+        """Where a template would start for each place of one of its words."""
+        here = F.filter("_hits", lambda h: (h["x"] == word) & (h["i"] >= place))
+        return F.transform(here, lambda h: h["i"] - F.lit(place))
+
+    of: dict[int, list] = {}
+    for word, where in postings.items():
+        for t, place in where:
+            of.setdefault(t, []).append(starts_of(word, place))
+    # the intersection of a template's postings, each as one number: template * 2^40 + start
+    met = [_numbered(t, functools.reduce(F.array_intersect, lists)) for t, lists in sorted(of.items())]
+    words = words.withColumn("_found", F.when(F.col("_hits").isNotNull(), F.concat(*met)).otherwise(F.array().cast("array<bigint>")))
     literal = _literal(templates)
 
     def judged(c):
