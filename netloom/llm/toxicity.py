@@ -2,25 +2,30 @@
 
 The kernel of two words is the subsequence kernel of Lodhi et al.: shared subsequences of ORDER letters, each weighted
 by DECAY to the power of the stretch it covers, normalised to 1 for equal words; an insult with letters put in between,
-or some left out, stays close to the insult. Pairs whose skip-bigrams (gaps up to three letters) agree in less than
-SCREEN of the landmark's count as 0, which spares the sum for most words. Landmarks are words that stand much oftener
-in toxic documents than in others, by a likelihood ratio that one of so many words reaches by chance, or the best of them
-where labelled rows are too few for that; the Nyström map K_mm^-1/2 k(word, landmarks) makes the machine linear. It is trained
-on the labelled documents as bags of words: each toxic bag is represented by its words that stand out
-and its highest-scoring one, chosen anew in each of a few rounds, the others by all of theirs. A text is scored by how many of its words reach each of a few
-margins, through a logistic curve without negative weights that is fitted on the training rows.
+doubled, swapped or left out stays closer to the insult than other words are. Pairs whose skip-bigrams (gaps up to three
+letters) agree in less than SCREEN of the landmark's count as 0, which spares the sum for most words; tests hold the recall
+of that screen. Words are whole: one longer than LETTERS is looked at in overlapping stretches, landmarks too. Landmarks are
+words that stand much oftener in toxic documents than in others, by a likelihood ratio that one of so many words reaches
+by chance, or the best of them where labelled rows are too few for that; the Nyström map K_mm^-1/2 k(word, landmarks) makes
+the machine linear. It is trained on the labelled documents as bags of words: each toxic bag is represented by its words
+that stand out and its highest-scoring one, chosen anew in each of a few rounds, and by gapped forms of the words that stand
+out (virtual examples, see `gapped`), the others by all of theirs. A text's score is a logistic curve, without negative
+weights, of the margins of its two worst words, fitted on the training rows and on virtual rows that have a gapped insult
+in the place of theirs, so that one insult with a letter put in reaches the score as the insult itself does.
 
 Learning takes at most SAMPLE labelled rows of each label, the first by a hash of doc_id, a bound that does not grow
 with the corpus; scoring is a map over all rows and whole texts, with a memory of scores for words in each worker. Runs
-of single letters count as one word. Nulls and empty texts get the score of a text without any word. Without two labels
-to learn from, or without a word that is oftener in toxic rows, every score is 0. Equal texts get equal scores. An empty table gives no rows. Extra columns are ignored,
-or kept by clean().
+of single letters count as one word, and so do words whose every second letter is one and the same. Letters with accents
+count as the letter alone, other letters by classes of code points. Nulls and empty texts get the score of a text without
+any word. Without two labels to learn from, or without a word that is oftener in toxic rows, every score is 0. Equal texts
+get equal scores, repeated rows too. An empty table gives no rows. Extra columns are ignored, or kept by clean().
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 from statistics import NormalDist
@@ -33,14 +38,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, DECAY, SCREEN = 3, 0.7, 0.5
+ORDER, DECAY, SCREEN = 3, 0.85, 0.55
 #: Labelled rows of each label to learn from, landmarks, letters of a word that are looked at together.
 SAMPLE, LANDMARKS, LETTERS = 2000, 64, 24
-#: Scores of words (margins of the machine) at which a text's words are counted.
-STEPS = (0.0, 0.3, 0.6, 0.8, 0.9)
+#: The kernel is the mean of the subsequence kernel and of this power of it, which tells near words apart.
+SHARP = 4
+#: Words of a text whose margins are looked at.
+WORST = 2
 #: Words whose scores a worker remembers.
 REMEMBERED = 600_000
-_SIGMA = 32
+_SIGMA = 256
+_FIRST, _LAST = b"\xfe", b"\xff"
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _spaced = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){3,}(?!\S)")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -56,11 +64,12 @@ def pieces(text: str) -> list[str]:
 
 
 class _Table(dict):
-    """Letters as small numbers, for str.translate: a-z 1 to 26, others in the five classes behind; other marks fall away."""
+    """Letters as numbers below 256, for str.translate: a-z 1 to 26, accents aside; others in the classes behind; other marks fall away."""
 
     def __missing__(self, point: int):
         c = _LEET.get(chr(point), chr(point))
-        self[point] = got = chr(ord(c) - 96) if "a" <= c <= "z" else chr(27 + point % 5) if c.isalnum() else None
+        plain = unicodedata.normalize("NFKD", c)[:1]
+        self[point] = got = chr(ord(plain) - 96) if "a" <= plain <= "z" else chr(27 + point % 227) if c.isalnum() else None
         return got
 
 
@@ -68,18 +77,35 @@ _table = _Table()
 
 
 def codes(word: str) -> bytes:
-    return _edges.sub("", word).translate(_table).encode("latin-1")
+    """A word's letters between marks for its two ends, which count as letters."""
+    letters = _edges.sub("", word).translate(_table).encode("latin-1")
+    return _FIRST + letters + _LAST if letters else b""
 
 
 def parts(letters: bytes) -> list[bytes]:
-    """The letters of a word, of a long one in overlapping stretches."""
+    """The letters of a word, of a long one in overlapping stretches; without its filler where every second letter is the same."""
     if len(letters) <= LETTERS:
+        inner = letters[1:-1]
+        if len(inner) > 6 and inner[1::2].count(inner[1]) == len(inner) // 2:
+            return [letters, _FIRST + inner[::2] + _LAST]
         return [letters]
     return [letters[a : a + LETTERS] for a in range(0, len(letters) - LETTERS // 2, LETTERS // 2)]
 
 
+def gapped(letters: bytes) -> list[bytes]:
+    """Forms that a word may hide in: a letter or two put in, one doubled, left out or swapped; all are made by rule."""
+    word = letters[1:-1]
+    n, mid = len(word), len(word) // 2
+    odd = [bytes([1 + (7 * k + 9 * n + sum(word)) % 26]) for k in range(4)]
+    out = [word[:mid] + odd[0] + word[mid:], word[:2] + odd[1] + word[2:], word[:mid] + odd[2] + odd[3] + word[mid:], word[:2] + word[1:]]
+    if n > 4:
+        out += [word[:mid] + word[mid + 1 :], word[:1] + word[2:3] + word[1:2] + word[3:]]
+    return [_FIRST + x + _LAST for x in out]
+
+
 def padded(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(w.ljust(LETTERS, b"\0") for w in words), np.int8).reshape(-1, LETTERS)
+    wide = max([LETTERS, *map(len, words)])  # forms of a long word may be longer by a letter or two
+    return np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(-1, wide)
 
 
 def skips(x: np.ndarray, columns: np.ndarray, n: int, gaps: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
@@ -115,7 +141,7 @@ def subsequences(x: np.ndarray, y: np.ndarray, order: int = ORDER, decay: float
 
 @dataclass
 class Machine:
-    marks: np.ndarray = field(default_factory=lambda: np.zeros((0, LETTERS), np.int8))
+    marks: np.ndarray = field(default_factory=lambda: np.zeros((0, LETTERS), np.uint8))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the kernel row: Nyström map and hyperplane in one
     bias: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -134,29 +160,41 @@ class Machine:
     def kernel(self, x: np.ndarray) -> np.ndarray:
         """(words, landmarks), normalised; 0 below the screen."""
         out = np.zeros((len(x), len(self.marks)), np.float32)
-        for at in range(0, len(x), 2000):
-            part = x[at : at + 2000]
+        long = (x > 0).sum(axis=1)
+        spans = (self.marks > 0).sum(axis=1)
+        for at in range(0, len(x), 20_000):
+            part, size = x[at : at + 20_000], long[at : at + 20_000]
             i, j = np.nonzero(skips(part, self.columns, len(self.screen)) @ self.screen >= SCREEN)
+            if not len(i):
+                continue
+            some = np.unique(i)
+            own = np.ones(len(part))
+            for k in np.array_split(some[np.argsort(size[some], kind="stable")], -(-len(some) // 2000)):
+                s = part[k][:, : size[k].max()]
+                own[k] = np.sqrt(np.maximum(subsequences(s, s), 1e-300))
+            order = np.argsort(size[i], kind="stable")  # words of one length side by side: no sums over empty places
+            i, j = i[order], j[order]
             for k in range(0, len(i), 2000):
                 a, b = i[k : k + 2000], j[k : k + 2000]
-                wide = max(1, int((part[a] > 0).sum(axis=1).max(initial=1)))
-                long = max(1, int((self.marks[b] > 0).sum(axis=1).max(initial=1)))
-                s, t = part[a][:, :wide], self.marks[b][:, :long]
-                norm = np.sqrt(np.maximum(subsequences(s, s), 1e-300)) * self.own[b]
-                out[at + a, b] = subsequences(s, t) / norm
+                s, t = part[a][:, : size[a].max()], self.marks[b][:, : spans[b].max()]
+                alike = subsequences(s, t) / (own[a] * self.own[b])
+                out[at + a, b] = (alike + alike**SHARP) / 2
         return out
 
     def words(self, some: list[str]) -> np.ndarray:
-        """The score of each word: of its best stretch. Words of the same letters are looked at once."""
+        """The margin of each word: of its nearest stretch to each landmark. Words of the same letters are looked at once."""
         spelt = [codes(w) for w in some]
         different = {x: k for k, x in enumerate(dict.fromkeys(spelt))}
-        cut = [parts(x) for x in different]
+        best = self.margins(list(different))
+        return best[[different[x] for x in spelt]]
+
+    def margins(self, spelt: list[bytes]) -> np.ndarray:
+        cut = [parts(x) for x in spelt]
         flat = [p for c in cut for p in c]
         if not flat:
             return np.zeros(0)
-        got = self.kernel(padded(flat)) @ self.weight + self.bias
-        best = np.maximum.reduceat(got, np.cumsum([0, *map(len, cut)])[:-1])
-        return best[[different[x] for x in spelt]]
+        got = np.maximum.reduceat(self.kernel(padded(flat)), np.cumsum([0, *map(len, cut)])[:-1])
+        return got @ self.weight + self.bias
 
     def remember(self, some: set[str]) -> None:
         """Put the scores of `some` into `known`: from the generation before, else anew."""
@@ -175,13 +213,10 @@ class Machine:
         known.update((w, floor if x == floor else x) for w, x in zip(new, self.words(new).tolist()))
 
     def features(self, words: set[str]) -> list[float]:
-        """Whether one word, whether two, and how many words reach each of STEPS."""
-        found = [x for x in map(self.known.__getitem__, words) if x > STEPS[0]]
-        out = []
-        for step in STEPS:
-            n = sum(x > step for x in found)
-            out += [float(n > 0), float(n > 1), float(np.log1p(n))]
-        return out
+        """The margins of the worst words, from the worst on, between -1 and 2."""
+        floor = float(self.bias)
+        found = sorted(x for x in map(self.known.__getitem__, words) if x > floor)[-WORST:]
+        return worst(found, floor)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not len(self.curve):
@@ -191,22 +226,27 @@ class Machine:
             bags = [set(pieces(t)) for t in texts[at : at + 500]]
             self.remember(set().union(*bags))
             out.extend(map(self.features, bags))
-        x = np.array(out).reshape(-1, 3 * len(STEPS))
+        x = np.array(out).reshape(-1, WORST)
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
-def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge) by accelerated gradient steps."""
+def worst(found: list[float], floor: float) -> list[float]:
+    """`found`: margins above `floor`, the greatest last."""
+    return [min(2.0, max(-1.0, x)) for x in [*found[::-1], *[floor] * WORST][:WORST]]
+
+
+def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, start: np.ndarray | None = None, l2: float = 1e-4, steps: int = 500) -> np.ndarray:
+    """A linear support vector machine (squared hinge) by accelerated gradient steps: weights, and the constant behind them."""
     n = cost.sum()
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = v = np.zeros(z.shape[1])
-    lip = 2 * np.linalg.eigvalsh((z * cost[:, None]).T @ z / n)[-1] + l2
+    z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    w = v = np.zeros(z.shape[1]) if start is None else start
+    lip = 2 * np.linalg.eigvalsh((z * cost[:, None].astype(np.float32)).T.astype(float) @ z / n)[-1] + l2
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (z @ v))
-        grad = -2 * ((cost * y * slack) @ z) / n + l2 * np.append(v[:-1], 0)
+        slack = np.maximum(0, 1 - y * (z @ v.astype(np.float32)))
+        grad = -2 * ((cost * y * slack).astype(np.float32) @ z) / n + l2 * np.append(v[:-1], 0)
         new = v - grad / lip
         v, w = new + t / (t + 3) * (new - w), new
-    return w[:-1], float(w[-1])
+    return w
 
 
 def logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -252,7 +292,7 @@ def stands_out(words: int) -> float:
     return NormalDist().inv_cdf(1 - 0.5 / max(2, words)) ** 2
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LANDMARKS, rounds: int = 3) -> Machine:
+def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LANDMARKS, rounds: int = 4) -> Machine:
     """`prior`: the weight of each row, so that both labels have the share they have among all labelled rows."""
     if toxic.all() or not toxic.any():
         return Machine()
@@ -264,7 +304,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
     spell = {w: codes(w) for b in bags for w in b}
     seen = [Counter(), Counter()]
     for b, y in zip(bags, toxic):
-        seen[int(y)].update({spell[w] for w in b if len(spell[w]) > 2})
+        seen[int(y)].update({spell[w] for w in b if len(spell[w]) > 4})
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     ratios = {}
     for s, c in seen[1].items():  # the likelihood ratio of its counts, where it is much the oftener in toxic rows
@@ -278,19 +318,30 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
     excess = {s: ratio for s, ratio in ratios.items() if ratio > least}
     ranked = sorted(excess, key=lambda s: (-excess[s], s))
     chosen: list[bytes] = []
-    for letters in ranked:  # the strongest words that are not all but one with a chosen one
-        x = padded([letters[:LETTERS]])
+    for letters in [p for w in ranked for p in parts(w)]:  # the strongest words, or stretches of long ones, that are not all but one with a chosen one
+        if len(letters) < ORDER:
+            continue
+        x = padded([letters])
         if chosen:
             y = padded(chosen)
             near = subsequences(np.repeat(x, len(y), 0), y) / np.sqrt(subsequences(x, x)[0] * subsequences(y, y) + 1e-300)
             if near.max() > 0.85:
                 continue
-        chosen.append(letters[:LETTERS])
+        chosen.append(letters)
         if len(chosen) == marks:
             break
     if not chosen:
         return Machine()
     machine = Machine(marks=padded(chosen), weight=np.zeros(len(chosen)))
+    # words of other rows that are close to a landmark become landmarks too: what tells them apart has to be in the map
+    near = [w for w, c in seen[0].most_common() if c > 1 and len(w) <= LETTERS and w not in excess]
+    close: list[tuple[float, bytes]] = []
+    for at in range(0, len(near), 20_000):
+        some = near[at : at + 20_000]
+        best = machine.kernel(padded(some)).max(axis=1)
+        close += [(seen[0][some[k]], some[k]) for k in np.flatnonzero(best >= 0.4)]
+    chosen += [w for _, w in sorted(close, key=lambda x: (-x[0], x[1]))[: marks // 2]]
+    machine = Machine(marks=padded(chosen), weight=np.zeros(len(chosen)))
     k = machine.kernel(machine.marks)
     k = (k + k.T) / 2
     values, vectors = np.linalg.eigh((k + 1e-6 * np.eye(len(k))).astype(np.float64))
@@ -299,7 +350,6 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
     number = {w: i for i, w in enumerate(vocabulary)}
     rows = [np.array([number[w] for w in b], np.int64) for b in bags]
     sign = np.array([excess.get(spell[w], 0.0) for w in vocabulary])
-    seen.clear()
     # words below the screen are one and the same point, the origin: only the others' rows are kept, row 0 stands for the rest
     place, kept = np.zeros(len(vocabulary), np.int64), [np.zeros((1, len(chosen)), np.float32)]
     for at in range(0, len(vocabulary), 20_000):
@@ -311,31 +361,75 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
         kept.append(k[some])
     raw = np.concatenate(kept) @ root
     score = sign.copy()
-    negative = Counter(int(i) for r, y in zip(rows, toxic) if not y for i in r)
-    common_words = np.array(sorted(i for i in negative if place[i]), np.int64)
-    worth = np.array([*[negative[i] for i in common_words.tolist()], sum(c for i, c in negative.items() if not place[i])], float)
+    background = Counter(int(i) for r, y in zip(rows, toxic) if not y for i in r)
+    common_words = np.array(sorted(i for i in background if place[i]), np.int64)
+    worth = np.array([*[background[i] for i in common_words.tolist()], sum(c for i, c in background.items() if not place[i])], float)
+    forms = {w: gapped(spell[w]) for w in sorted({spell_of for spell_of in vocabulary if excess.get(spell[spell_of], 0.0) > 0}) if len(spell[w]) <= LETTERS}
+    flat = [f for some in forms.values() for f in some]
+    virtual = machine.kernel(padded(flat)) @ root if flat else np.zeros((0, len(chosen)))
+    owner = [number[w] for w, some in forms.items() for _ in some]
+    where, plane = np.concatenate((common_words, [-1])), None
     for turn in range(rounds):
-        witness = Counter()
+        witness, against = Counter(), Counter()
         for r, y in zip(rows, toxic):
-            if y and len(r):
-                best = r[np.argmax(score[r])]
-                witness.update({int(i) for i in r[sign[r] > 0]} | ({int(best)} if turn else set()))
+            if not len(r):
+                continue
+            best = int(r[np.argmax(score[r])])
+            if y:
+                witness.update({int(i) for i in r[sign[r] > 0]} | ({best} if turn else set()))
+            elif turn:
+                against[best if place[best] else -1] += 1
         mine = np.array(sorted(witness), np.int64)
         if not len(mine):
             return Machine()
-        x = np.vstack([raw[place[mine]], raw[place[common_words]], raw[:1]])
-        y = np.concatenate((np.ones(len(mine)), -np.ones(len(worth))))
-        cost = np.concatenate(([witness[i] for i in mine.tolist()], worth * sum(witness.values()) / worth.sum()))
-        w, bias = hinge(x, y, cost)
+        x = np.vstack([raw[place[mine]], virtual, raw[place[common_words]], raw[:1]])
+        y = np.concatenate((np.ones(len(mine) + len(virtual)), -np.ones(len(worth))))
+        often = np.array([*[witness[i] for i in mine.tolist()], *[witness[i] / len(forms[vocabulary[i]]) for i in owner]], float)
+        other = worth * often.sum() / worth.sum()
+        if turn:  # besides, the worst word of each other row counts as one, as a toxic row's words do
+            other = other + np.array([against[i] for i in where.tolist()], float)
+        cost = np.concatenate((often, other))
+        plane = hinge(x, y, cost, plane)
+        w, bias = plane[:-1], float(plane[-1])
         score = (raw @ w + bias)[place]
     machine = Machine(marks=machine.marks, weight=root @ w, bias=bias)
     machine.known = dict(zip(vocabulary, score.tolist()))
-    x = np.array([machine.features(set(b)) for b in bags])
-    machine.curve = logistic(x, toxic.astype(float), prior)
+    x = [machine.features(set(b)) for b in bags]
+    y, cost = toxic.astype(float), prior.copy()
+    # a virtual row for each form: a toxic row with that form in the place of the words that stand out, half as much as the row itself in all
+    shown = dict(zip(range(len(virtual)), (virtual @ w + bias).tolist()))
+    of = {v: [k for k, o in enumerate(owner) if o == v] for v in set(owner)}
+    more, weights = [], []
+    for k in np.flatnonzero(toxic).tolist():
+        hidden = [j for i in rows[k][sign[rows[k]] > 0].tolist() for j in of.get(i, ())]
+        if not hidden:
+            continue
+        rest = sorted(v for v in score[rows[k]][sign[rows[k]] <= 0].tolist() if v > bias)
+        for j in hidden:
+            more.append(worst(sorted([*rest[-WORST:], shown[j]])[-WORST:], float(bias)))
+            weights.append(cost[k] / (2 * len(hidden)))
+    x, y, cost = np.array([*x, *more]), np.concatenate((y, np.ones(len(more)))), np.concatenate((cost, weights))
+    machine.curve = curve(x, y, cost)
     machine.known = {}
     return machine
 
 
+def curve(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The logistic curve, moved so that 0.5 stands where the fewest rows, by weight, are on the wrong side, in the middle of the gap there."""
+    w = logistic(x, y, cost)
+    if not w[:-1].any():
+        return w
+    z = x @ w[:-1]
+    order = np.argsort(z, kind="stable")
+    z, y, cost = z[order], y[order], cost[order]
+    wrong = np.concatenate(([(cost * (1 - y)).sum()], (cost * (1 - y)).sum() + np.cumsum(cost * np.where(y > 0, 1, -1))))  # with the first k below
+    open_ = np.concatenate(([True], z[1:] > z[:-1], [True]))
+    k = int(np.flatnonzero(open_)[np.argmin(wrong[open_])])
+    low, high = z[max(0, k - 1)], z[min(k, len(z) - 1)]
+    w[-1] = -(low + high) / 2
+    return w
+
+
 def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Learn from the labelled rows outside the held-out fifth."""
     common.small_batches(df.sparkSession)
