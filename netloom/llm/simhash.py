@@ -3,9 +3,10 @@
 A document's fingerprint has a bit set where over half of its shingles' XXH64 have it. Distinct fingerprints only are
 compared: copies meet in one row. Fingerprints are dealt by the value of some of their bit blocks: two that differ in
 at most `radius` bits agree in all blocks but `radius`, so each such pair meets in some group, whatever the number of
-fingerprints; with more of them, more and finer block sets keep the groups small. In a group, fingerprints are sorted by
-Gray rank and stand as the leaves of a hierarchy whose nodes hold the mask and the value of the bits that all their
-leaves share; two nodes are set against each other from the top down, and a pair whose shared masked bits already
+fingerprints; with more of them, more and finer block sets keep the groups small. A block set and its value are the topmost node of a
+hierarchy, the mask and the value of bits that the group shares; below it the group's fingerprints are sorted by Gray
+rank and stand as the leaves of a tree whose nodes hold the mask and the value of the bits that all their leaves share.
+Groups of any size go through their trees, many at a time; two nodes are set against each other from the top down, and a pair whose shared masked bits already
 differ in more than `radius` places is dropped with everything below it. So is a pair whose leaves are all linked
 already, so that a group of near copies gives a tree of links and not all pairs. Groups above `CROWD` fingerprints
 take another exact way: every fingerprint names all points within half the radius, and those that name one point are
@@ -31,7 +32,8 @@ from . import common
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Groups up to this size are joined in one task.
 CROWD = 200_000
-LEAVES = 8
+#: Children of a node of the hierarchy, leaves and nodes.
+LEAVES, FAN = 8, 4
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -68,22 +70,39 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hierarchy:
-    """Gray-sorted fingerprints under nodes that hold what bits all leaves below share."""
+class Forest:
+    """Groups of fingerprints, each Gray-sorted under a tree whose nodes hold what bits all leaves below share.
 
-    def __init__(self, fps: np.ndarray):
-        order = np.argsort(gray_rank(fps), kind="stable")
+    All trees are built level by level together, so that many small groups cost no more than one large group of that
+    size; every group goes through its tree, however small. `tally` counts node pairs seen, those dropped by the shared
+    bits or since their leaves are linked already, and pairs of fingerprints that were compared.
+    """
+
+    def __init__(self, fps: np.ndarray, group: np.ndarray):
+        order = np.lexsort((gray_rank(fps), group))
         self.order, self.fps = order, fps[order]
-        low, high = self.fps, self.fps  # bits set in all leaves, in any leaf
-        self.levels = [(low, high)]
-        while len(low) > 1:
-            width = LEAVES if len(self.levels) == 1 else 4
-            at = np.arange(0, len(low), width)
-            low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
-            self.levels.append((low, high))
+        group = group[order]
+        self.levels = [(self.fps, self.fps)]  # bits set in all leaves below, in any of them
+        self.child: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]  # first child and how many
+        self.leaf = [(np.arange(len(fps)), np.ones(len(fps), np.int64))]  # first leaf and how many
+        self.group = [group]
+        while len(group) > 1 and (group[1:] == group[:-1]).any():
+            width = LEAVES if len(self.levels) == 1 else FAN
+            edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            inside = np.arange(len(group)) - np.repeat(edge, np.diff(np.concatenate((edge, [len(group)]))))
+            at = np.flatnonzero(inside % width == 0)
+            many = np.diff(np.concatenate((at, [len(group)])))
+            low, high = self.levels[-1]
+            self.levels.append((np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)))
+            self.child.append((at, many))
+            first, count = self.leaf[-1]
+            self.leaf.append((first[at], np.add.reduceat(count, at)))
+            group = group[at]
+            self.group.append(group)
+        self.tally = {"seen": 0, "pruned": 0, "linked": 0, "compared": 0}
 
     def linked(self, radius: int) -> np.ndarray:
-        """For each fingerprint in Gray order the first one of its component by links of at most `radius` bits."""
+        """For each fingerprint in tree order the first one of its component by links of at most `radius` bits."""
         n = len(self.fps)
         parent = np.arange(n)
 
@@ -105,15 +124,14 @@ class Hierarchy:
 
         for step in (1, 2, 3, 5, 8):  # neighbours in the order first: most links of a cluster are there
             if step < n:
-                near = np.flatnonzero(np.bitwise_count(self.fps[step:] ^ self.fps[:-step]) <= radius)
+                near = np.flatnonzero((self.group[0][step:] == self.group[0][:-step]) & (np.bitwise_count(self.fps[step:] ^ self.fps[:-step]) <= radius))
                 union(near, near + step)
         top = len(self.levels) - 1
-        a = b = np.zeros(1, np.int64)
-        self.descend(a, b, top, radius, parent, union)
-        return parent
-
-    def descend(self, a, b, level, radius, parent, union) -> None:
-        stack = [(a, b, level)]
+        if not top:
+            return parent
+        roots = np.arange(len(self.levels[top][0]))
+        roots = roots[self.leaf[top][1] > 1]
+        stack = [(roots, roots, top)]
         while stack:
             a, b, level = stack.pop()
             if len(a) > 200_000:  # bounded memory: halves, one after the other
@@ -123,28 +141,28 @@ class Hierarchy:
             low, high = self.levels[level]
             share = ~(low[a] ^ high[a]) & ~(low[b] ^ high[b])  # bits that are constant below both
             near = np.bitwise_count((low[a] ^ low[b]) & share) <= radius
+            self.tally["compared" if level == 0 else "seen"] += len(a)
+            self.tally["pruned"] += 0 if level == 0 else int(len(a) - near.sum())
             a, b = a[near], b[near]
             if level == 0:
                 union(a, b)
                 continue
             if level <= 3 and len(a):
-                first, last = self.span(level, len(parent))
+                first = self.leaf[level][0]
                 one, same = parent[first], np.minimum.reduceat(parent, first) == np.maximum.reduceat(parent, first)
                 apart = ~(same[a] & same[b] & (one[a] == one[b]))
+                self.tally["linked"] += int(len(a) - apart.sum())
                 a, b = a[apart], b[apart]
             if not len(a):
                 continue
-            width, n = (LEAVES if level == 1 else 4), len(self.levels[level - 1][0])
-            x = (a[:, None] * width + np.arange(width)[None, :]).repeat(width, axis=1)
-            y = np.tile(b[:, None] * width + np.arange(width)[None, :], (1, width))
-            x, y = x.ravel(), y.ravel()
-            fit = (x < n) & (y < n) & ((x < y) if level == 1 else (x <= y))
-            stack.append((x[fit], y[fit], level - 1))
-
-    def span(self, level: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        width = LEAVES * 4 ** (level - 1)
-        first = np.arange(0, n, width)
-        return first, np.minimum(first + width, n)
+            first, many = self.child[level]
+            width = int(many[a].max()), int(many[b].max())
+            x = (first[a][:, None] + np.arange(width[0])[None, :])[:, :, None]
+            y = (first[b][:, None] + np.arange(width[1])[None, :])[:, None, :]
+            fit = (x < (first[a] + many[a])[:, None, None]) & (y < (first[b] + many[b])[:, None, None]) & ((x < y) if level == 1 else (x <= y))
+            x, y = np.broadcast_to(x, fit.shape)[fit], np.broadcast_to(y, fit.shape)[fit]
+            stack.append((x, y, level - 1))
+        return parent
 
 
 def block_sets(n: int, radius: int = RADIUS) -> list[int]:
@@ -196,28 +214,15 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, crowd: int = CROWD) -> D
 
 
 def grouped(f: np.ndarray, cuts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each of the groups into which `cuts` part `f`: small groups all at once, others by a hierarchy each."""
+    """Links inside each of the groups into which `cuts` part `f`, all through one forest."""
     edges = np.concatenate(([0], cuts, [len(f)]))
     sizes = np.diff(edges)
-    left, right = [], []
-    small = sizes <= 64
     group = np.repeat(np.arange(len(sizes)), sizes)
-    quiet = small[group]
-    for step in range(1, int(sizes[small].max()) if small.any() else 1):
-        same = np.flatnonzero((group[step:] == group[:-step]) & quiet[:-step])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(f[same] ^ f[same + step]) <= radius]
-        left.append(f[near])
-        right.append(f[near + step])
-    for k in np.flatnonzero(~small):
-        tree = Hierarchy(f[edges[k] : edges[k + 1]])
-        first = tree.linked(radius)
-        moved = np.flatnonzero(first != np.arange(len(first)))
-        left.append(tree.fps[first[moved]])
-        right.append(tree.fps[moved])
-    none = np.array([], np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    several = sizes[group] > 1
+    forest = Forest(f[several], group[several])
+    first = forest.linked(radius)
+    moved = np.flatnonzero(first != np.arange(len(first)))
+    return forest.fps[first[moved]], forest.fps[moved]
 
 
 def balls(fps: DataFrame, radius: int) -> DataFrame:
