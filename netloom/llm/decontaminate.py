@@ -1,21 +1,24 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Texts and items are words (A-Z lower-cased, ASCII punctuation and white space between them) and their shingles of
-SHINGLE words, weighted by how often they stand. A window has as many words as the item it is held against (a shorter
-document is one window). Windows without any shingle of an item can't be alike and are passed over; every other window
-around such a shingle gets a SimHash from running sums of its shingles' bits. Items are filed under the blocks of their
-own SimHash: with BLOCKS blocks, a fingerprint within RADIUS bits differs in at most RADIUS // BLOCKS bits of some
-block, so the lists of all near block values hold every item within the radius. Candidates are verified by the exact
-weighted Jaccard similarity of their shingles.
-
-The items go to every task in blocks of at most ITEMS, one pass over the documents each. Null and empty texts match
-nothing, nor do items without words; shorter texts than a shingle are one shingle. Rows are judged one by one, repeated
-ones too. Empty tables give no rows. Extra columns are ignored, or kept by clean().
+SHINGLE words, weighted by how often they stand; an item of fewer words is one shingle of its own length, looked for at
+every place of a text. A window has as many words as the item it is held against (a shorter document is one window).
+Windows without any shingle of an item of that length can't be alike and are not hashed; every other one gets a SimHash
+from running sums of its shingles' bits. Items are filed by length under the blocks of their own SimHash: with BLOCKS
+blocks, a fingerprint within RADIUS bits differs in at most RADIUS // BLOCKS bits of some block, so the lists of all near
+block values hold every item within the radius, and they alone name the candidates. Those within the radius are verified
+by the exact weighted Jaccard similarity of their shingles.
+
+The items go to every task in blocks of at most ITEMS, one pass over the documents each; of several blocks the driver
+holds one at a time, and what a pass finds is written before the next. Null and empty texts match nothing, nor do items
+without words. Rows are judged one by one, repeated ones too. Empty tables give no rows. Extra columns are ignored, or
+kept by clean().
 """
 
 from __future__ import annotations
 
 import string
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +34,8 @@ RADIUS, BLOCKS = 24, 8
 ITEMS = 20_000
 #: Characters of a piece of input at most.
 PIECE = 1 << 18
+#: Pairs of windows and items that are looked at together, at most.
+PAIRS = 1 << 20
 _TABLE = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else b if b >= 128 else 32 for b in range(256))
 _hasher = Hasher()
 
@@ -79,95 +84,128 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 @dataclass
 class Benchmark:
+    """Items whose shingles have `words` words, filed by length under the blocks of their SimHash."""
+
     ids: list
     shingles: list[np.ndarray]
     sizes: np.ndarray  # words of each item
+    words: int = SHINGLE
 
     def __post_init__(self):
         self.fps = np.concatenate([simhash(bits(s).sum(axis=0, keepdims=True)) for s in self.shingles]) if self.ids else np.zeros(0, np.uint64)
-        flat = np.concatenate(self.shingles) if self.ids else np.zeros(0, np.uint64)
-        own = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.shingles]) if self.ids else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.own = flat[order], own[order]
-        self.distinct = np.unique(flat)
-        blocks = self.fps.view(np.uint8).reshape(-1, BLOCKS)  # one byte each
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
-        self.filed = [near[:, blocks[:, k]] for k in range(BLOCKS)]  # block value -> which items
-
-    def near(self, fps: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which of `items` are within RADIUS bits of each fingerprint: found through the blocks, then counted."""
+        self.filed: dict[int, tuple] = {}  # items, their different shingles, and for each block where a value's items begin and which they are
+        for size in np.unique(self.sizes).tolist():
+            items = np.flatnonzero(self.sizes == size)
+            values = self.fps[items].view(np.uint8).reshape(-1, BLOCKS)
+            lists = []
+            for k in range(BLOCKS):
+                value, place = np.nonzero(near[:, values[:, k]])
+                lists.append((np.searchsorted(value, np.arange(257)), place))
+            self.filed[size] = items, np.unique(np.concatenate([self.shingles[i] for i in items])), lists
+        self.distinct = np.unique(np.concatenate(self.shingles)) if self.ids else np.zeros(0, np.uint64)
+        self.tally = Counter()
+
+    def near(self, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) pairs within RADIUS bits, among the items of `size` words: named by the blocks, then counted."""
+        items, _, lists = self.filed[size]
         values = fps.view(np.uint8).reshape(-1, BLOCKS)
-        found = np.zeros((len(fps), len(items)), bool)
-        for k in range(BLOCKS):
-            found |= self.filed[k][values[:, k]][:, items]
-        return found & (np.bitwise_count(fps[:, None] ^ self.fps[items][None, :]) <= RADIUS)
-
-    def search(self, h: np.ndarray, n_words: int, k: int = SHINGLE, like: float = LIKE) -> list[tuple[int, float, int]]:
+        named = []
+        for k, (begin, place) in enumerate(lists):
+            first = begin[values[:, k]]
+            many = begin[values[:, k].astype(np.int64) + 1] - first
+            own = np.repeat(np.arange(len(fps)), many)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + first[own]
+            named.append(own * len(items) + place[at])
+        pairs = np.unique(np.concatenate(named))
+        x, y = pairs // len(items), items[pairs % len(items)]
+        close = np.bitwise_count(fps[x] ^ self.fps[y]) <= RADIUS
+        self.tally.update(windows=len(fps), named=len(pairs), near=int(close.sum()), pairs=len(fps) * len(items))
+        return x[close], y[close]
+
+    def search(self, h: np.ndarray, n_words: int, like: float = LIKE) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of the best window for each item that a document with shingle hashes `h` holds."""
-        where = np.searchsorted(self.distinct, h)
-        where[where == len(self.distinct)] = 0
-        hits = np.flatnonzero(self.distinct[where] == h) if len(self.distinct) else where[:0]
-        if not len(hits):
-            return []
-        lo, hi = np.searchsorted(self.flat, h[hits], "left"), np.searchsorted(self.flat, h[hits], "right")
-        pairs = np.unique(np.stack([self.own[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])], np.repeat(hits, hi - lo)], 1), axis=0)
         out = []
-        for size in np.unique(self.sizes[pairs[:, 0]]).tolist():
-            mine = pairs[self.sizes[pairs[:, 0]] == size]
-            width = max(1, min(size, n_words) - k + 1)  # shingles of a window
+        for size, (items, own, _) in self.filed.items():
+            where = np.searchsorted(own, h)
+            where[where == len(own)] = 0
+            hits = np.flatnonzero(own[where] == h)
+            if not len(hits):
+                continue
+            width = max(1, min(size, n_words) - self.words + 1)  # shingles of a window
             last = len(h) - width
             mark = np.zeros(len(h) + 1, np.int64)  # windows that hold a shared shingle
-            np.add.at(mark, np.maximum(mine[:, 1] - width + 1, 0), 1)
-            np.add.at(mark, np.minimum(mine[:, 1] + 1, last + 1), -1)
+            np.add.at(mark, np.maximum(hits - width + 1, 0), 1)
+            np.add.at(mark, np.minimum(hits + 1, last + 1), -1)
             starts = np.flatnonzero(np.cumsum(mark[: last + 1]) > 0)
-            items = np.unique(mine[:, 0])
             best: dict[int, tuple[float, int]] = {}
-            for part in np.array_split(starts, -(-len(starts) // 4096)):
+            step = max(1, min(4096, PAIRS // (BLOCKS * len(items))))
+            for at in range(0, len(starts), step):
+                part = starts[at : at + step]
+                held = np.unique((part[:, None] + np.array([0, width])[None, :]).ravel()) if part[-1] - part[0] > 8 * (len(part) + width) else None
                 a, b = part[0], part[-1] + width
-                run = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(bits(h[a:b]), axis=0)))
-                fps = simhash(run[part - a + width] - run[part - a])
-                for x, y in zip(*np.nonzero(self.near(fps, items))):
-                    item, start = int(items[y]), int(part[x])
-                    if best.get(item, (0.0, 0))[0] == 1.0:
+                if held is None:
+                    run = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits(h[a:b]), axis=0, dtype=np.int32)))
+                    sums = run[part - a + width] - run[part - a]
+                else:  # far between: each by itself
+                    sums = np.concatenate([bits(h[k : k + width]).sum(axis=0, keepdims=True) for k in part.tolist()])
+                for x, y in zip(*(z.tolist() for z in self.near(simhash(sums), size))):
+                    start = int(part[x])
+                    if best.get(y, (0.0, 0))[0] == 1.0:
                         continue
-                    alike = similarity(h[start : start + width], self.shingles[item])
-                    if alike >= like and alike > best.get(item, (0.0, 0))[0]:
-                        best[item] = (alike, start)
+                    alike = similarity(h[start : start + width], self.shingles[y])
+                    self.tally["verified"] += 1
+                    if alike >= like and alike > best.get(y, (0.0, 0))[0]:
+                        best[y] = (alike, start)
             out.extend((item, *found) for item, found in best.items())
         return out
 
 
-def blocks(benchmark: DataFrame) -> list[Benchmark]:
-    """The benchmark in blocks of at most ITEMS items."""
-    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    n = -(-rows.count() // ITEMS)
+def made(got: list) -> list[Benchmark]:
+    """Rows of item_id and text as benchmarks, one for each length of shingles."""
+    _, _, sizes = hashed([r["text"] for r in got])
     out = []
-    for k in range(n):
-        got = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect() if n > 1 else rows.orderBy("item_id", "text").collect()
-        h, counts, sizes = hashed([r["text"] for r in got])
-        cut = np.split(h, np.cumsum(counts)[:-1]) if len(got) else []
-        some = [j for j in range(len(got)) if sizes[j]]
-        out.append(Benchmark([got[j]["item_id"] for j in some], [cut[j] for j in some], sizes[some]))
+    for k in sorted({min(SHINGLE, n) for n in sizes.tolist()} - {0}):
+        some = [r for r, n in zip(got, sizes.tolist()) if min(SHINGLE, n) == k]
+        h, counts, own = hashed([r["text"] for r in some], k)
+        out.append(Benchmark([r["item_id"] for r in some], np.split(h, np.cumsum(counts)[:-1]), own, k))
     return out
 
 
-def _found(block: Benchmark, texts: list[str]):
-    """For each text what block.search gives, a piece of input at a time."""
+def blocks(benchmark: DataFrame):
+    """How many blocks of at most about ITEMS items there are, and the blocks one after the other."""
+    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    n = -(-rows.count() // ITEMS)
+
+    def each():
+        for k in range(n):
+            part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
+            yield made(part.orderBy("item_id", "text").collect())
+
+    return n, each()
+
+
+def _found(block: list[Benchmark], texts: list[str]):
+    """For each text what it holds, (benchmark, item, similarity, start), a piece of input at a time."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (size < PIECE or end == at):
             size += len(texts[end])
             end += 1
-        h, counts, sizes = hashed(texts[at:end])
-        known = np.searchsorted(block.distinct, h)
-        known[known == len(block.distinct)] = 0
-        hit = block.distinct[known] == h if len(block.distinct) else np.zeros(len(h), bool)
-        edge = np.concatenate(([0], np.cumsum(counts)))
-        some = np.concatenate(([0], np.cumsum(hit)))
-        for k in range(end - at):
-            a, b = edge[k], edge[k + 1]
-            yield block.search(h[a:b], int(sizes[k])) if some[b] > some[a] else []
+        out: list[list] = [[] for _ in range(end - at)]
+        for one in block:
+            h, counts, sizes = hashed(texts[at:end], one.words)
+            known = np.searchsorted(one.distinct, h)
+            known[known == len(one.distinct)] = 0
+            hit = one.distinct[known] == h
+            edge = np.concatenate(([0], np.cumsum(counts)))
+            some = np.concatenate(([0], np.cumsum(hit)))
+            for k in range(end - at):
+                a, b = edge[k], edge[k + 1]
+                if some[b] > some[a]:
+                    out[k] += [(one, *got) for got in one.search(h[a:b], int(sizes[k]))]
+        yield from out
         at = end
 
 
@@ -178,22 +216,25 @@ def matches(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow = benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type
     rows = common.plain(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = df.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark):
+    n, some = blocks(benchmark)
+    for block in some:
 
         def scan(batches, block=block):
             for batch in batches:
-                got = [(doc, block.ids[i], alike, start) for doc, found in zip(batch.column("doc_id").to_pylist(), _found(block, batch.column("text").to_pylist())) for i, alike, start in found]
+                got = [(doc, one.ids[i], alike, start) for doc, found in zip(batch.column("doc_id").to_pylist(), _found(block, batch.column("text").to_pylist())) for one, i, alike, start in found]
                 columns = list(zip(*got)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), arrow, pa.float64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word"])
 
-        out = out.unionByName(rows.mapInArrow(scan, schema))
+        found = rows.mapInArrow(scan, schema)
+        out = out.unionByName(common.keep(found, "matches") if n > 1 else found)
     return out
 
 
 def clean(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `df`, all columns, whose text holds no benchmark item."""
     common.small_batches(df.sparkSession)
-    for block in blocks(benchmark):
+    n, some = blocks(benchmark)
+    for block in some:
 
         def keep(batches, block=block):
             for batch in batches:
@@ -201,4 +242,5 @@ def clean(df: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not found for found in _found(block, texts)], pa.bool_()))
 
         df = df.mapInArrow(keep, df.schema)
+        df = common.keep(df, "clean") if n > 1 else df
     return df
