@@ -2,16 +2,19 @@
 
 A window of LENGTH bytes is removed wherever it also starts earlier. Each window is filed under the smallest hash of the
 GRAM-byte strings inside it, so equal windows come to one shard whatever their documents; neighbouring windows with one
-hash travel as one segment. A segment that repeats as a whole needs no sorting: all its occurrences but the first go.
-Different segments under one hash overlap in part; their bytes, first occurrences only, form a shard's text, whose
-suffix array comes from induced sorting (suffixes are classified, leftmost-smaller substrings are sorted recursively,
-the rest is induced in two linear passes). Where the permuted common prefix of neighbours reaches LENGTH, they hold one
-window, and all but its first place go.
-
-Before anything is shuffled, a task keeps only the first of the segments that repeat in the text it has read and
-reports the others as removed, so that a passage in a third of all documents arrives as a row for each piece of input.
-Hashes with over CROWD different segments are filed anew under longer strings, and what still crowds then window by
-window, without sorting.
+hash travel as one segment, with a hash of the segment's bytes beside it. Segments that repeat as a whole are set against
+the first of them byte by byte, and all others go; no byte is removed on the word of a hash. Different segments under one
+hash overlap in part: they form a shard's text, whose suffix array comes from induced sorting (suffixes are classified,
+leftmost-smaller substrings are sorted recursively, the rest is induced in two linear passes). The common prefix of each
+suffix with the one that precedes it there is computed in text order, permuted: compared where the letters before the two
+differ, and one less than its left neighbour's elsewhere. Where it reaches LENGTH, both hold one window, and all but the
+window's first place go.
+
+Before anything is shuffled, a task keeps only the first of the segments that repeat in the piece of text it has read, byte
+by byte again, and reports the others as removed, so that a passage in a third of all documents arrives as a row for
+each piece of input. Hashes with over CROWD different segments are filed anew under longer strings, and what still crowds
+then window by window, dealt by the windows' own bytes; what is filed anew is dealt by content first and counted by hash
+in parts, so that no hash, however crowded, comes to one task.
 
 Documents are ordered by doc_id; rows of one doc_id by a hash of their texts. Nulls and empty texts have no bytes. Equal rows are
 documents of their own: the later ones go like any copy. An empty table gives no rows. Extra columns are ignored.
@@ -23,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +44,8 @@ BLOCK = 1 << 18
 LONG, MASS = 1 << 12, 1 << 13
 SEGMENT = "v long, s long, rid long, start int, n int"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Hashes that are known to every task at once, at most; more are met by a join.
+KNOWN = 500_000
 
 
 # --- suffix array -------------------------------------------------------------------------------------------------------
@@ -147,16 +153,45 @@ def suffix_arrays(s: np.ndarray, sigma: int) -> np.ndarray:
     return sa
 
 
-def prefix_reaches(data: np.ndarray, before: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """For each place `at` of a text, taken in text order, whether it shares `length` bytes with the place `before` that precedes it in its suffix array."""
-    order = np.argsort(at, kind="stable")
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    out = np.zeros(len(at), bool)
-    for k in range(0, len(order), 50_000):
-        o = order[k : k + 50_000]
-        o = o[(data[at[o]] == data[before[o]]) & (data[at[o] + length - 1] == data[before[o] + length - 1])]
-        out[o] = (view[at[o]] == view[before[o]]).all(axis=1)
-    return out
+def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Permuted common prefixes of the columns of `s` (length, strings), given their suffix arrays: for each place the
+    length that its suffix has in common with the suffix that precedes it in the array.
+
+    Where the letters before two neighbours of the array are the same, their common prefix is one less than that of the
+    place to the left; only the other, irreducible places are compared, 32 letters at a time.
+    """
+    n, width = s.shape
+    text = np.full((width, n + 32), 1 << 15, np.uint16)  # no suffix goes on behind its string
+    text[:, :n] = s.T
+    flat = text.ravel()
+    order = sa.T.astype(np.int64)
+    before = np.full((width, n), -1, np.int64)  # in text order
+    rows = np.arange(width)[:, None]
+    before[rows, order[:, 1:]] = order[:, :-1]
+    place = np.broadcast_to(np.arange(n), (width, n))
+    known = before >= 0
+    left = known & (before > 0) & (place > 0)
+    base = rows * (n + 32)
+    plain = left.copy()
+    plain[left] = flat[(base + before - 1)[left]] == flat[(base + place - 1)[left]]
+    long = np.zeros((width, n), np.int64)
+    row, x = np.nonzero(known & ~plain)
+    y, start, shared = before[row, x], row * (n + 32), np.zeros(len(row), np.int64)
+    open_ = np.arange(len(row))
+    step = np.arange(32)
+    while len(open_):
+        still = []
+        for part in np.array_split(open_, -(-len(open_) // 100_000)):
+            at = start[part] + shared[part]
+            same = flat[(at + x[part])[:, None] + step] == flat[(at + y[part])[:, None] + step]
+            more = np.where(same.all(axis=1), 32, same.argmin(axis=1))
+            shared[part] += more
+            still.append(part[more == 32])
+        open_ = np.concatenate(still)
+    long[row, x] = shared
+    # the last irreducible place up to here, and how far it is
+    last = np.maximum.accumulate(np.where(plain, 0, place), axis=1)
+    return long[rows, last] - (place - last)
 
 
 def repeated(groups: list[list[tuple[int, int, bytes]]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,16 +222,16 @@ def _repeated(groups, sizes, length):
     n = max(sizes)
     s = np.zeros((n, len(groups)), np.int32)
     s[np.arange(len(data)) - base[group], group] = np.where(inside < size[own], data.astype(np.int32) + 1, 0)
-    sa = suffix_arrays(s, 257).T  # a row for each group
+    sa = suffix_arrays(s, 257)
+    shared = common_prefixes(s, sa)
+    sa = sa.T  # a row for each group
     real = sa < np.array(sizes)[:, None]
     flat = (sa + base[:, None])[real]
-    flat = flat[(inside + length <= size[own])[flat]]  # windows, in the order of their groups' suffix arrays
+    reach = np.take_along_axis(shared, sa.astype(np.int64), axis=1)[real] >= length
+    window = (inside + length <= size[own])[flat]
+    flat, meets = flat[window], reach[window]  # windows, in the order of their groups' suffix arrays; between two equal ones stand equal ones only
     if not len(flat):
         return (np.zeros(0, np.int64),) * 3
-    meets = np.zeros(len(flat), bool)
-    meets[1:] = group[flat[1:]] == group[flat[:-1]]
-    k = np.flatnonzero(meets)
-    meets[k] = prefix_reaches(data, flat[k - 1], flat[k], length)
     run = np.cumsum(~meets)
     rid, start = np.array([r for r, _, _ in segs], np.int64), np.array([a for _, a, _ in segs], np.int64)
     place = start[own[flat]] + inside[flat]
@@ -251,9 +286,11 @@ _hasher = Hasher()
 
 
 def segments(texts: list[bytes], rid: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(v, s, rid, start, n): the runs of windows under one smallest gram hash v; s is a hash of the run's bytes. n is negative where windows inside the run may be equal."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    """(v, s, rid, start, n, at): the runs of windows under one smallest gram hash v; s is a hash of the run's bytes, at their
+    place in the joined texts. n is negative where windows inside the run may be equal."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+    joined_texts = b"".join(texts)
+    data = np.frombuffer(joined_texts, np.uint8)
     if len(data) < length:
         return none
     _hasher.grow(len(data) + 1)
@@ -298,23 +335,27 @@ def segments(texts: list[bytes], rid: np.ndarray, length: int, gram: int) -> tup
     marks = here[again]
     periodic = np.searchsorted(marks, at + n + wide) > np.searchsorted(marks, at)
     doc = np.searchsorted(edge, at, "right") - 1
-    sums = _hasher.sums(data, 1)
-    s = _mix((sums[at + n + length - 1] - sums[at]) * _hasher.inverse[1][at] + n.astype(np.uint64))
-    return low[at], s, rid[doc], at - edge[doc], np.where(periodic | (n > wide), -n, n)
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(joined_texts)
+    s = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist())), np.uint64, len(at))
+    return low[at], s, rid[doc], at - edge[doc], np.where(periodic | (n > wide), -n, n), at
 
 
 def _pieces(batches, length: int, gram: int):
-    """The segments of each piece of input, hashed block by block."""
-    texts, rid, size, done, total = [], [], 0, [], 0
+    """The segments of each piece of input, hashed block by block; those whose bytes came before in it are gone already."""
+    texts, rid, size, done, held, total = [], [], 0, [], [], 0
 
     def block():
-        done.append(segments(texts, np.array(rid, np.int64), length, gram))
+        *columns, at = segments(texts, np.array(rid, np.int64), length, gram)
+        done.append((*columns, at + total))
+        held.append(b"".join(texts))
         texts.clear()
         rid.clear()
 
     def piece():
-        out = tuple(np.concatenate([d[k] for d in done]) for k in range(5))
+        columns = [np.concatenate([d[k] for d in done]) for k in range(6)]
+        out = combined(*columns, b"".join(held), length)
         done.clear()
+        held.clear()
         return out
 
     for batch in batches:
@@ -344,31 +385,30 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 RANGE = "rid long, start int, n int"
-FOUND = f"{SEGMENT}, kind int"
+FOUND = f"{SEGMENT}, kind int, copied boolean"
 
 
-def combined(v, s, r, a, n):
-    """Segments of a piece of input; those whose content came before in it are gone already (a negative start), and travel
+def combined(v, s, r, a, n, at, data: bytes, length: int):
+    """Segments of a piece of input; those whose bytes came before in it are gone already (a negative start), and travel
     under a hash of their own, so that they meet nothing and crowd nothing."""
     order = np.lexsort((a, r, s, v))
     again = np.zeros(len(v), bool)
-    again[order[1:]] = (v[order][1:] == v[order][:-1]) & (s[order][1:] == s[order][:-1])
+    k = np.flatnonzero((v[order][1:] == v[order][:-1]) & (s[order][1:] == s[order][:-1])) + 1
+    x, y, size = at[order[k - 1]], at[order[k]], np.abs(n[order[k]]) + length - 1
+    again[order[k]] = np.fromiter((data[i : i + m] == data[j : j + m] for i, j, m in zip(x.tolist(), y.tolist(), size.tolist())), bool, len(k))
     own = _mix((r * 0x9E3779B1 + a).astype(np.uint64))
     return np.where(again, own, v), s, r, np.where(again, -1 - a, a), n
 
 
 def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Segments (v, s, rid, start, n, perhaps bytes) meet under v. kind 0: not the first of its content, gone. kind 1: the
-    first of a content under a v with others, to be sorted with them; kind 2: the same, under a v with over `crowd` of them.
-    Rows with a negative start, -1 - start, are gone already and only pass."""
-    names = [*(f.split()[0] for f in SEGMENT.split(", ")), *(["bytes"] if "bytes" in df.columns else [])]
-    schema = FOUND + (", bytes binary" if "bytes" in names else "")
-
-    def put(columns, kind) -> pa.RecordBatch:
-        out = _batch(FOUND, *columns[:4], np.abs(columns[4]), kind)
-        if len(columns) > 5:
-            out = pa.RecordBatch.from_arrays([*out.columns, pa.array(columns[5], pa.binary())], names=[*out.schema.names, "bytes"])
-        return out
+    """Segments (v, s, rid, start, n) meet under v. kind 0: like the one before it, if their bytes are; 1: the first of a
+    content under a v with others, to be sorted with them; 2: the same, under a v with over `crowd` of them; 3: the first
+    of the only content under its v, which others are like. `copied`: others may be like it. Rows with a negative start,
+    -1 - start, are gone already and only pass, as kind -1."""
+    names = [f.split()[0] for f in SEGMENT.split(", ")]
+
+    def put(columns, kind, copied) -> pa.RecordBatch:
+        return _batch(FOUND, *columns[:4], np.abs(columns[4]), kind, copied)
 
     def judge(batches):
         last = None  # v, s of the row before
@@ -380,7 +420,7 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
             if passing.any():
                 gone = [x[passing] for x in rows]
                 gone[3] = -1 - gone[3]
-                yield put(gone, np.zeros(len(gone[0])))
+                yield put(gone, np.full(len(gone[0]), -1), np.zeros(len(gone[0]), bool))
                 rows = [x[~passing] for x in rows]
             v, s = rows[:2]
             if not len(v):
@@ -390,10 +430,11 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
             if last is not None:
                 first[0] = (v[0], s[0]) != last
             last, last_v = (v[-1], s[-1]), v[-1]
+            copied = np.append(~first[1:], True)  # of the last row the next batch may hold copies
             if not first.all():
                 gone = [x[~first] for x in rows]
-                yield put(gone, np.zeros(len(gone[0])))
-            rows = [x[first] for x in rows]
+                yield put(gone, np.zeros(len(gone[0])), np.zeros(len(gone[0]), bool))
+            rows = [*(x[first] for x in rows), copied[first]]
             if held_v is not None:  # rows of the v that was left open
                 more = int(np.searchsorted(rows[0] != held_v, True))
                 held.append([x[:more] for x in rows])
@@ -409,9 +450,10 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
                     cut = np.flatnonzero(np.concatenate(([True], done[0][1:] != done[0][:-1])))
                     each = np.diff(np.concatenate((cut, [tail])))
                     size, mass = np.repeat(each, each), np.repeat(np.add.reduceat(np.abs(done[4]).astype(np.int64), cut), each)
-                    many = (size > 1) | (done[4] < 0)
-                    if many.any():
-                        yield put([x[many] for x in done], np.where((size[many] > crowd) | (mass[many] > MASS), 2, 1))
+                    kind = np.where((size > crowd) | (mass > MASS), 2, np.where((size > 1) | (done[4] < 0), 1, 3))
+                    some = (kind < 3) | done[5]
+                    if some.any():
+                        yield put([x[some] for x in done], kind[some], done[5][some])
                 held, held_n, held_v, crowded = [[x[tail:] for x in rows]], len(rows[0]) - tail, rows[0][-1], False
             if held_n > crowd:
                 crowded = True
@@ -421,12 +463,42 @@ def resolve(df: DataFrame, crowd: int = CROWD) -> DataFrame:
             yield from let_go(held, held_n, crowded)
 
     def let_go(held, n, crowded):
-        columns = [np.concatenate([h[k] for h in held]) for k in range(len(names))] if n else []
-        if n and (n > 1 or crowded or columns[4][0] < 0):
-            yield put(columns, np.full(n, 2 if crowded or np.abs(columns[4]).sum(dtype=np.int64) > MASS else 1))
+        if not n:
+            return
+        columns = [np.concatenate([h[k] for h in held]) for k in range(6)]
+        kind = 2 if crowded or np.abs(columns[4]).sum(dtype=np.int64) > MASS else 1 if n > 1 or columns[4][0] < 0 else 3
+        if kind < 3 or columns[5].any():
+            yield put(columns, np.full(n, kind), columns[5])
+
+    return df.repartition("v").sortWithinPartitions("v", "s", "rid", "start").mapInArrow(judge, FOUND)
+
+
+def verified(df: DataFrame) -> DataFrame:
+    """Segments with their bytes meet under (v, s): all that are byte by byte the first of them go (kind 0), the first stays (kind 1)."""
+
+    def judge(batches):
+        now, own = None, b""
+        for batch in batches:
+            kind = np.zeros(batch.num_rows, np.int32)
+            body = batch.column("bytes").to_pylist()
+            for k, key in enumerate(zip(batch.column("v").to_pylist(), batch.column("s").to_pylist())):
+                if key != now:
+                    now, own, kind[k] = key, body[k], 1
+                elif body[k] != own:  # nothing is removed or kept on a guess
+                    raise RuntimeError("two different strings have one hash of 128 bits")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind)], names=[*batch.schema.names, "kind"])
+
+    rows = df.select("v", "s", "rid", "start", "n", "bytes")
+    return rows.repartition("v", "s").sortWithinPartitions("v", "s", "rid", "start").mapInArrow(judge, f"{SEGMENT}, bytes binary, kind int")
 
-    dealt = df.repartition("v").sortWithinPartitions("v", "s", "rid", "start")
-    return dealt.mapInArrow(judge, schema)
+
+def parted(firsts: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Different segments under hashes that few share, and under crowded ones. Hashes are counted in parts before they meet."""
+    count = firsts.groupBy("v").agg(F.count("*").alias("k"), F.sum(F.abs("n")).alias("mass")).where((F.col("k") > crowd) | (F.col("mass") > MASS) & (F.col("k") > 1))
+    crowded = common.keep(count.select("v"), "crowded")
+    if crowded.count() <= KNOWN:
+        crowded = F.broadcast(crowded)
+    return firsts.join(crowded, "v", "left_anti"), firsts.join(crowded, "v", "left_semi")
 
 
 def numbered(df: DataFrame, more: list[str] | None = None) -> DataFrame:
@@ -443,36 +515,50 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     texts = rows.select("rid", "text")
 
     def send(batches):
-        for v, s, r, a, n in _pieces(batches, length, gram):
-            yield _batch(SEGMENT, *combined(v, s, r, a, n))
+        for columns in _pieces(batches, length, gram):
+            yield _batch(SEGMENT, *columns)
 
     found = common.keep(resolve(texts.mapInArrow(send, SEGMENT), crowd), "segments")
-    asked = found.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("v", "start", "n", "kind")).alias("asked"))
+    asked = found.where("kind >= 0").groupBy("rid").agg(F.collect_list(F.struct("v", "s", "start", "n", "kind", "copied")).alias("asked"))
+    schema = f"{FOUND}, bytes binary"
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for rid, text, wanted in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
-                out.extend((w["v"], rid, w["start"], w["kind"], text[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted)
-            v, r, a, k, b = zip(*out) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(r, pa.int64()), pa.array(a, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], names=["v", "rid", "start", "kind", "bytes"])
-
-    pieces = common.keep(texts.join(common.keep(asked, "asked"), "rid").select("rid", "text", "asked").mapInArrow(cut, "v long, rid long, start int, kind int, bytes binary"), "pieces")
+            lists = batch.column("asked")
+            flat, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+            texts_here = batch.column("text").cast(pa.binary()).to_pylist()
+            own = np.repeat(np.arange(batch.num_rows), many)
+            ends = start.astype(np.int64) + n + length - 1
+            body = [texts_here[i][x:y] for i, x, y in zip(own.tolist(), start.tolist(), ends.tolist())]
+            rid = batch.column("rid").take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([flat.field("v"), flat.field("s"), rid, flat.field("start"), flat.field("n"), flat.field("kind"), flat.field("copied"), pa.array(body, pa.binary())], names=["v", "s", "rid", "start", "n", "kind", "copied", "bytes"])
+
+    pieces = common.keep(texts.join(common.keep(asked, "asked"), "rid").select("rid", "text", "asked").mapInArrow(cut, schema), "pieces")
 
     def sort(batches):
         v_of, groups, size = None, [], 0
+        lone = False  # one segment under the last v, whose windows all differ
+
+        def done():
+            if groups and lone:
+                groups.pop()
+            return _batch(RANGE, *repeated(groups, length))
+
         for batch in batches:
-            for v, r, a, b in zip(batch.column("v").to_pylist(), batch.column("rid").to_pylist(), batch.column("start").to_pylist(), batch.column("bytes").to_pylist()):
+            for v, r, a, n, b in zip(*(batch.column(c).to_pylist() for c in ("v", "rid", "start", "n", "bytes"))):
                 if v != v_of:
+                    if lone:
+                        size -= len(groups.pop()[0][2])
                     if size >= SHARD:
                         yield _batch(RANGE, *repeated(groups, length))
                         groups, size = [], 0
                     groups.append([])
                     v_of = v
+                lone = not groups[-1] and n > 0
                 groups[-1].append((r, a, b))
                 size += len(b)
-        if groups:
-            yield _batch(RANGE, *repeated(groups, length))
+        yield done()
 
     def refine(batches, longer):
         """The windows of crowded segments, filed anew under longer grams, with their bytes."""
@@ -480,10 +566,10 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
             body = batch.column("bytes").to_pylist()
             if not body:
                 continue
-            v, s, k, a, n = segments(body, np.arange(len(body)), length, longer)
+            v, s, k, a, n, at = segments(body, np.arange(len(body)), length, longer)
             size = np.abs(n) + length - 1
             cut = pa.array([body[i][x : x + m] for i, x, m in zip(k.tolist(), a.tolist(), size.tolist())], pa.binary())
-            v, s, rid, start, n = combined(v, s, batch.column("rid").to_numpy()[k], batch.column("start").to_numpy()[k] + a, n)
+            v, s, rid, start, n = combined(v, s, batch.column("rid").to_numpy()[k], batch.column("start").to_numpy()[k] + a, n, at, b"".join(body), length)
             out = _batch(SEGMENT, v, s, rid, start, n)
             yield pa.RecordBatch.from_arrays([*out.columns, cut], names=[*out.schema.names, "bytes"])
 
@@ -493,7 +579,8 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
             for at in range(0, len(body), 100):  # a body has at most LONG windows
                 some = body[at : at + 100]
                 n = np.array([len(b) - length + 1 for b in some])
-                data = np.frombuffer(b"".join(some), np.uint8)
+                joined_bodies = b"".join(some)
+                data = np.frombuffer(joined_bodies, np.uint8)
                 _hasher.grow(len(data) + 1)
                 own = np.repeat(np.arange(len(some)), n)
                 inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -502,23 +589,32 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                 for k in (0, 1):
                     sums = _hasher.sums(data, k)
                     h.append(_mix((sums[i + length] - sums[i]) * _hasher.inverse[k][i]))
-                yield _batch(SEGMENT, *combined(h[0], h[1], rid[at : at + 100][own], start[at : at + 100][own] + inside, np.ones(len(own), np.int64)))
+                out = _batch(SEGMENT, *combined(h[0], h[1], rid[at : at + 100][own], start[at : at + 100][own] + inside, np.ones(len(own), np.int64), i, joined_bodies, length))
+                cut = pa.array([joined_bodies[x : x + length] for x in i.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*out.columns, cut], names=[*out.schema.names, "bytes"])
+
+    def gone(rows: DataFrame) -> DataFrame:
+        return rows.select("rid", "start", F.abs("n").alias("n"))
+
+    def passed(rows: DataFrame) -> DataFrame:
+        return gone(rows.where("start < 0").withColumn("start", -1 - F.col("start")))
 
-    out = found.where("kind = 0").select("rid", "start", "n")
-    sorted_in = pieces.where("kind = 1").select("v", "rid", "start", "bytes")
+    out = gone(found.where("kind = -1")).unionByName(gone(verified(pieces.where("kind = 0 or copied")).where("kind = 0")))
+    columns = ("v", "rid", "start", "n", "bytes")
+    sorted_in = pieces.where("kind = 1").withColumn("n", -F.col("n")).select(*columns)
     crowded = pieces.where("kind = 2")
     for longer in [x for x in FINER if gram < x < length]:
         if not crowded.limit(1).count():
             break
         filed = common.keep(crowded.select("rid", "start", "bytes").mapInArrow(lambda batches, x=longer: refine(batches, x), f"{SEGMENT}, bytes binary"), "filed")
-        out = out.unionByName(filed.where("start < 0").select("rid", (-1 - F.col("start")).alias("start"), F.abs("n").alias("n")))
-        finer = common.keep(resolve(filed.where("start >= 0"), crowd), "finer")
-        sorted_in = sorted_in.unionByName(finer.where("kind = 1").select("v", "rid", "start", "bytes"))
-        out = out.unionByName(finer.where("kind = 0").select("rid", "start", "n"))
-        crowded = finer.where("kind = 2")
+        finer = common.keep(verified(filed.where("start >= 0")), "finer")
+        out = out.unionByName(passed(filed)).unionByName(gone(finer.where("kind = 0")))
+        calm, crowded = parted(finer.where("kind = 1"), crowd)
+        sorted_in = sorted_in.unionByName(calm.select(*columns))
+        crowded = common.keep(crowded, "crowd")
     if crowded.limit(1).count():
-        single = resolve(crowded.select("rid", "start", "bytes").mapInArrow(windows, SEGMENT), 1 << 60)  # equal windows have equal hashes: nothing is left to sort
-        out = out.unionByName(single.where("kind = 0").select("rid", "start", "n"))
+        single = common.keep(crowded.select("rid", "start", "bytes").mapInArrow(windows, f"{SEGMENT}, bytes binary"), "windows")
+        out = out.unionByName(passed(single)).unionByName(gone(verified(single.where("start >= 0")).where("kind = 0")))
     return out.unionByName(sorted_in.repartition("v").sortWithinPartitions("v", "rid", "start").mapInArrow(sort, RANGE))
 
 

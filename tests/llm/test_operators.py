@@ -672,3 +672,56 @@ def test_blocks_alone_name_the_candidates():
         fps = decontaminate.simhash(np.stack([decontaminate.bits(x).sum(axis=0) for x in (a, b)]))
         total, near = total + 1, near + int(np.bitwise_count(fps[:1] ^ fps[1:])[0] <= decontaminate.RADIUS)
     assert near / total > 0.999
+
+
+def test_permuted_common_prefixes():
+    rng = np.random.default_rng(17)
+    for _ in range(80):
+        n, width = int(rng.integers(2, 90)), int(rng.integers(1, 6))
+        s = np.zeros((n, width), np.int32)
+        for c in range(width):
+            m = int(rng.integers(1, n + 1))
+            s[:m, c] = np.resize(rng.integers(1, 4, int(rng.integers(1, 9))), m) if rng.random() < 0.5 else rng.integers(1, rng.choice([2, 3, 8]), m)
+        sa = suffixes.suffix_arrays(s, 10)
+        got = suffixes.common_prefixes(s, sa)
+        for c in range(width):
+            for k in range(1, n):
+                x, y = s[sa[k - 1, c] :, c], s[sa[k, c] :, c]
+                m = min(len(x), len(y))
+                same = x[:m] == y[:m]
+                assert got[c, sa[k, c]] == (m if same.all() else int(same.argmin()))
+            assert got[c, sa[0, c]] == 0
+
+
+def test_no_byte_goes_on_the_word_of_a_hash(spark, monkeypatch):
+    """With every hash of contents the same, nothing unequal may be taken for equal: a piece keeps both, and the cluster stops."""
+    rng = np.random.default_rng(18)
+    texts = [bytes(rng.integers(97, 123, 300).astype(np.uint8)) for _ in range(3)] * 2
+    rid = np.arange(6)
+    v, s, r, a, n, at = suffixes.segments(texts, rid, 100, 32)
+    same = np.zeros(len(v), np.uint64)
+    got = suffixes.combined(v * 0, same, r, a, n, at, b"".join(texts), 100)
+    first = {}
+    for k in np.lexsort((a, r)).tolist():
+        body = b"".join(texts)[at[k] : at[k] + abs(n[k]) + 99]
+        first.setdefault(body, k)
+    assert (got[3] < 0).sum() <= len(v) - len(first)  # only what is byte by byte like another goes
+    rows = [(1, 2, 5, 0, 1, b"x" * 100), (1, 2, 6, 0, 1, b"x" * 100), (1, 2, 7, 0, 1, b"y" * 100)]
+    frame = spark.createDataFrame(rows[:2], f"{suffixes.SEGMENT}, bytes binary")
+    assert sorted((r["rid"], r["kind"]) for r in suffixes.verified(frame).collect()) == [(5, 1), (6, 0)]
+    with pytest.raises(Exception, match="two different strings"):
+        suffixes.verified(spark.createDataFrame(rows, f"{suffixes.SEGMENT}, bytes binary")).collect()
+
+
+def test_a_passage_in_very_many_documents(spark, monkeypatch):
+    """A crowded passage with different contexts: all ways of filing anew give what brute force gives; hashes that are met by a join too."""
+    rng = np.random.default_rng(19)
+    passage = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"], 40))
+    rows = [(k, "".join(rng.choice(list("abcdefgh "), int(rng.integers(0, 60)))) + passage + "".join(rng.choice(list("abcdefgh "), int(rng.integers(0, 60))))) for k in range(150)]
+    rows += [(200, "periodic " * 400), (201, "periodic " * 300), (202, "é" * 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_suffixes(rows)
+    monkeypatch.setattr(suffixes, "PIECE", 4000)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.digests(df).collect()} == want
+    monkeypatch.setattr(suffixes, "KNOWN", 0)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.digests(df, crowd=2).collect()} == want
