@@ -9,15 +9,41 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from collections import OrderedDict
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.sources.kept import estimate, keep
+
+#: Bytes, by Catalyst's estimate, up to which the rows of a frame are numbered by one window.
+ONE_WINDOW = 64 << 20
+#: Networks of a session whose frames are persisted at a time; the one that was used longest ago is let go first.
+HOLDING = 24
+_holding: OrderedDict = OrderedDict()
 
 #: Shared frames that several plans read.
 HELD = frozenset(("degrees", "two_paths", "triads", "triangles", "mutual_arcs", "same level degrees", "projection", "centre levels"))
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """`df` with the place of each row inside its group `by`, from 0, in the total order `order`.
+
+    A small frame takes a window. A larger one is dealt by ranges of group and order and written; a row's place is its own
+    in its partition and group, and the rows of the group in earlier partitions are added up from one row for each
+    partition and group. No group, however large, comes to one task.
+    """
+    if estimate(df) <= ONE_WINDOW:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    kept = keep(dealt.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
+    parts = kept.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    parts = parts.select(*by, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return kept.join(parts, [*by, "_part"]).withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before")).cast("long")).drop("_at", "_part", "_first", "_before")
+
+
 class NetworkError(ValueError):
     """What a network or a formula may not be."""
 
@@ -47,10 +73,9 @@ class Network:
             v = e.select("net", F.col("_s").alias("key")).union(e.select("net", F.col("_d"))).distinct()
         else:
             has = set(vertices.columns)
-            keep = attributes if attributes is not None else [c for c in vertices.columns if c not in {key, net, mode, "net", "vid", "mode"}]
-            v = vertices.select((F.col(net) if net and net in has else F.lit(0)).cast("long").alias("net"), F.col(key).alias("key"), *([F.col(mode).cast("int").alias("mode")] if mode else []), *keep)
-        order = [F.col("mode")] if mode else []
-        v = v.withColumn("vid", (F.row_number().over(Window.partitionBy("net").orderBy(*order, "key")) - 1).cast("long"))
+            more = attributes if attributes is not None else [c for c in vertices.columns if c not in {key, net, mode, "net", "vid", "mode"}]
+            v = vertices.select((F.col(net) if net and net in has else F.lit(0)).cast("long").alias("net"), F.col(key).alias("key"), *([F.col(mode).cast("int").alias("mode")] if mode else []), *more)
+        v = ranked(v, ["net"], [*(["mode"] if mode else []), "key"], "vid")
         ends = v.select("net", "key", "vid")
         e = e.join(ends.select("net", F.col("key").alias("_s"), F.col("vid").alias("src")), ["net", "_s"]).join(ends.select("net", F.col("key").alias("_d"), F.col("vid").alias("dst")), ["net", "_d"])
         if not directed:
@@ -84,21 +109,34 @@ class Network:
         return self._memo[key]
 
     def held(self) -> "Network":
-        """The same network with its frames persisted: plans over it start from them."""
+        """The same network with its frames persisted: plans over it start from them. Of many such networks the oldest are let
+        go, which costs their plans a recomputation and no more."""
         if "held" not in self._memo:
             some = {n: getattr(self, n).persist(StorageLevel.MEMORY_AND_DISK) for n in ("vertices", "edges", "graphs")}
             before = self.previous.persist(StorageLevel.MEMORY_AND_DISK) if self.previous is not None else None
             got = replace(self, **some, previous=before, _memo={})
             got._memo["held"] = got
             self._memo["held"] = got
-        return self._memo["held"]
+        net = self._memo["held"]
+        _holding[id(net)] = net
+        _holding.move_to_end(id(net))
+        while len(_holding) > HOLDING:
+            _holding.popitem(last=False)[1].let_go()
+        return net
+
+    def let_go(self) -> None:
+        """Unpersist all frames of a held network; what was planned over them is computed anew where it is still asked for."""
+        for frame in [self.vertices, self.edges, self.graphs, self.previous, *self._memo.values()]:
+            if isinstance(frame, DataFrame):
+                frame.unpersist()
 
     def release(self) -> None:
         """Let go of everything that is held."""
         net = self._memo.get("held", self)
-        for frame in [net.vertices, net.edges, net.graphs, *[x for x in net._memo.values() if isinstance(x, DataFrame)]]:
-            frame.unpersist()
+        _holding.pop(id(net), None)
+        net.let_go()
         net._memo.clear()
+        self._memo.clear()
 
     @property
     def ties(self) -> DataFrame:
@@ -194,6 +232,10 @@ class Network:
         e = self.edges.select("net", "src", "dst", "na", F.lit(1).alias("_y"))
         return d.join(e, ["net", "src", "dst"], "left").where("na is null or not na").select("net", "src", "dst", F.coalesce("_y", F.lit(0)).alias("y"))
 
+    def missing_dyads(self) -> DataFrame:
+        """(net, src, dst, y): the dyads whose state is not known, without a tie."""
+        return self.edges.where("na").select("net", "src", "dst").distinct().withColumn("y", F.lit(0))
+
     # --- networks from networks ------------------------------------------------------------------------------------------
 
     def with_edges(self, edges: DataFrame, directed: bool | None = None) -> "Network":
@@ -206,7 +248,7 @@ class Network:
     def subgraph(self, condition: Column) -> "Network":
         """Induced by the vertices that meet `condition`, numbered anew."""
         v = self.vertices.where(condition).withColumn("_old", F.col("vid"))
-        v = v.withColumn("vid", (F.row_number().over(Window.partitionBy("net").orderBy("_old")) - 1).cast("long"))
+        v = ranked(v.drop("vid"), ["net"], ["_old"], "vid")
         ids = v.select("net", "_old", "vid")
         e = self.edges
         for end in ("src", "dst"):
@@ -238,8 +280,8 @@ def series(edges: DataFrame, vertices: DataFrame, *, time: str, src: str = "src"
     steps = steps.withColumn("delta", F.col("time") - F.lag("time").over(Window.orderBy("time")))
     numbered = edges.join(F.broadcast(steps), edges[time] == steps["time"])
     e = numbered.select("net", F.col(src).alias("_s"), F.col(dst).alias("_d"))
-    keep = attributes if attributes is not None else [c for c in vertices.columns if c != key]
-    v0 = vertices.select(F.col(key).alias("key"), *keep).withColumn("vid", (F.row_number().over(Window.orderBy("key")) - 1).cast("long"))
+    more = attributes if attributes is not None else [c for c in vertices.columns if c != key]
+    v0 = ranked(vertices.select(F.lit(0).cast("long").alias("_all"), F.col(key).alias("key"), *more), ["_all"], ["key"], "vid").drop("_all")
     ids = v0.select("key", "vid")
     e = e.join(ids.select(F.col("key").alias("_s"), F.col("vid").alias("src")), "_s").join(ids.select(F.col("key").alias("_d"), F.col("vid").alias("dst")), "_d")
     if not directed:

@@ -108,7 +108,7 @@ def _four_cycles(net: Network, attr: str, levels: tuple, mutual_a: bool, mutual_
     """(A-tie u, v), (B-tie w, z) and the X-ties u - w and v - z (opposed: u - z and v - w), a row for each."""
     a = _mutual_inner(net, attr, levels, 1) if mutual_a else _inner(net, attr, levels, 1)
     b = _mutual_inner(net, attr, levels, 2) if mutual_b else _inner(net, attr, levels, 2)
-    if (not net.directed) or mutual_b:  # either end of a tie without direction may stand at u's partner
+    if (not net.directed) or mutual_a or mutual_b:  # either end of a tie may stand at u's partner where one of the two has no direction
         b = b.union(b.select("net", F.col("dst").alias("src"), F.col("src").alias("dst")))
     x = _cross(net, attr, levels)
     path = a.select("net", F.col("src").alias("u"), F.col("dst").alias("v"))
@@ -126,10 +126,10 @@ def _level_triangles(net: Network, attr: str, levels: tuple, side: int) -> DataF
     return each.join(_vertices(net, attr, levels).select("net", "v", "x"), ["net", "v"])
 
 
-def _add(name: str, directed: bool, alternating: bool, key: Callable, frame: Callable, expr: Callable[[Callable[[Column], Column]], Column]) -> None:
+def _add(name: str, directed: bool | None, alternating: bool, key: Callable, frame: Callable, expr: Callable[[Callable[[Column], Column]], Column]) -> None:
     def make(ctx: Context, called: str, attr, *args, levels=None, decay=None, fixed=True, cutoff=30):
         attr = attr_name(attr)
-        if ctx.net.directed != directed:
+        if directed is not None and ctx.net.directed != directed:
             raise NetworkError(f"{name} is for {'directed' if directed else 'undirected'} networks")
         rest = list(args)
         if alternating:
@@ -171,7 +171,7 @@ for _side, _l in ((1, "A"), (2, "B")):
     _add(f"A{_l}AXS", False, True, *_at(_side, lambda g: g(c("deg")) * g(c("x"))))
     _add(f"TX{_l}X", False, False, *_within(_side, False, lambda g: c("sp")))
     _add(f"ATX{_l}X", False, True, *_within(_side, False, lambda g: g(c("sp"))))
-    _add(f"L3X{_l}X", False, False, *_within(_side, False, lambda g: c("xu") * c("xv")))
+    _add(f"L3X{_l}X", None, False, *_within(_side, False, lambda g: c("xu") * c("xv")))
     _add(f"EXT{_l}", False, False, lambda side=_side: ("t", side), lambda net, attr, levels, side=_side: _level_triangles(net, attr, levels, side), lambda g: c("x"))
     for _way in ("In", "Out"):
         _w = _way.lower()

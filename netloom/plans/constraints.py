@@ -44,13 +44,13 @@ def _listed(frame: DataFrame, net: Network, dyads: DataFrame, how: str) -> DataF
 
 def free_dyads(net: Network, constraints: str, data: dict[str, DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
     """A function from the dyad frame to its free part: blockdiag(attr), blocks(attr, levels2), Dyads(fix, vary), fixedas(present,
-    absent), fixallbut(free), observed and egocentric(attr, direction). Degree-preserving constraints leave no dyad free."""
+    absent), fixallbut(free), observed (missing dyads only) and egocentric(attr, direction). Degree-preserving constraints leave no dyad free."""
     data = data or {}
     parsed = [Term(t.text) if isinstance(t, Name) else t for _, t in parse(constraints).terms]
 
     def one(frame: DataFrame, t: Term) -> DataFrame:
         columns, name = frame.columns, t.name.lower()
-        if name in (".", "observed"):  # missing dyads are no part of the frame already
+        if name in (".", "observed"):
             return frame
         if name == "blockdiag":
             return _values(net, frame, attr_name(t.args[0])).where("_s = _d").select(*columns)
@@ -89,6 +89,8 @@ def free_dyads(net: Network, constraints: str, data: dict[str, DataFrame] | None
         raise FormulaError(f"no constraint {t.name!r} on dyads")
 
     def free(frame: DataFrame) -> DataFrame:
+        if any(t.name.lower() == "observed" for t in parsed):  # what has been observed is fixed: only missing dyads vary
+            frame = net.missing_dyads().select(*frame.columns)
         for t in parsed:
             frame = one(frame, t)
         return frame

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.network import Network
+from netloom.sources.kept import shared_dir
 
 
 def degree_distribution(net: Network, which: str = "deg", mode: int | None = None) -> DataFrame:
@@ -36,11 +37,7 @@ def distances(net: Network, most: int | None = None) -> DataFrame:
     """
     net = net.held()
     arcs = (net.ties.select("net", F.col("src").alias("i"), F.col("dst").alias("j")) if net.directed else net.ends.select("net", "i", "j")).persist()
-    sc = net.vertices.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(net.vertices.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="netloom-"))
+    shared_dir(net.vertices.sparkSession)
     seen = net.vertices.select("net", F.col("vid").alias("s"), F.col("vid").alias("j"))
     frontier, counts, step = seen, [], 0
     while most is None or step < most:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.formula import Binary, Formula, FormulaError, Name, Term, parse
 from netloom.functions.numbers import label
-from netloom.network import Network, NetworkError
+from netloom.network import Network, NetworkError, ranked
 from netloom.operators import multilevel  # noqa: F401  registers its terms
 from netloom.operators import terms as T
 from netloom.operators.terms import Context, Part, Stat
@@ -205,9 +205,7 @@ def subgraph(ctx, formula, attrs):
         between = ctx.net.edges.select("net", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w", "na")
         key = v.select("net", "vid", "mode")
         e = between.join(key.select("net", F.col("vid").alias("src"), F.col("mode").alias("m1")), ["net", "src"]).join(key.select("net", F.col("vid").alias("dst"), F.col("mode").alias("m2")), ["net", "dst"]).where("m1 != m2")
-        from pyspark.sql import Window
-
-        order = v.withColumn("_new", (F.row_number().over(Window.partitionBy("net").orderBy("mode", "vid")) - 1).cast("long"))
+        order = ranked(v, ["net"], ["mode", "vid"], "_new")
         ids = order.select("net", F.col("vid"), F.col("_new"))
         e = e.withColumns({"_a": F.when(F.col("m1") == 1, F.col("src")).otherwise(F.col("dst")), "_b": F.when(F.col("m1") == 1, F.col("dst")).otherwise(F.col("src"))})
         e = e.join(ids.select("net", F.col("vid").alias("_a"), F.col("_new").alias("s")), ["net", "_a"]).join(ids.select("net", F.col("vid").alias("_b"), F.col("_new").alias("t")), ["net", "_b"]).select("net", F.col("s").alias("src"), F.col("t").alias("dst"), "w", "na")
@@ -422,11 +420,13 @@ def wide(net: Network, stats: list) -> tuple[DataFrame, list[str]]:
                 number += 1
         out = out.join(frame.groupBy("net").agg(*aggregates), "net", "left")
     names = unique([b_name(x) for x in stats])
+    # as text: a column made call by call costs a message to the JVM for each part of it
+    out = out.selectExpr(*[f"coalesce(cast({c} as double), 0.0D) AS {c}" if c.startswith("_a") else c for c in out.columns])
 
     def value(x) -> Column:
         if isinstance(x, Group):
             return x.final([value(y) for y in x.inner])
-        got = x.stat.final([F.coalesce(F.col(columns[id(p)]), F.lit(0.0)).cast("double") for p in x.stat.parts])
+        got = x.stat.final([F.col(columns[id(p)]) for p in x.stat.parts])
         return got
 
     # statistics of an operator's network see its own number of vertices: the columns trade names for them
@@ -452,10 +452,16 @@ def _tie_attributes(p: Part, net: Network) -> list[str]:
     return [a for a in net.vertices.columns if a not in ("net", "vid", "key") and (f"s_{a}" in text or f"d_{a}" in text)]
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def long(frame: DataFrame, names: list[str]) -> DataFrame:
     """net, position, stat, value."""
-    rows = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("stat"), F.col(f"`{n}`").alias("value")) for k, n in enumerate(names)])
-    return frame.select("net", F.explode(rows).alias("r")).select("net", "r.position", "r.stat", "r.value")
+    short = frame.toDF("net", *[f"_{k}" for k in range(len(names))])
+    rows = ", ".join(f"named_struct('position', {k}, 'stat', {quoted(n)}, 'value', _{k})" for k, n in enumerate(names))
+    return short.selectExpr("net", f"inline(array({rows}))")
 
 
 def summary_stats(net: Network, formula: str | Formula, data: dict | None = None) -> DataFrame:

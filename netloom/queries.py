@@ -461,3 +461,103 @@ ORACLE_SQL["trade_degree_ages"] = f"WITH {SERIES}, {_AGES}, u AS (SELECT t, src
 
 def copart_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["copart_statistics"](spark, sf_dir)
+
+
+# --- terms that no query above names ------------------------------------------------------------------------------------------------
+
+
+def _covariates(spark: SparkSession, sf_dir: str) -> dict:
+    """Dyadic covariates over nations: a number for each ordered pair, and the pairs of one residue. As many rows as pairs of nations."""
+    nation = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").alias("r"))
+    pairs = nation.join(nation.select(F.col("i").alias("j"), F.col("r").alias("q"))).where("i != j")
+    return {"far": pairs.select("i", "j", (F.abs(F.col("r") - F.col("q")) + F.col("i") % 3).cast("double").alias("x")), "near": pairs.where("(i + j) % 4 = 0").select("i", "j", F.lit(1.0).alias("x")), "mat": [[2 * a + b for b in range(5)] for a in range(5)]}
+
+
+_COVER = f"""{TRADE}, far AS (SELECT a.vid AS i, b.vid AS j, abs(a.region - b.region) + a.vid % 3 AS x FROM v a JOIN v b ON a.vid <> b.vid), near AS (SELECT i, j FROM far WHERE (i + j) % 4 = 0),
+pairs AS (SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, x.a IS NOT NULL AS up, y.a IS NOT NULL AS low FROM (SELECT src AS a, dst AS b FROM e WHERE src < dst) x FULL JOIN (SELECT dst AS a, src AS b FROM e WHERE src > dst) y ON x.a = y.a AND x.b = y.b),
+local AS (SELECT src, dst FROM e JOIN near ON e.src = i AND e.dst = j), ways AS (SELECT x.src AS a, y.dst AS c FROM local x JOIN local y ON x.dst = y.src AND x.src <> y.dst)"""
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_stats(tables.trade(spark, sf_dir), "edgecov(far)+dyadcov(far)+hamming(near)+hamming(near,cov=far)+attrcov('region',mat)+localtriangle(near)", _covariates(spark, sf_dir))
+
+
+add(
+    "trade_covariates", _covered, _COVER,
+    [("edgecov.far", "SELECT sum(x) FROM e JOIN far ON e.src = i AND e.dst = j")]
+    + [(f"dyadcov.far.{kind}", f"SELECT coalesce(sum(x), 0) FROM pairs JOIN far ON a = i AND b = j WHERE {where}") for kind, where in (("mutual", "up AND low"), ("utri", "up AND NOT low"), ("ltri", "low AND NOT up"))]
+    + [("hamming.near", "SELECT (SELECT count(*) FROM e) + (SELECT count(*) FROM near) - 2 * (SELECT count(*) FROM local)"), ("hamming.near.far", "SELECT sum(x) FROM far f LEFT JOIN e ON e.src = f.i AND e.dst = f.j WHERE (e.src IS NULL) = ((f.i + f.j) % 4 = 0)")]
+    + [("attrcov.region.mat", "SELECT sum(2 * sr + dr) FROM t"), ("localtriangle.near", "SELECT (SELECT count(*) FROM ways SEMI JOIN local ON local.src = a AND local.dst = c) + (SELECT count(*) FROM ways SEMI JOIN local ON local.src = c AND local.dst = a) / 3.0")],
+)
+
+stats(
+    "trade_directed_names", tables.trade,
+    "+".join(f"d{b}(0:2,type='{k}')+dgw{b}(0.5,fixed=TRUE,type='{k}')" for b in ("esp", "dsp", "nsp") for k in ("OTP", "RTP")) + "+odegrange(2,6)+idegrange(1)+idegree1.5+m2star+intransitive+nearsimmelian+nodeifactordistinct('region')",
+    f"{TRADE}, {_SP}, ways AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst), open AS (SELECT a, b, c, (SELECT count(*) FROM e WHERE src = a AND dst = c) AS t FROM ways)"
+    + ", st AS (SELECT a.vid AS i, b.vid AS j, (SELECT count(*) FROM e WHERE src = a.vid AND dst = b.vid) AS f, (SELECT count(*) FROM e WHERE src = b.vid AND dst = a.vid) AS g FROM v a JOIN v b ON a.vid < b.vid)"
+    + ", tri AS (SELECT x.f + x.g AS p, y.f + y.g AS q, z.f + z.g AS r, x.f AS ab, x.g AS ba, y.f AS ac, y.g AS ca, z.f AS bc, z.g AS cb FROM st x JOIN st y ON x.i = y.i AND x.j < y.j JOIN st z ON z.i = x.j AND z.j = y.j)"
+    # a triad is intransitive when it has two-paths and none of them is closed
+    + ", cl AS (SELECT *, ab * bc * ac + ba * ac * bc + ac * cb * ab + ca * ab * cb + bc * ca * ba + cb * ba * ca AS closed, ab * bc + ba * ac + ac * cb + ca * ab + bc * ca + cb * ba AS two FROM tri)",
+    [r for b in ("esp", "dsp", "nsp") for k in ("OTP", "RTP") for r in (
+        [(f"{b}.{k}{x}", {"esp": f"SELECT count(*) FROM e LEFT JOIN {k.lower()} s ON e.src = s.i AND e.dst = s.j WHERE coalesce(s.sp, 0) = {x}",
+                          "dsp": f"SELECT 600 - count(*) FROM {k.lower()}" if x == 0 else f"SELECT count(*) FROM {k.lower()} WHERE sp = {x}",
+                          "nsp": f"SELECT 600 - (SELECT count(*) FROM e) - (SELECT count(*) FROM {k.lower()} s ANTI JOIN e ON e.src = s.i AND e.dst = s.j)" if x == 0 else f"SELECT count(*) FROM {k.lower()} s ANTI JOIN e ON e.src = s.i AND e.dst = s.j WHERE sp = {x}"}[b]) for x in range(3)]
+        + [(f"gw{b}.{k}.fixed.0.5", f"SELECT coalesce(sum({gw('sp')}), 0) FROM {k.lower()} s " + {"esp": "SEMI JOIN e ON e.src = s.i AND e.dst = s.j", "dsp": "", "nsp": "ANTI JOIN e ON e.src = s.i AND e.dst = s.j"}[b])])]
+    + [("odeg2to6", "SELECT count(*) FROM d WHERE o >= 2 AND o < 6"), ("ideg1+", "SELECT count(*) FROM d WHERE i >= 1"), ("idegree1.5", "SELECT sum(power(i, 1.5)) FROM d"), ("m2star", "SELECT count(*) FROM ways"),
+       ("intransitive", "SELECT count(*) FROM cl WHERE two > 0 AND closed = 0"),
+       ("nearsimmelian", "SELECT count(*) FROM tri WHERE p + q + r = 5"), ("nodeifactordistinct.region", "SELECT sum(z) FROM (SELECT count(DISTINCT sr) AS z FROM t GROUP BY dst)")],
+)
+
+stats(
+    "cosupply_names", tables.cosupply, "degcor+twopath",
+    COSUPPLY, [("degcor", "SELECT corr(x, y) FROM (SELECT sd AS x, dd AS y FROM t UNION ALL SELECT dd, sd FROM t)"), ("twopath", "SELECT sum(deg * (deg - 1) / 2) FROM d")],
+)
+
+stats(
+    "supplypart_names", tables.supplypart, "b1sociality(nodes=1:4)+b2sociality(nodes=2:5)+b2twostar('grp','grp')+coincidence(active=3)",
+    SUPPLYPART + ", k2 AS (SELECT t, g2, g1, count(*) AS k FROM j GROUP BY ALL)",
+    [],
+)
+# ids of coincidence and b2sociality follow the data: these statistics are set against whole tables of names and values
+_SUPPLY_NAMES = f"""WITH {SUPPLYPART}, k2 AS (SELECT t, g2, g1, count(*) AS k FROM j GROUP BY ALL), o1 AS (SELECT vid, deg, row_number() OVER (ORDER BY vid) AS r FROM v1), o2 AS (SELECT vid, deg, row_number() OVER (ORDER BY vid) AS r FROM v2)
+SELECT 'b1sociality' || r AS stat, CAST(deg AS DOUBLE) AS value FROM o1 WHERE r <= 4 UNION ALL SELECT 'b2sociality' || (r + (SELECT count(*) FROM v1)), CAST(deg AS DOUBLE) FROM o2 WHERE r BETWEEN 2 AND 5
+UNION ALL SELECT 'coincidence.' || a.r || '.' || b.r, CAST(p2.sp AS DOUBLE) FROM p2 JOIN o2 a ON a.vid = p2.i JOIN o2 b ON b.vid = p2.j WHERE p2.sp >= 3
+UNION ALL """ + " UNION ALL ".join(f"SELECT 'b2twostar.grp.{a}.grp.{x}.{y}', CAST(coalesce(sum({'p.k * (p.k - 1) / 2' if x == y else 'p.k * q.k'}), 0) AS DOUBLE) FROM k2 p JOIN k2 q ON p.t = q.t WHERE p.g2 = {a} AND p.g1 = {x} AND q.g1 = {y}" for y in range(3) for x in range(y + 1) for a in range(3))
+ORACLE_SQL["supplypart_names"] = _SUPPLY_NAMES
+
+# --- directed networks of two levels ------------------------------------------------------------------------------------------------
+
+_HALVES = f"""{TRADE}, h AS (SELECT vid, region % 2 AS h FROM v), lv AS (SELECT e.src, e.dst, x.h AS p, y.h AS q FROM e JOIN h x ON e.src = x.vid JOIN h y ON e.dst = y.vid),
+aa AS (SELECT src, dst FROM lv WHERE p = 0 AND q = 0), bb AS (SELECT src, dst FROM lv WHERE p = 1 AND q = 1), xx AS (SELECT src AS a, dst AS b FROM lv WHERE p = 0 AND q = 1),
+va AS (SELECT vid, (SELECT count(*) FROM aa WHERE src = vid) AS o, (SELECT count(*) FROM aa WHERE dst = vid) AS i, (SELECT count(*) FROM xx WHERE a = vid) AS x FROM h WHERE h = 0),
+vb AS (SELECT vid, (SELECT count(*) FROM bb WHERE src = vid) AS o, (SELECT count(*) FROM bb WHERE dst = vid) AS i, (SELECT count(*) FROM xx WHERE b = vid) AS x FROM h WHERE h = 1),
+ra AS (SELECT x.src, x.dst FROM aa x SEMI JOIN aa y ON x.src = y.dst AND x.dst = y.src), rb AS (SELECT x.src, x.dst FROM bb x SEMI JOIN bb y ON x.src = y.dst AND x.dst = y.src),
+sa AS (SELECT p.a AS src, q.a AS dst, count(*) AS sp FROM xx p JOIN xx q ON p.b = q.b AND p.a <> q.a GROUP BY ALL), sb AS (SELECT p.b AS src, q.b AS dst, count(*) AS sp FROM xx p JOIN xx q ON p.a = q.a AND p.b <> q.b GROUP BY ALL),
+xd AS (SELECT m.i AS ia, m.o AS oa, n.i AS ib, n.o AS ob FROM xx JOIN va m ON xx.a = m.vid JOIN vb n ON xx.b = n.vid)"""
+
+
+def _half(x: str) -> str:
+    return f"(2 * (1 - power(0.5, {x})))"
+
+
+def _c4(first: str, second: str, opposed: bool = False) -> str:
+    return f"SELECT count(*) FROM {first} t JOIN xx p ON p.a = t.src JOIN xx q ON q.a = t.dst JOIN {second} s ON s.src = {'q.b' if opposed else 'p.b'} AND s.dst = {'p.b' if opposed else 'q.b'}"
+
+
+_D2 = ".half.0.693147"
+_PLAIN = ["in2starax", "in2starbx", "out2starax", "out2starbx", "txaxarc", "txbxarc", "txaxreciprocity", "txbxreciprocity", "l3xax", "l3xbx", "l3xaxreciprocity", "l3xbxreciprocity", "l3axbin", "l3axbout", "l3axbpath", "l3bxapath", "c4axbentrainment", "c4axbexchange", "c4axbexchangeareciprocity", "c4axbexchangebreciprocity", "c4axbreciprocity"]
+_WITH_DECAY = ["axs1ain", "axs1bin", "axs1aout", "axs1bout", "aains1x", "abins1x", "aaouts1x", "abouts1x", "atxaxarc", "atxbxarc", "atxaxreciprocity", "atxbxreciprocity", "ainasxainbs", "ainasxaoutbs", "aoutasxainbs", "aoutasxaoutbs"]
+stats(
+    "multilevel_directed", tables.trade, "+".join(f"{t}('half')" for t in _PLAIN + _WITH_DECAY), _HALVES,
+    [r for m, l in (("A", "a"), ("B", "b")) for r in (
+        [(f"{w}2Star{m}X.half", f"SELECT sum({c} * x) FROM v{l}") for w, c in (("In", "i"), ("Out", "o"))]
+        + [(f"AXS1{m}{w}{_D2}", f"SELECT sum({c} * {_half('x')}) FROM v{l}") for w, c in (("in", "i"), ("out", "o"))] + [(f"A{m}{w}S1X{_D2}", f"SELECT sum({_half(c)} * x) FROM v{l}") for w, c in (("in", "i"), ("out", "o"))]
+        + [(f"TX{m}Xarc.half", f"SELECT coalesce(sum(sp), 0) FROM {l}{l} t JOIN s{l} s ON t.src = s.src AND t.dst = s.dst"), (f"TX{m}Xreciprocity.half", f"SELECT coalesce(sum(sp), 0) / 2 FROM r{l} t JOIN s{l} s ON t.src = s.src AND t.dst = s.dst")]
+        + [(f"ATX{m}Xarc{_D2}", f"SELECT coalesce(sum({_half('sp')}), 0) FROM {l}{l} t JOIN s{l} s ON t.src = s.src AND t.dst = s.dst"), (f"ATX{m}Xreciprocity{_D2}", f"SELECT coalesce(sum({_half('sp')}), 0) / 2 FROM r{l} t JOIN s{l} s ON t.src = s.src AND t.dst = s.dst")]
+        + [(f"L3X{m}X.half", f"SELECT sum(p.x * q.x) FROM {l}{l} t JOIN v{l} p ON t.src = p.vid JOIN v{l} q ON t.dst = q.vid"), (f"L3X{m}Xreciprocity.half", f"SELECT coalesce(sum(p.x * q.x), 0) / 2 FROM r{l} t JOIN v{l} p ON t.src = p.vid JOIN v{l} q ON t.dst = q.vid")])]
+    + [("L3AXBin.half", "SELECT sum(ia * ib) FROM xd"), ("L3AXBout.half", "SELECT sum(oa * ob) FROM xd"), ("L3AXBpath.half", "SELECT sum(ia * ob) FROM xd"), ("L3BXApath.half", "SELECT sum(oa * ib) FROM xd")]
+    + [("C4AXBentrainment.half", _c4("aa", "bb")), ("C4AXBexchange.half", _c4("aa", "bb", True)), ("C4AXBexchangeAreciprocity.half", _c4("ra", "bb")), ("C4AXBexchangeBreciprocity.half", _c4("aa", "rb")), ("C4AXBreciprocity.half", f"SELECT ({_c4('ra', 'rb')}) / 2")]
+    + [(f"A{p}ASXA{q}BS{_D2}", f"SELECT sum({_half(p[0] + 'a')} * {_half(q[0] + 'b')}) FROM xd") for p in ("in", "out") for q in ("in", "out")],
+)
+
+stats("multilevel_triangles", _two_levels, "exta('level')+extb('level')", LEVELS, [(f"EXT{m}.level", f"SELECT coalesce(sum(coalesce(a.k, 0) + coalesce(b.k, 0) + coalesce(c.k, 0)), 0) FROM e{l} p JOIN e{l} q ON p.v = q.u JOIN e{l} r ON r.u = p.u AND r.v = q.v LEFT JOIN x{l} a ON a.i = p.u LEFT JOIN x{l} b ON b.i = p.v LEFT JOIN x{l} c ON c.i = q.v") for m, l in (("A", "a"), ("B", "b"))])

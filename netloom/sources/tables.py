@@ -31,7 +31,7 @@ def trade_pairs(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str, most: int = 150) -> Network:
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("region"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("region"), (F.col("n_regionkey") % 2).alias("half"))
     return Network.from_tables(strongest(trade_pairs(spark, sf_dir), most), nation, weight="w", directed=True)
 
 

@@ -232,7 +232,7 @@ def test_directed_multilevel_terms(spark):
         "In2StarAX.l": ia @ xa, "In2StarBX.l": ib @ xb, "Out2StarAX.l": oa @ xa, "Out2StarBX.l": ob @ xb, "AXS1Ain.l" + d: ia @ g(xa), "AXS1Bout.l" + d: ob @ g(xb), "AAinS1X.l" + d: g(ia) @ xa, "ABoutS1X.l" + d: g(ob) @ xb,
         "TXAXarc.l": (a * (x @ x.T)).sum(), "TXBXreciprocity.l": (mb * (x.T @ x)).sum() / 2, "ATXAXreciprocity.l" + d: (ma * g(x @ x.T)).sum() / 2, "ATXBXarc.l" + d: (b * g(x.T @ x)).sum(), "L3XAXreciprocity.l": (ma * np.outer(xa, xa)).sum() / 2,
         "L3AXBin.l": (x * np.outer(ia, ib)).sum(), "L3AXBout.l": (x * np.outer(oa, ob)).sum(), "L3AXBpath.l": (x * np.outer(ia, ob)).sum(), "L3BXApath.l": (x * np.outer(oa, ib)).sum(),
-        "C4AXBentrainment.l": (a * (x @ b @ x.T)).sum(), "C4AXBexchange.l": (a * (x @ b.T @ x.T)).sum(), "C4AXBexchangeAreciprocity.l": (ma * (x @ b @ x.T)).sum() / 2, "C4AXBexchangeBreciprocity.l": (a * (x @ mb @ x.T)).sum(), "C4AXBreciprocity.l": (ma * (x @ mb @ x.T)).sum() / 2,
+        "C4AXBentrainment.l": (a * (x @ b @ x.T)).sum(), "C4AXBexchange.l": (a * (x @ b.T @ x.T)).sum(), "C4AXBexchangeAreciprocity.l": (ma * (x @ b @ x.T)).sum(), "C4AXBexchangeBreciprocity.l": (a * (x @ mb @ x.T)).sum(), "C4AXBreciprocity.l": (ma * (x @ mb @ x.T)).sum() / 2,
         "AinASXAinBS.l" + d: (x * np.outer(g(ia), g(ib))).sum(), "AoutASXAinBS.l" + d: (x * np.outer(g(oa), g(ib))).sum(),
     }
     got = stats(net, "+".join(f"{k.split('.')[0].lower()}('l')" for k in want))
@@ -334,3 +334,43 @@ def test_tables_by_class_equal_tables_by_dyad(spark, directed):
     xs = [f"x{k}" for k in range(len(names))]
     want = pseudolikelihood.design(net, formula)[0].groupBy(*xs, "y").count()
     assert {tuple(r[c] for c in [*xs, "y"]): r["n"] for r in rows.collect()} == {tuple(r[c] for c in [*xs, "y"]): r["count"] for r in want.collect()}
+
+
+def test_observed_frees_missing_dyads_only(spark):
+    from netloom.plans import constraints
+
+    e = spark.createDataFrame([(0, 1, False), (1, 2, True), (3, 2, True), (0, 3, False)], "src long, dst long, na boolean")
+    v = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(5)], "key long, g string")
+    net = Network.from_tables(e, v, missing="na")
+    free = lambda c: sorted((r["src"], r["dst"]) for r in constraints.free_dyads(net, c)(net.dyad_frame()).collect())
+    assert free("~observed") == [(1, 2), (2, 3)]
+    assert len(free("~.")) == 8
+    assert free("~observed+blockdiag('g')") == []
+
+
+def test_vertices_are_numbered_alike_by_a_window_and_by_ranges(spark, monkeypatch):
+    from netloom import network as module
+
+    rng = np.random.default_rng(31)
+    rows = [(int(rng.integers(3)), int(k)) for k in rng.permutation(400)]
+    v = spark.createDataFrame(rows, "net long, key long").repartition(5)
+    e = v.limit(0).selectExpr("net", "key AS src", "key AS dst")
+    one = {(r["net"], r["key"]): r["vid"] for r in Network.from_tables(e, v, net="net").vertices.collect()}
+    monkeypatch.setattr(module, "ONE_WINDOW", -1)
+    other = {(r["net"], r["key"]): r["vid"] for r in Network.from_tables(e, v, net="net").vertices.collect()}
+    assert one == other and len(one) == 400
+    for k in range(3):
+        mine = sorted((key, vid) for (n, key), vid in one.items() if n == k)
+        assert [vid for _, vid in mine] == list(range(len(mine)))
+
+
+def test_held_networks_are_bounded(spark, monkeypatch):
+    from netloom import network as module
+
+    monkeypatch.setattr(module, "HOLDING", 2)
+    nets = [network(spark, [(0, 1), (1, 2)], 4 + k) for k in range(4)]
+    frames = [net.held() for net in nets]
+    assert len(module._holding) == 2 and not frames[0].vertices.is_cached and frames[3].vertices.is_cached
+    assert [stats(net, "edges")["edges"] for net in nets] == [2.0] * 4
+    for net in nets:
+        net.release()
