@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.formula import Binary, Formula, FormulaError, Name, Term, parse
-from netloom.functions.numbers import label
+from netloom.functions.numbers import geometric, label
 from netloom.network import Network
 from netloom.operators.terms import Context
 from netloom.plans.summary import condition, expand, text_of, wide
@@ -184,3 +184,64 @@ def twostar_layers(net: Network, layers: DataFrame, one: str, other: str, type:
     same = a.join(b, (a["net"] == b["net"]) & (a["v"] == b["v"]) & (a["x"] == b["y"])).groupBy(a["net"]).agg(F.count("*").alias("same"))
     got = net.graphs.select("net").join(total, "net", "left").join(same, "net", "left").na.fill(0)
     return got.select("net", (F.col("all") - (F.col("same") if distinct else 0)).cast("double").alias("value"))
+
+
+def shared_layers(net: Network, layers: DataFrame, kind: str, d: list[int] | None = None, decay: float | None = None, *, type: str = "OTP", base: str | None = None, path: list[str] | None = None, in_order: bool = False, mode: int | None = None) -> DataFrame:
+    """(net, stat, value): shared partners across layers, espL, dspL, nspL and, with `decay`, their geometric sums.
+
+    A partner of i and j has its two ties in the path layers, one in each, in either order unless `in_order`; the base layer
+    ties i and j (esp), does not (nsp), or is not asked (dsp). With `mode`, pairs of one mode of a bipartite network.
+    """
+    if kind not in ("esp", "dsp", "nsp") or (d is None) == (decay is None):
+        raise FormulaError("esp, dsp or nsp, with counts or a decay")
+    if path is None and base is None:
+        raise FormulaError("a base layer or path layers are needed")
+    path = [base, base] if path is None else path * 2 if len(path) == 1 else path
+    base = None if kind == "dsp" else base or path[0]
+    if type not in ("OTP", "ITP", "OSP", "ISP"):
+        raise FormulaError(f"no two-paths {type!r} across layers")
+    undirected = not net.directed
+
+    def arcs(name: str, reverse: bool) -> DataFrame:
+        t = layers.where(F.col("layer") == name).select("net", "src", "dst").distinct()
+        back = t.select("net", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return t.unionByName(back).distinct() if undirected else back if reverse else t
+
+    first = type in ("ITP", "ISP")  # the tie at i is read backwards
+    second = type in ("ITP", "OSP")
+    ways = [(path[0], path[1])] if in_order and not undirected or path[0] == path[1] else [(path[0], path[1]), (path[1], path[0])]
+    found = None
+    for a, b in ways:
+        x = arcs(a, first).select("net", F.col("src").alias("i"), F.col("dst").alias("k"))
+        y = arcs(b, second).select("net", F.col("src").alias("k"), F.col("dst").alias("j"))
+        got = x.join(y, ["net", "k"]).where("i < j" if undirected else "i != j").select("net", "i", "j", "k")
+        found = got if found is None else found.unionByName(got)
+    pairs = (found.distinct() if len(ways) > 1 else found).groupBy("net", "i", "j").agg(F.count("*").alias("sp"))
+    if mode is not None:
+        pairs = pairs.join(net.vertices.where(F.col("mode") == mode).select("net", F.col("vid").alias("i")), ["net", "i"], "left_semi")
+    ties = None
+    if base is not None:
+        ties = layers.where(F.col("layer") == base).select("net", *([F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")] if undirected else [F.col("src").alias("i"), F.col("dst").alias("j")])).distinct().withColumn("y", F.lit(1))
+        pairs = pairs.join(ties, ["net", "i", "j"], "full").na.fill(0, ["sp", "y"])
+    else:
+        pairs = pairs.withColumn("y", F.lit(0))
+    where = {"esp": F.col("y") == 1, "dsp": F.lit(True), "nsp": F.col("y") == 0}[kind]
+    label = ",".join(dict.fromkeys(path))
+    tag = f".{type}" if net.directed else ""
+    name = kind if mode is None else f"b{mode}dsp"
+    wrap = f"L(pth=({label}),bse={base or ''},inord={'' if mode else 'TRUE' if in_order else 'FALSE'})~"
+    one = lambda c: F.sum(F.when(where & c, 1).otherwise(0)).cast("double")
+    if decay is not None:
+        cells = [(f"{wrap}gw{name}{tag}.fixed.{float(decay):g}", F.sum(F.when(where, geometric(F.col("sp"), float(decay))).otherwise(0.0)))]
+    else:
+        cells = [(f"{wrap}{name}{tag}{x}", one(F.col("sp") == x)) for x in d]
+    some = pairs.groupBy("net").agg(*[c.alias(f"c{k}") for k, (_, c) in enumerate(cells)], one(F.lit(True)).alias("_some"), F.sum("y").cast("double").alias("_ties"), F.sum((F.col("sp") > 0).cast("long") * F.when(where, 1).otherwise(0)).cast("double").alias("_with"))
+    out = net.graphs.select("net", "n", *(["n1"] if net.bipartite else [])).join(some, "net", "left").na.fill(0.0)
+    total = net.dyads() if mode is None else (lambda m: m * (m - 1) / 2)(F.col("n1") if mode == 1 else F.col("n") - F.col("n1"))
+    rows = []
+    for k, (title, _) in enumerate(cells):
+        value = F.col(f"c{k}")
+        if decay is None and d[k] == 0 and kind != "esp":  # pairs that nothing names, by complement
+            value = total - (F.col("_ties") if kind == "nsp" else F.lit(0.0)) - F.col("_with")
+        rows.append(F.struct(F.lit(title).alias("stat"), value.cast("double").alias("value")))
+    return out.select("net", F.explode(F.array(*rows)).alias("r")).select("net", "r.stat", "r.value")

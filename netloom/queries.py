@@ -510,7 +510,7 @@ stats(
 
 stats(
     "cosupply_names", tables.cosupply, "degcor+twopath",
-    COSUPPLY, [("degcor", "SELECT corr(x, y) FROM (SELECT sd AS x, dd AS y FROM t UNION ALL SELECT dd, sd FROM t)"), ("twopath", "SELECT sum(deg * (deg - 1) / 2) FROM d")],
+    COSUPPLY, [("degcor", "SELECT CASE WHEN var_pop(x) > 0 THEN corr(x, y) ELSE 0 END FROM (SELECT sd AS x, dd AS y FROM t UNION ALL SELECT dd, sd FROM t)"), ("twopath", "SELECT sum(deg * (deg - 1) / 2) FROM d")],
 )
 
 stats(
@@ -561,3 +561,70 @@ stats(
 )
 
 stats("multilevel_triangles", _two_levels, "exta('level')+extb('level')", LEVELS, [(f"EXT{m}.level", f"SELECT coalesce(sum(coalesce(a.k, 0) + coalesce(b.k, 0) + coalesce(c.k, 0)), 0) FROM e{l} p JOIN e{l} q ON p.v = q.u JOIN e{l} r ON r.u = p.u AND r.v = q.v LEFT JOIN x{l} a ON a.i = p.u LEFT JOIN x{l} b ON b.i = p.v LEFT JOIN x{l} c ON c.i = q.v") for m, l in (("A", "a"), ("B", "b"))])
+
+
+# --- ages, layers: the terms that no query above names --------------------------------------------------------------------------------
+
+
+def trade_age_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages of trade ties against covariates, mixing types, levels, degree ranges and the changes of dyadic terms."""
+    net, aged = tables.trade(spark, sf_dir), ages.tie_ages(_yearly(spark, sf_dir))
+    far = _covariates(spark, sf_dir)["far"]
+    parts = [ages.covariate_ages(aged, far, "far"), ages.covariate_ages(aged, far, "far", log=True).where("stat like 'mean%'"), ages.mixing_mean_age(aged, net.vertices, "half"), ages.mixing_mean_age(aged, net.vertices, "half", log=True), ages.factor_mean_age(aged, net.vertices, "region", levels=[1, 3, 9], empty=-1.0)]
+    parts += [ages.degree_range_mean_age(aged, [(0, 10), (10, 14), (14, None), (90, None)]), ages.edge_ages_of(net, aged, "edges+nodematch('region')+absdiff('region')")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.col("t").cast("long").alias("t"), "stat", F.round("value", 6).alias("value"))
+
+
+QUERIES["trade_age_terms"] = trade_age_terms
+_AGED = {
+    "edgecov.ages.far": "SELECT t, sum(x * age) AS value FROM w GROUP BY t", "mean.age.far": "SELECT t, sum(x * age) / CAST(sum(x) AS DOUBLE) FROM w GROUP BY t", "mean.log.age.far": "SELECT t, sum(x * ln(age)) / sum(x) FROM w GROUP BY t",
+    **{f"nodemix.mean.{lg}age.half.{r}.{c}": f"SELECT t, coalesce(avg({'ln(age)' if lg else 'age'}) FILTER (p % 2 = {r} AND q % 2 = {c}), 0) FROM w GROUP BY t" for lg in ("", "log.") for r in (0, 1) for c in (0, 1)},
+    **{f"nodefactor.mean.age.region.{k}": f"SELECT t, coalesce(avg(age) FILTER (g = {k}), -1) FROM z GROUP BY t" for k in (1, 3, 9)},
+    **{f"deg{lo}{f'to{hi}' if hi else '+'}.mean.age": f"SELECT t, coalesce(avg(age) FILTER (k >= {lo} AND k < {hi or 1000}), 0) FROM z GROUP BY t" for lo, hi in ((0, 10), (10, 14), (14, None), (90, None))},
+    "EdgeAges~edges": "SELECT t, sum(age) FROM w GROUP BY t", "EdgeAges~nodematch.region": "SELECT t, sum(age * (p = q)::INT) FROM w GROUP BY t", "EdgeAges~absdiff.region": "SELECT t, sum(age * abs(p - q)) FROM w GROUP BY t",
+}
+ORACLE_SQL["trade_age_terms"] = f"""WITH {SERIES}, {_AGES}, w AS (SELECT a.t, a.src, a.dst, age, m.n_regionkey AS p, n.n_regionkey AS q, abs(m.n_regionkey - n.n_regionkey) + m.n_nationkey % 3 AS x FROM a JOIN nation m ON a.src = m.n_nationkey JOIN nation n ON a.dst = n.n_nationkey),
+y AS (SELECT t, src AS vid, p AS g, age FROM w UNION ALL SELECT t, dst, q, age FROM w), z AS (SELECT *, count(*) OVER (PARTITION BY t, vid) AS k FROM y)
+SELECT CAST(t AS BIGINT) AS t, stat, round(CAST(value AS DOUBLE), 6) AS value FROM (""" + " UNION ALL ".join(f"SELECT t, '{n}' AS stat, value FROM ({sql.replace(' FROM', ' AS value FROM', 1) if ' AS value' not in sql else sql})" for n, sql in _AGED.items()) + ")"
+
+
+def trade_layer_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared partners across the layers of return flags."""
+    net, layers = tables.trade(spark, sf_dir), _flag_layers(spark, sf_dir)
+    parts = [combined.shared_layers(net, layers, kind, [0, 1, 2], type=t, base="N", path=["A", "R"], in_order=o) for kind in ("esp", "dsp", "nsp") for t, o in (("OTP", False), ("OTP", True), ("OSP", False))]
+    parts += [combined.shared_layers(net, layers, kind, decay=0.5, type=t, base="N", path=["A"]) for kind in ("esp", "dsp", "nsp") for t in ("ITP", "ISP")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.select("stat", F.round("value", 6).alias("value"))
+
+
+QUERIES["trade_layer_partners"] = trade_layer_partners
+
+
+def _layer_pairs(first: str, second: str, kind: str, in_order: bool) -> str:
+    """Pairs with their shared partners: i - k in one layer, k - j in the other."""
+    x, y = {"OTP": ("src AS i, dst AS k", "src AS k, dst AS j"), "ITP": ("dst AS i, src AS k", "dst AS k, src AS j"), "OSP": ("src AS i, dst AS k", "dst AS k, src AS j"), "ISP": ("dst AS i, src AS k", "src AS k, dst AS j")}[kind]
+    ways = [(first, second)] if in_order or first == second else [(first, second), (second, first)]
+    rows = " UNION ".join(f"SELECT x.i, y.j, x.k FROM (SELECT {x} FROM k WHERE f = '{a}') x JOIN (SELECT {y} FROM k WHERE f = '{b}') y ON x.k = y.k WHERE x.i <> y.j" for a, b in ways)
+    return f"(SELECT i, j, count(*) AS sp FROM ({rows}) GROUP BY i, j)"
+
+
+_BASE = "(SELECT src, dst FROM k WHERE f = 'N')"
+
+
+def _layer_count(kind: str, pairs: str, x: int) -> str:
+    if kind == "esp":
+        return f"SELECT count(*) FROM {_BASE} e LEFT JOIN {pairs} s ON e.src = s.i AND e.dst = s.j WHERE coalesce(s.sp, 0) = {x}"
+    rest = "" if kind == "dsp" else f" ANTI JOIN {_BASE} e ON e.src = s.i AND e.dst = s.j"
+    if x:
+        return f"SELECT count(*) FROM {pairs} s{rest} WHERE sp = {x}"
+    return f"SELECT 600 - {'0' if kind == 'dsp' else f'(SELECT count(*) FROM {_BASE})'} - (SELECT count(*) FROM {pairs} s{rest})"
+
+
+_LAYER_ROWS = [(f"L(pth=(A,R),bse={'' if kind == 'dsp' else 'N'},inord={'TRUE' if o else 'FALSE'})~{kind}.{t}{x}", _layer_count(kind, _layer_pairs("A", "R", t, o), x)) for kind in ("esp", "dsp", "nsp") for t, o in (("OTP", False), ("OTP", True), ("OSP", False)) for x in (0, 1, 2)]
+_LAYER_ROWS += [(f"L(pth=(A),bse={'' if kind == 'dsp' else 'N'},inord=FALSE)~gw{kind}.{t}.fixed.0.5", f"SELECT coalesce(sum({gw('sp')}), 0) FROM {_layer_pairs('A', 'A', t, False)} s" + {"esp": f" SEMI JOIN {_BASE} e ON e.src = s.i AND e.dst = s.j", "dsp": "", "nsp": f" ANTI JOIN {_BASE} e ON e.src = s.i AND e.dst = s.j"}[kind]) for kind in ("esp", "dsp", "nsp") for t in ("ITP", "ISP")]
+ORACLE_SQL["trade_layer_partners"] = f"WITH {_LAY} " + " UNION ALL ".join(f"SELECT '{n}' AS stat, round(CAST(({sql}) AS DOUBLE), 6) AS value" for n, sql in _LAYER_ROWS)
