@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,14 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="netloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from netloom.sources.kept import shared_dir
 
 
 def keep(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
@@ -32,7 +24,8 @@ def keep(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python a thousand at a time at most: batches stay a few MB on both sides."""
+    """Whole texts go to Python a thousand at a time at most: batches stay a few MB on both sides. The setting is the session's,
+    as the plan reads it when it runs; it is only ever lowered."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
@@ -84,8 +77,3 @@ def with_bases(kept: DataFrame, value: str | None) -> DataFrame:
         total += row["n"]
     lookup = spark.createDataFrame(bases or [(0, 0)], "_part int, _base long")
     return kept.join(F.broadcast(lookup), "_part").withColumn("before", F.col("_local") + F.col("_base")).drop("_part", "_local", "_base")
-
-
-def size_of(path_df: DataFrame) -> int:
-    """Catalyst's own estimate of a frame's bytes."""
-    return int(str(path_df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

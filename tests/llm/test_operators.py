@@ -752,3 +752,18 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert {1, 6} <= docs and 5 not in docs and 2 not in docs and (out.doc_id.isna()).sum() == 1
         assert len(docs & {3, 4}) == 1 and (out.doc_id == 1).sum() == 1
         assert len(docs & {100 + k for k in range(80) if k % 4 == 0}) == 0
+
+
+@pytest.mark.parametrize("name", ["licence_base_phrases", "document_edits", "shard_balance"])
+def test_parts_equal_their_twins(spark, name):
+    import duckdb
+
+    from netloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    got, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
