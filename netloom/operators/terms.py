@@ -151,6 +151,14 @@ def term(*names: str):
     return add
 
 
+def register_term(name: str, make: Callable) -> None:
+    """A term of one's own: make(ctx, name, *args, **kwargs) gives its statistics as Stat, from parts over shared frames
+    (tie_part, vertex_part, pair_part or a Part of its own); dyadic() makes one that a dyad's attributes decide."""
+    if name in TERMS:
+        raise FormulaError(f"there is a term {name!r} already")
+    TERMS[name] = make
+
+
 def directed_only(ctx: Context, name: str, wanted: bool = True) -> None:
     if ctx.net.directed != wanted:
         raise NetworkError(f"{name} is for {'directed' if wanted else 'undirected'} networks")

@@ -60,13 +60,13 @@ def geweke(x: np.ndarray, first: float = 0.1, last: float = 0.5) -> float:
     return float((a.mean() - b.mean()) / se) if se else 0.0
 
 
-def mcmle(net: Network, formula: str, init: list[float] | None = None, *, nsim: int = 512, burnin: int = 4000, interval: int = 400, chains: int = 4, iterations: int = 30, seed: int = 1) -> MonteCarloFit:
+def mcmle(net: Network, formula: str, init: list[float] | None = None, *, target: list[float] | None = None, nsim: int = 512, burnin: int = 4000, interval: int = 400, chains: int = 4, iterations: int = 30, seed: int = 1) -> MonteCarloFit:
     """Each iteration is one Spark job of `chains` tasks; the step is the log-normal approximation's, shortened while the
     target is far outside of the sample, and the search ends when the means can't be told from the target."""
     obs = {r["stat"]: r["value"] for r in summary_stats(net, formula).collect()}
     theta = np.array(init if init is not None else pseudolikelihood.fit(net, formula).coef, float)
     names = list(obs)
-    target = np.array([obs[n] for n in names])
+    target = np.array([obs[n] for n in names] if target is None else target, float)
     converged, calm = False, 0
     for turn in range(1, iterations + 1):
         drawn = simulate(net, formula, theta.tolist(), nsim, burnin=burnin, interval=interval, chains=chains, seed=seed * 1000 + turn).toPandas()

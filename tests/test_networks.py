@@ -374,3 +374,85 @@ def test_held_networks_are_bounded(spark, monkeypatch):
     assert [stats(net, "edges")["edges"] for net in nets] == [2.0] * 4
     for net in nets:
         net.release()
+
+
+GRAPHML = """<?xml version="1.0" encoding="UTF-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+  <key id="n0" for="node" attr.name="name" attr.type="string"/>
+  <key id="n1" for="node" attr.name="wealth" attr.type="double"><default>1.5</default></key>
+  <key id="e0" for="edge" attr.name="na" attr.type="boolean"/>
+  <graph id="G" edgedefault="undirected">
+    <node id="a"><data key="n0">Ann</data><data key="n1">3</data></node>
+    <node id="b"><data key="n0">Bob &amp; co</data></node>
+    <node id="c"/>
+    <edge source="a" target="b"/>
+    <edge source="c" target="b"><data key="e0">true</data></edge>
+  </graph>
+</graphml>
+"""
+
+
+def test_networks_from_files(spark, tmp_path):
+    from netloom.sources import files
+
+    path = tmp_path / "x.graphml"
+    path.write_text(GRAPHML)
+    net = files.read_graphml(spark, str(path))
+    assert not net.directed and {r["key"]: (r["name"], r["wealth"]) for r in net.vertices.collect()} == {"a": ("Ann", 3.0), "b": ("Bob & co", 1.5), "c": (None, 1.5)}
+    assert stats(net, "edges+nodecov('wealth')") == {"edges": 1.0, "nodecov.wealth": 4.5} and net.missing_dyads().count() == 1
+    (tmp_path / "t.csv").write_text("from,to\n1,2\n2,3\n3,1\n")
+    (tmp_path / "v.csv").write_text("id,g\n1,x\n2,x\n3,y\n4,y\n")
+    net = files.read_tables(spark, str(tmp_path / "t.csv"), str(tmp_path / "v.csv"), src="from", dst="to", key="id", directed=True)
+    assert stats(net, "edges+ctriple+nodematch('g')") == {"edges": 3.0, "ctriple": 1.0, "nodematch.g": 1.0}
+    files.write_tables(net, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "edges")).count() == 3
+
+
+def test_a_term_of_ones_own(spark):
+    from pyspark.sql import functions as F
+
+    from netloom.operators import terms
+
+    def make(ctx, name, attr):
+        return [terms.dyadic(f"{name}.{attr}", terms.s(attr) * terms.d(attr), attr)]
+
+    terms.register_term("productof", make)
+    try:
+        net = network(spark, [(0, 1), (1, 2), (2, 4)], 5)
+        assert stats(net, "productof('x')")["productof.x"] == 0 * 1 + 1 * 4 + 4 * (16 % 7)
+        with pytest.raises(FormulaError):
+            terms.register_term("edges", make)
+    finally:
+        del terms.TERMS["productof"]
+    assert F is not None
+
+
+def test_bridge_log_likelihood_is_that_of_enumeration(spark):
+    from netloom.plans.ergm import bridge_loglik, ergm
+
+    n, ties = 4, [(0, 1), (1, 2), (0, 2)]
+    net = network(spark, ties, n)
+    pairs = list(itertools.combinations(range(n), 2))
+
+    def count(edges):
+        e = set(edges)
+        return np.array([len(e), sum({(a, b), (a, c), (b, c)} <= e for a, b, c in itertools.combinations(range(n), 3))], float)
+
+    every = np.array([count([p for k, p in enumerate(pairs) if bits >> k & 1]) for bits in range(1 << len(pairs))])
+    theta = np.array([-0.5, 0.6])
+    want = float(count(ties) @ theta - np.log(np.exp(every @ theta).sum()))
+    got = bridge_loglik(net, "edges+triangle", theta, bridges=4, nsim=400, burnin=500, interval=30)
+    assert abs(got - want) < 0.15
+    exact = ergm(net, "edges+nodecov('x')")
+    assert exact.exact and exact.dyads == 6
+
+
+def test_goodness_of_fit_of_draws(spark):
+    from netloom.plans.ergm import gof as check
+
+    net = network(spark, [(0, 1), (1, 2), (2, 3), (4, 5)], 7)
+    got = check(net, "edges", [-1.4], 40, burnin=300, interval=60, chains=2).toPandas()
+    assert set(got.statistic) == {"degree", "espartners", "distance", "model"} and got.p.between(0, 1).all()
+    edges = got[got.statistic == "model"].iloc[0]
+    assert edges.obs == 4 and abs(edges["mean"] - 21 / (1 + math.exp(1.4))) < 1.5 and edges.p > 0.1
+    assert abs(got[got.statistic == "degree"].obs.sum() - 7) < 1e-9 and abs(got[got.statistic == "degree"]["mean"].sum() - 7) < 1e-9
