@@ -3,6 +3,10 @@
 A chain is sequential, so parallelism is across chains: each is a row of a DataFrame, walked inside mapInPandas over
 adjacency sets with the change of every statistic updated per toggle. What a chain needs (dyad-independent changes,
 starting ties) is broadcast; a network whose dyads exceed `most` is refused, as its chain does not fit a task.
+
+Constraints: those on dyads leave all but the free ones alone; bd(maxout, maxin, minout, minin) refuses toggles past its
+bounds; edges keeps the number of ties, moving one at a time; degrees keeps every vertex's degrees (in and out), by
+swapping the far ends of two ties (directed networks can't turn a three-cycle round by such swaps).
 """
 
 from __future__ import annotations
@@ -65,8 +69,8 @@ def _kernel(term: Term, directed: bool):
     return None
 
 
-def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *, burnin: int = 10_000, interval: int = 1000, chains: int = 4, seed: int = 0, most: int = 4_000_000, ties: bool = False) -> DataFrame:
-    """(sim, stat, value), or with ties=True (sim, src, dst): draws of one network's model at the given coefficients."""
+def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *, burnin: int = 10_000, interval: int = 1000, chains: int = 4, seed: int = 0, most: int = 4_000_000, ties: bool = False, constraints: str | None = None, data: dict | None = None) -> DataFrame:
+    """(sim, stat, value), or with ties=True (sim, src, dst): draws of one network's model at the given coefficients, under constraints."""
     spark = net.vertices.sparkSession
     net = net.held()
     (row,) = net.graphs.collect() if net.graphs.count() == 1 else (None,)
@@ -101,10 +105,11 @@ def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *,
     theta = np.array(coef, float)
     if len(theta) != len(names):
         raise NetworkError(f"{len(names)} coefficients are needed: {names}")
-    state = spark.sparkContext.broadcast((fixed, start))
+    kind, bounds, free = _constrained(net, constraints, data, n)
+    state = spark.sparkContext.broadcast((fixed, start, free))
 
     def walk(batches):
-        fixed, start = state.value
+        fixed, start, free = state.value
         moving = [(k, f) for k, f in enumerate(kernels) if f is not None]
         constant = [(k, m) for k, m in enumerate(fixed) if m is not None]
         for batch in batches:
@@ -144,7 +149,60 @@ def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *,
                     add(i, j)
                 dyads = n * (n - 1) if directed else n * (n - 1) // 2
 
-                def step():
+                def past(i, j, here):
+                    """Whether the toggle would leave the bounds of degrees."""
+                    o, n_ = len(out[i]), len(inn[j])
+                    if here:
+                        return o <= bounds["minout"] or n_ <= bounds["minin"]
+                    return o >= bounds["maxout"] or n_ >= bounds["maxin"]
+
+                def traded(old, new):
+                    """The ties `old` for `new`, if the model accepts it."""
+                    nonlocal value
+                    x = np.zeros(len(names))
+                    for i, j in old:
+                        drop(i, j)
+                        x -= change(i, j)
+                    for i, j in new:
+                        x += change(i, j)
+                        add(i, j)
+                    if math.log(rng.random()) < float(x @ theta):
+                        value = value + x
+                        return
+                    for i, j in new:
+                        drop(i, j)
+                    for i, j in old:
+                        add(i, j)
+
+                def settle(i, j):
+                    return (i, j) if directed or i < j else (j, i)
+
+                def move():
+                    """A tie goes to a dyad without one."""
+                    if not 0 < len(edges) < dyads:
+                        return
+                    i, j = edges[int(rng.integers(len(edges)))]
+                    k, m = int(rng.integers(n)), int(rng.integers(n - 1))
+                    k, m = settle(k, m + (m >= k))
+                    if (k, m) in place or free is not None and not (free[i, j] and free[k, m]):
+                        return
+                    traded([(i, j)], [(k, m)])
+
+                def swap():
+                    """Two ties trade their far ends."""
+                    if len(edges) < 2:
+                        return
+                    (a, b), (c, d) = (edges[int(rng.integers(len(edges)))] for _ in range(2))
+                    if not directed and rng.random() < 0.5:
+                        c, d = d, c
+                    if a == d or c == b:
+                        return
+                    old, new = [settle(a, b), settle(c, d)], [settle(a, d), settle(c, b)]
+                    if old[0] == old[1] or new[0] == new[1] or any(e in place for e in new) or free is not None and not all(free[e] for e in old + new):
+                        return
+                    traded(old, new)
+
+                def toggle():
                     nonlocal value
                     ties_now = len(edges)
                     if ties_now and rng.random() < 0.5:  # tie or no tie: half of the proposals pick a tie
@@ -155,6 +213,8 @@ def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *,
                         if not directed and i > j:
                             i, j = j, i
                     here = (i, j) in place
+                    if free is not None and not free[i, j] or bounds and past(i, j, here):
+                        return
                     if here:
                         drop(i, j)
                     x = change(i, j)
@@ -172,6 +232,7 @@ def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *,
                     elif here:
                         add(i, j)
 
+                step = {"toggle": toggle, "edges": move, "degrees": swap}[kind]
                 for _ in range(burnin):
                     step()
                 for d in range(int(draws)):
@@ -194,6 +255,34 @@ def simulate(net: Network, formula: str, coef: list[float], nsim: int = 100, *,
     return plan.mapInPandas(walk, "sim long, src long, dst long" if ties else "sim long, stat string, value double")
 
 
+def _constrained(net: Network, constraints: str | None, data: dict | None, n: int) -> tuple[str, dict, np.ndarray | None]:
+    """How a chain moves, the bounds of degrees, and which dyads are free (None: all)."""
+    from netloom.plans.constraints import free_dyads
+
+    kind, bounds, rest = "toggle", {}, []
+    for t in [Term(t.text) if isinstance(t, Name) else t for _, t in parse(constraints).terms] if constraints else []:
+        name = t.name.lower()
+        if name in ("edges", "degrees", "nodedegrees"):
+            kind = "degrees" if kind == "degrees" or name != "edges" else "edges"
+        elif name == "bd":
+            order = ("maxout", "maxin", "minout", "minin")
+            given = dict(zip(order, t.args)) | t.kwargs
+            bounds = {k: float(given[k]) if given.get(k) is not None else -math.inf if k.startswith("min") else math.inf for k in order}
+            if not net.directed:  # one degree: the bounds of both kinds hold
+                bounds["maxout"] = bounds["maxin"] = min(bounds["maxout"], bounds["maxin"])
+                bounds["minout"] = bounds["minin"] = max(bounds["minout"], bounds["minin"])
+        elif name != ".":
+            rest.append(_text(t))
+    if bounds and kind != "toggle":
+        raise NetworkError("bd goes with toggles only")
+    free = None
+    if rest or net.missing_dyads().limit(1).count():
+        some = free_dyads(net, "+".join(rest) if rest else "~.", data)(net.dyad_frame()).select("src", "dst").toPandas()
+        free = np.zeros((n, n), bool)
+        free[some["src"], some["dst"]] = True
+    return kind, bounds, free
+
+
 def expand_one(t: Term, net: Network) -> list:
     from netloom.formula import Formula
 

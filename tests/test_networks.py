@@ -456,3 +456,32 @@ def test_goodness_of_fit_of_draws(spark):
     edges = got[got.statistic == "model"].iloc[0]
     assert edges.obs == 4 and abs(edges["mean"] - 21 / (1 + math.exp(1.4))) < 1.5 and edges.p > 0.1
     assert abs(got[got.statistic == "degree"].obs.sum() - 7) < 1e-9 and abs(got[got.statistic == "degree"]["mean"].sum() - 7) < 1e-9
+
+
+def test_constrained_chains_keep_what_they_must(spark):
+    from netloom.plans.sampling import simulate
+
+    n, ties = 6, [(0, 1), (1, 2), (0, 2), (3, 4), (2, 5)]
+    net = network(spark, ties, n)
+    pairs = list(itertools.combinations(range(n), 2))
+
+    def degrees(edges):
+        return tuple(sum(v in e for e in edges) for v in range(n))
+
+    def triangles(edges):
+        e = set(edges)
+        return sum({(a, b), (a, c), (b, c)} <= e for a, b, c in itertools.combinations(range(n), 3))
+
+    def draws(constraints, **more):
+        got = simulate(net, "edges+triangle", [0.0, 0.7], 400, burnin=300, interval=40, chains=4, ties=True, constraints=constraints, **more).toPandas()
+        return [[(int(i), int(j)) for i, j in zip(g.src, g.dst)] for _, g in got.groupby("sim")]
+
+    same = [list(c) for c in itertools.combinations(pairs, len(ties))]
+    for constraints, keeps in (("~edges", lambda e: True), ("~degrees", lambda e: degrees(e) == degrees(ties))):
+        got = draws(constraints)
+        assert all(len(e) == len(ties) and keeps(e) for e in got)
+        t = np.array([triangles(e) for e in same if keeps(e)])
+        want = (t * np.exp(0.7 * t)).sum() / np.exp(0.7 * t).sum()
+        assert abs(np.mean([triangles(e) for e in got]) - want) < 0.12, constraints
+    assert all(max(degrees(e)) <= 2 for e in draws("~bd(maxout=2)")[50:])
+    assert all(((i % 2) == (j % 2)) or (i, j) in ties for e in draws("~blockdiag('g')") for i, j in e)
