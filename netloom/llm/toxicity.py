@@ -43,6 +43,8 @@ ORDER, DECAY, SCREEN = 3, 0.85, 0.55
 SAMPLE, LANDMARKS, LETTERS = 2000, 64, 24
 #: The kernel is the mean of the subsequence kernel and of this power of it, which tells near words apart.
 SHARP = 4
+#: How many toxic rows that stay are as bad as another row that is rejected.
+ALARM = 1.25
 #: Words of a text whose margins are looked at.
 WORST = 2
 #: Words whose scores a worker remembers.
@@ -64,21 +66,29 @@ def pieces(text: str) -> list[str]:
 
 
 class _Table(dict):
-    """Letters as numbers below 256, for str.translate: a-z 1 to 26, accents aside; others in the classes behind; other marks fall away."""
+    """Letters as numbers below 254, for str.translate: a-z 1 to 26, accents aside; others in the classes behind; other marks fall away."""
+
+    def __init__(self, instead: dict[str, str]):
+        self.instead = instead
 
     def __missing__(self, point: int):
-        c = _LEET.get(chr(point), chr(point))
+        c = self.instead.get(chr(point), chr(point))
         plain = unicodedata.normalize("NFKD", c)[:1]
         self[point] = got = chr(ord(plain) - 96) if "a" <= plain <= "z" else chr(27 + point % 227) if c.isalnum() else None
         return got
 
 
-_table = _Table()
+_table, _numbers = _Table(_LEET), _Table({})
+_digits = re.compile(r"[0-9]")
 
 
 def codes(word: str) -> bytes:
-    """A word's letters between marks for its two ends, which count as letters."""
-    letters = _edges.sub("", word).translate(_table).encode("latin-1")
+    """A word's letters between marks for its two ends, which count as letters. Figures stand for letters where they are
+    fewer than twice the letters; else they are a number's."""
+    word = _edges.sub("", word)
+    figures = len(_digits.findall(word))
+    table = _table if 3 * figures < 2 * len(word) else _numbers
+    letters = word.translate(table).encode("latin-1")
     return _FIRST + letters + _LAST if letters else b""
 
 
@@ -312,7 +322,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: np.ndarray, marks: int = LAN
         ratio = 2 * (c * np.log(c / ((c + d) * p)) + (d * np.log(d / ((c + d) * (1 - p))) if d else 0.0))
         if c / n1 > 5 * d / n0:
             ratios[s] = ratio
-    least = stands_out(len(ratios))
+    least = stands_out(len(seen[1]))  # every word of toxic rows has been looked at
     if ratios and max(ratios.values()) <= least:  # too few rows for any word to stand out: the best are taken as they are
         least = 0.999 * max(ratios.values())
     excess = {s: ratio for s, ratio in ratios.items() if ratio > least}
@@ -421,7 +431,7 @@ def curve(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
         return w
     z = x @ w[:-1]
     order = np.argsort(z, kind="stable")
-    z, y, cost = z[order], y[order], cost[order]
+    z, y, cost = z[order], y[order], (cost * np.where(y > 0, 1.0, ALARM))[order]
     wrong = np.concatenate(([(cost * (1 - y)).sum()], (cost * (1 - y)).sum() + np.cumsum(cost * np.where(y > 0, 1, -1))))  # with the first k below
     open_ = np.concatenate(([True], z[1:] > z[:-1], [True]))
     k = int(np.flatnonzero(open_)[np.argmin(wrong[open_])])

@@ -114,6 +114,12 @@ def test_scores_are_those_of_whole_texts(machine):
     assert rng is not None
 
 
+def test_numbers_are_not_words_in_figures(machine):
+    made = machine[0]
+    assert toxicity.codes("1d10t") == toxicity.codes("idiot") and toxicity.codes("z1010") != toxicity.codes("zioio")
+    assert made.scores([" ".join(f"z{k} {k}" for k in range(30_000))])[0] < 0.5 <= made.scores(["you 1d10t"])[0]
+
+
 def test_long_words_and_landmarks_are_whole():
     word = "".join("abcdefghij"[k * 7 % 10] for k in range(90))
     cut = toxicity.parts(toxicity.codes(word))
