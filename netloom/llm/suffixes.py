@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -477,16 +478,21 @@ def verified(df: DataFrame) -> DataFrame:
     """Segments with their bytes meet under (v, s): all that are byte by byte the first of them go (kind 0), the first stays (kind 1)."""
 
     def judge(batches):
-        now, own = None, b""
+        last, own = None, None  # v, s and bytes of the row before
         for batch in batches:
-            kind = np.zeros(batch.num_rows, np.int32)
-            body = batch.column("bytes").to_pylist()
-            for k, key in enumerate(zip(batch.column("v").to_pylist(), batch.column("s").to_pylist())):
-                if key != now:
-                    now, own, kind[k] = key, body[k], 1
-                elif body[k] != own:  # nothing is removed or kept on a guess
-                    raise RuntimeError("two different strings have one hash of 128 bits")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind)], names=[*batch.schema.names, "kind"])
+            if not batch.num_rows:
+                continue
+            v, s, body = batch.column("v").to_numpy(), batch.column("s").to_numpy(), batch.column("bytes")
+            like = np.zeros(batch.num_rows, bool)  # under the same hashes as the row before
+            like[1:] = (v[1:] == v[:-1]) & (s[1:] == s[:-1])
+            like[0] = last == (v[0], s[0])
+            same = np.zeros(batch.num_rows, bool)
+            same[1:] = pc.equal(body.slice(1), body.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            same[0] = like[0] and body[0].as_py() == own
+            if (like & ~same).any():  # nothing is removed or kept on a guess
+                raise RuntimeError("two different strings have one hash of 128 bits")
+            last, own = (v[-1], s[-1]), body[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((~like).astype(np.int32))], names=[*batch.schema.names, "kind"])
 
     rows = df.select("v", "s", "rid", "start", "n", "bytes")
     return rows.repartition("v", "s").sortWithinPartitions("v", "s", "rid", "start").mapInArrow(judge, f"{SEGMENT}, bytes binary, kind int")
