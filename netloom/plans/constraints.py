@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.formula import Formula, FormulaError, Name, Term, parse
@@ -34,6 +34,21 @@ def _changing(net: Network, frame: DataFrame, formula: Formula):
     return frame.withColumn("_hit", hit)
 
 
+def _sees(direction: str, s, d):
+    """Whether the ego of an egocentric design sees a dyad."""
+    s, d = s.cast("boolean"), d.cast("boolean")
+    return {"both": s | d, "out": s, "in": d}[direction]
+
+
+def _fixed_cells(net: Network, t: Term, attr: str) -> list[tuple]:
+    """Pairs of levels whose dyads blocks() fixes; undirected dyads have them in both orders."""
+    levels = Context(net, {}).levels(attr)
+    cells = [(r, c) for c in range(len(levels)) for r in range(len(levels)) if net.directed or net.bipartite or r <= c]
+    wanted = t.kwargs.get("levels2", t.args[1] if len(t.args) > 1 else False)
+    fixed = [(levels[r], levels[c]) for r, c in ([cells[k] for k in choose(cells, wanted)] if wanted is not False else [])]
+    return fixed if net.directed or net.bipartite else list(dict.fromkeys([*fixed, *((c, r) for r, c in fixed)]))
+
+
 def _listed(frame: DataFrame, net: Network, dyads: DataFrame, how: str) -> DataFrame:
     d = dyads if "net" in dyads.columns else net.graphs.select("net").join(dyads)
     d = d.select("net", "src", "dst")
@@ -44,7 +59,7 @@ def _listed(frame: DataFrame, net: Network, dyads: DataFrame, how: str) -> DataF
 
 def free_dyads(net: Network, constraints: str, data: dict[str, DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
     """A function from the dyad frame to its free part: blockdiag(attr), blocks(attr, levels2), Dyads(fix, vary), fixedas(present,
-    absent), fixallbut(free), observed (missing dyads only) and egocentric(attr, direction). Degree-preserving constraints leave no dyad free."""
+    absent), fixallbut(free), observed (missing dyads only) and egocentric(attr, direction). Degree-preserving constraints leave no dyad free. Its `by_class` is what by_class() gives."""
     data = data or {}
     parsed = [Term(t.text) if isinstance(t, Name) else t for _, t in parse(constraints).terms]
 
@@ -56,16 +71,9 @@ def free_dyads(net: Network, constraints: str, data: dict[str, DataFrame] | None
             return _values(net, frame, attr_name(t.args[0])).where("_s = _d").select(*columns)
         if name == "blocks":
             attr = attr_name(t.args[0])
-            levels = Context(net, {}).levels(attr)
-            cells = [(r, c) for c in range(len(levels)) for r in range(len(levels)) if net.directed or net.bipartite or r <= c]
-            wanted = t.kwargs.get("levels2", t.args[1] if len(t.args) > 1 else False)
-            fixed = [cells[k] for k in choose(cells, wanted)] if wanted is not False else []
             got, gone = _values(net, frame, attr), F.lit(False)
-            for r, c in fixed:
-                hit = (F.col("_s") == levels[r]) & (F.col("_d") == levels[c])
-                if not net.directed and not net.bipartite:
-                    hit = hit | ((F.col("_s") == levels[c]) & (F.col("_d") == levels[r]))
-                gone = gone | hit
+            for r, c in _fixed_cells(net, t, attr):
+                gone = gone | ((F.col("_s") == r) & (F.col("_d") == c))
             return got.where(~gone).select(*columns)
         if name == "dyads":
             fix, vary = t.kwargs.get("fix", t.args[0] if t.args else None), t.kwargs.get("vary")
@@ -84,8 +92,7 @@ def free_dyads(net: Network, constraints: str, data: dict[str, DataFrame] | None
         if name == "egocentric":
             attr, direction = attr_name(t.args[0]), t.kwargs.get("direction", "both")
             got = _values(net, frame, attr)
-            sees = {"both": F.col("_s").cast("boolean") | F.col("_d").cast("boolean"), "out": F.col("_s").cast("boolean"), "in": F.col("_d").cast("boolean")}[direction]
-            return got.where(sees).select(*columns)
+            return got.where(_sees(direction, F.col("_s"), F.col("_d"))).select(*columns)
         raise FormulaError(f"no constraint {t.name!r} on dyads")
 
     def free(frame: DataFrame) -> DataFrame:
@@ -95,4 +102,31 @@ def free_dyads(net: Network, constraints: str, data: dict[str, DataFrame] | None
             frame = one(frame, t)
         return frame
 
+    free.by_class = by_class(net, parsed)
     return free
+
+
+def by_class(net: Network, parsed: list[Term]) -> tuple[list[str], Column] | None:
+    """The attributes of both ends that decide whether a dyad is free, and the condition over them as s_... and d_...; None where
+    the constraints look at more than attributes."""
+    attrs, condition = [], F.lit(True)
+    for t in parsed:
+        name = t.name.lower()
+        if name == ".":
+            continue
+        if name not in ("blockdiag", "blocks", "egocentric"):
+            return None
+        attr = attr_name(t.args[0])
+        s, d = F.col(f"`s_{attr}`"), F.col(f"`d_{attr}`")
+        if name == "blockdiag":
+            condition = condition & (s == d)
+        elif name == "blocks":
+            for r, c in _fixed_cells(net, t, attr):
+                condition = condition & ~((s == r) & (d == c))
+        else:
+            direction = t.kwargs.get("direction", "both")
+            if direction != "both" and not net.directed and not net.bipartite:
+                return None  # which end is src is not the attribute's to say
+            condition = condition & _sees(direction, s, d)
+        attrs.append(attr)
+    return list(dict.fromkeys(attrs)), condition
