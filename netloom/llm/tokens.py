@@ -213,7 +213,10 @@ def flat(table: pa.Table, column: str) -> pa.Array:
     return got.cast(pa.string()) if pa.types.is_large_string(got.type) else got
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, share: float = 1.0) -> Encoder:
+    """The worker's encoder; `share` of what a worker may remember, where memory is needed beside it."""
     if path not in _open:
         _open[path] = Encoder(path)
-    return _open[path]
+    made = _open[path]
+    made.pieces.most, made.parts.most = int(share * REMEMBERED), int(share * REMEMBERED_PARTS)
+    return made
