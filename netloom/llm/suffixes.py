@@ -524,7 +524,7 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
         for columns in _pieces(batches, length, gram):
             yield _batch(SEGMENT, *columns)
 
-    found = common.keep(resolve(texts.mapInArrow(send, SEGMENT), crowd), "segments")
+    found = common.keep(resolve(texts.mapInArrow(send, SEGMENT), crowd), "segments", compression="zstd")
     asked = found.where("kind >= 0").groupBy("rid").agg(F.collect_list(F.struct("v", "s", "start", "n", "kind", "copied")).alias("asked"))
     schema = f"{FOUND}, bytes binary"
 
@@ -540,7 +540,8 @@ def ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
             rid = batch.column("rid").take(pa.array(own))
             yield pa.RecordBatch.from_arrays([flat.field("v"), flat.field("s"), rid, flat.field("start"), flat.field("n"), flat.field("kind"), flat.field("copied"), pa.array(body, pa.binary())], names=["v", "s", "rid", "start", "n", "kind", "copied", "bytes"])
 
-    pieces = common.keep(texts.join(common.keep(asked, "asked"), "rid").select("rid", "text", "asked").mapInArrow(cut, schema), "pieces")
+    # the lists go into the join as they are grouped: writing them would hold every segment twice, and deal them by rid again
+    pieces = common.keep(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(cut, schema), "pieces", compression="zstd")
 
     def sort(batches):
         v_of, groups, size = None, [], 0

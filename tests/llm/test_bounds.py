@@ -15,3 +15,18 @@ def test_token_files_leave_room_for_the_writer():
             assert len(made.pieces.new) <= 4 + 60
     finally:
         assert tokens.encoder(path).pieces.most == tokens.REMEMBERED
+
+
+def test_repeated_strings_write_each_segment_once(spark):
+    from pathlib import Path
+
+    from netloom.llm import suffixes
+    from netloom.sources.kept import shared_dir
+
+    from ..conftest import SF
+
+    folder = Path(shared_dir(spark)) / "netloom"
+    before = set(folder.glob("*"))
+    suffixes.digests(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    new = sorted(p.name.split("-")[0] for p in set(folder.glob("*")) - before)
+    assert "segments" in new and "pieces" in new and "asked" not in new
