@@ -11,9 +11,9 @@ them stays. A row with a null doc_id is a document like any other, and of rows t
 down to nothing stays, with an empty text. Texts of any length are worked on whole. Without documents there are no rows;
 without labels nothing is toxic, without benchmark items nothing is contaminated.
 
-near_duplicates takes the components, and the dealing of what shares a key, from the SimHash operator, but not its
-fingerprints as candidates: two texts of similarity 0.8 differ in about 10 of 64 bits, at which no block index is
-selective, so least hashes of the shingles name the candidates (see netloom/llm/near.py and the README).
+near_duplicates takes its candidates from the SimHash operator's Gray-order hierarchy: fingerprints of 256 bits, since two
+texts of similarity 0.8 differ in about 10 of 64, at which no block index is selective. An exact check of the shingle sets
+follows (see netloom/llm/near.py and the README).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from netloom.llm import common, decontaminate, near, packing, suffixes, toxicity
 
+#: Of the pieces that a worker remembers for packing: the stages before leave less memory than op1 has.
+SHARE = 0.6
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -54,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, share=SHARE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,15 +1,16 @@
 """Near copies by shared five-word shingles: rows whose sets of shingles have a Jaccard similarity of LIKE or more.
 
-A radius of SimHash bits that holds nearly all pairs of similarity 0.8 (24 of 64) is no index: two texts without a word in
-common differ in 32 bits on average, so a few in a hundred of all pairs would be candidates. Candidates come from least
-hashes instead: BANDS bands of ROWS each, which a pair of similarity 0.8 misses once in eight million. Rows that share a
-band are joined into loose groups, and only inside a loose group the shingle sets are set against each other, exactly:
+Candidates come from SimHash and its Gray-order hierarchy (simhash.wide_links). 64 bits are too few here: at a radius that holds
+nearly all pairs of similarity 0.8 (24 of 64) a few in a hundred of all pairs would be candidates. A set of shingles has 256 bits
+instead, of which two sets of that similarity differ in 39 with a deviation of 5.8; the radius of 68 bits is 5 deviations
+above, and unrelated sets lie 7 deviations beyond it. What is within the radius is
+joined into loose groups, and only inside a loose group the shingle sets are set against each other, exactly:
 rarest shingles first, each set names its candidates by the prefix that two sets of that similarity must share, and the
 sizes of their intersections are counted. A pair that is linked already is passed over, so a cluster gives a tree of links.
 A loose group above BLOCK bytes of text is cut into blocks, and every two blocks meet in a task: bounded memory, no pair
 left out.
 
-White space and letters are those of simhash.fingerprint; a text of fewer words is one shingle, a null or empty one has none
+White space and letters are those of simhash.fingerprint, but a shingle counts once; a text of fewer words is one shingle, a null or empty one has none
 and is a copy of other empty ones.
 """
 
@@ -26,10 +27,9 @@ from . import common, simhash
 WORDS = 5
 #: Similarity from which two texts are near copies, as a fraction.
 LIKE = (4, 5)
-BANDS, ROWS, SEED = 40, 5, 42
+SEED = 42
 #: Bytes of text of a loose group that one task takes from one side.
 BLOCK = 16 << 20
-_turns = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -45,16 +45,6 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last.tolist())], np.uint64))
 
 
-def bands(some: np.ndarray) -> np.ndarray:
-    """A number for each band: of the least hashes in it, and of its place."""
-    least = np.full(len(_turns), 0xFFFFFFFF, np.uint32)
-    short = (some >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 256):
-        np.minimum(least, (_turns[:, None] * short[None, at : at + 256]).min(axis=1), out=least)
-    rows = np.ascontiguousarray(least).view(np.uint8).reshape(BANDS, -1)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
-
-
 def linked(sets: list[np.ndarray], like: tuple[int, int] = LIKE, side: np.ndarray | None = None) -> np.ndarray:
     """For each set (sorted, different numbers) the first one of its component; with `side`, only sets of different sides are compared."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -109,27 +99,26 @@ def linked(sets: list[np.ndarray], like: tuple[int, int] = LIKE, side: np.ndarra
 def components(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rid, component) of each of `rows` (rid, text; rid tells rows apart): component is the least rid that links reach."""
 
+    prints = [f"f{k}" for k in range(simhash.WIDE)]
+
     def sketch(batches):
         for batch in batches:
-            high, low, size, keys = [], [], [], []
+            high, low, size, words = [], [], [], []
             for t in batch.column("text").to_pylist():
                 some = shingles(t)
                 digest = xxhash.xxh3_128_digest(some.tobytes())
                 high.append(int.from_bytes(digest[:8], "little", signed=True))
                 low.append(int.from_bytes(digest[8:], "little", signed=True))
                 size.append(len(t))
-                keys.append(bands(some) if len(some) else np.zeros(0, np.int64))
-            edges = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), lists], names=["rid", "high", "low", "size", "bands"])
+                words.append(simhash.wide(some).view(np.int64).tolist() if len(some) else [None] * simhash.WIDE)
+            made = [pa.array(x, pa.int64()) for x in (high, low, size, *([w[k] for w in words] for k in range(simhash.WIDE)))]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), *made], names=["rid", "high", "low", "size", *prints])
 
     plain = common.plain(rows, "rid", "text")
-    made = common.keep(plain.mapInArrow(sketch, "rid long, high long, low long, size long, bands array<long>"), "sketches")
+    made = common.keep(plain.mapInArrow(common.frugal(sketch), ", ".join(f"{c} long" for c in ("rid", "high", "low", "size", *prints))), "sketches")
     least = common.keep(made.groupBy("high", "low").agg(F.min("rid").alias("node")), "sets")  # equal sets meet in one row
-    alone = made.join(least.select(F.col("node").alias("rid")), "rid", "left_semi")
-    dealt = alone.select(F.col("rid").alias("b"), F.explode("bands").alias("band"))
-    lead = dealt.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    loose = common.keep(simhash.components(dealt.join(lead, "band").where("a != b").select("a", "b").distinct()), "loose")
+    alone = made.join(least.select(F.col("node").alias("rid")), "rid", "left_semi").where("f0 is not null")
+    loose = common.keep(simhash.components(simhash.wide_links(alone.select(F.col("rid").alias("node"), *prints))), "loose")
     members = loose.join(made.select(F.col("rid").alias("node"), "size"), "node")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks"))
     members = members.join(blocks, "root").select("root", F.col("node").alias("rid"), F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("side"), "blocks")
@@ -158,7 +147,7 @@ def components(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 sets.append(shingles(text))
         yield from links()
 
-    found = texts.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "rid").mapInArrow(join, "a long, b long")
+    found = texts.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "rid").mapInArrow(common.frugal(join), "a long, b long")
     joined = simhash.components(found)
     named = least.join(joined, "node", "left").select("high", "low", F.coalesce("root", "node").alias("component"))
     return made.select("rid", "high", "low").join(named, ["high", "low"]).select("rid", "component")

@@ -93,12 +93,12 @@ def places(histogram: dict[int, int], bins: list[tuple[dict[int, int], int]]) ->
     return dict(zip(("rank", "times", "first", "offset", "length"), table.T))
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Token counts and checksums of every document, cut into pieces of `capacity` where it is longer; the first may be shorter."""
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, share: float = 1.0) -> DataFrame:
+    """Token counts and checksums of every document, cut into pieces of `capacity` where it is longer; the first may be shorter. `share`: see tokens.encoder."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, share).encode
         for table in tokens.gathered(batches):
             rows = []
             for doc, data in zip(tokens.flat(table, "doc_id").to_pylist(), encode(tokens.flat(table, "text"))):
@@ -113,10 +113,10 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
     return common.plain(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, PIECES)
 
 
-def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, share: float = 1.0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece's sequence and place there."""
     path = path or tokens.vocabulary()
-    cut = common.keep(pieces(df, path, capacity, end_id), "pieces")  # written first: dealing by range would tokenise twice, once for its sample
+    cut = common.keep(pieces(df, path, capacity, end_id, share), "pieces")  # written first: dealing by range would tokenise twice, once for its sample
     ranked = common.in_order(cut, ["length", "doc_id", "piece", "ids_crc32"], name="ranked")
     histogram = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}
     where = places(histogram, plan(histogram, capacity))

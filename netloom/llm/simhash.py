@@ -12,6 +12,11 @@ already, so that a group of near copies gives a tree of links and not all pairs.
 take another exact way: every fingerprint names all points within half the radius, and those that name one point are
 linked to the smallest that names it, which Spark combines before it shuffles.
 
+Wide fingerprints (`wide`, `wide_links`) are for radii at which 64 bits tell nothing: WIDE words of 64 bits, of which two
+sets of similarity 0.8 differ in about 39 of 256 and unrelated ones in 128. No block set of a useful size catches every pair within
+such a radius, so these are filed by each of FILES blocks of six bits, and a file with many fingerprints is dealt further by as many
+draws of bits as a pair at the radius needs; the Gray-order hierarchy joins every group that comes of it.
+
 Components come from contracting the links round by round in the cluster; nothing is collected. Nulls and empty texts
 have fingerprint zero and are linked like any other; repeated rows share a fingerprint; an empty table gives no rows;
 extra columns are ignored. component_id is the smallest doc_id that links reach.
@@ -34,6 +39,12 @@ WORDS, RADIUS, SEED = 4, 4, 42
 CROWD = 200_000
 #: Children of a node of the hierarchy, leaves and nodes.
 LEAVES, FAN = 8, 4
+#: Wide fingerprints: words of 64 bits, and the blocks of BLOCK bits by which they are filed, a whole number of them in each word.
+WIDE, FILES, BLOCK = 4, 40, 6
+WIDE_RADIUS = 68
+#: Rows of a file that one task takes, and rows that go through a forest together.
+WIDE_CROWD, SPAN = 1 << 17, 1 << 15
+_turns = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE * 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -62,6 +73,32 @@ def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
     return common.plain(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(make, "doc_id long, fp long")
 
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words of a set of 64-bit hashes: each hash votes on each bit with a weight between -128 and 127 of its own.
+
+    Weights instead of single bits leave no ties, so that sets of few shingles differ in no more bits than large ones.
+    """
+    votes = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * _turns[None, :]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        votes += x.view(np.int8).sum(axis=0, dtype=np.int32)
+    return np.packbits(votes > 0, bitorder="little").view("<u8")
+
+
+def differing(x: np.ndarray) -> np.ndarray:
+    """How many bits are set in each row of words."""
+    many = np.bitwise_count(x)
+    if x.ndim == 1:
+        return many
+    total = many[:, 0].astype(np.uint16)
+    for k in range(1, x.shape[1]):
+        total += many[:, k]
+    return total
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each number in the reflected Gray order: the running parity of its bits from the top."""
     x = x.copy()
@@ -70,6 +107,34 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(fps: np.ndarray) -> np.ndarray:
+    """The order of rows of several words, the last column the highest, in the reflected Gray order."""
+    ranks, odd = [], np.zeros(len(fps), np.uint64)
+    for k in range(fps.shape[1] - 1, -1, -1):
+        ranks.append(gray_rank(fps[:, k]) ^ odd)
+        odd = np.uint64(0) - (ranks[-1] & np.uint64(1))  # the parity so far turns all bits below
+    return np.lexsort(ranks[::-1])
+
+
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Link a to b in `parent`, which leads every place to the least one of its component."""
+
+    def root(x: np.ndarray) -> np.ndarray:
+        while True:
+            up = parent[x]
+            if np.array_equal(up, x):
+                return x
+            x = up
+
+    while len(a):
+        a, b = root(a), root(b)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if len(a):
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+    parent[:] = root(parent)
+
+
 class Forest:
     """Groups of fingerprints, each Gray-sorted under a tree whose nodes hold what bits all leaves below share.
 
@@ -79,7 +144,8 @@ class Forest:
     """
 
     def __init__(self, fps: np.ndarray, group: np.ndarray):
-        order = np.lexsort((gray_rank(fps), group))
+        """Rows of one word each in any order, or of several words that stand by group and in Gray order already."""
+        order = np.lexsort((gray_rank(fps), group)) if fps.ndim == 1 else np.arange(len(fps))
         self.order, self.fps = order, fps[order]
         group = group[order]
         self.levels = [(self.fps, self.fps)]  # bits set in all leaves below, in any of them
@@ -106,25 +172,12 @@ class Forest:
         n = len(self.fps)
         parent = np.arange(n)
 
-        def root(x: np.ndarray) -> np.ndarray:
-            while True:
-                up = parent[x]
-                if np.array_equal(up, x):
-                    return x
-                x = up
-
         def union(a: np.ndarray, b: np.ndarray) -> None:
-            while len(a):
-                a, b = root(a), root(b)
-                apart = a != b
-                a, b = a[apart], b[apart]
-                if len(a):
-                    np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            parent[:] = root(parent)
+            unite(parent, a, b)
 
         for step in (1, 2, 3, 5, 8):  # neighbours in the order first: most links of a cluster are there
             if step < n:
-                near = np.flatnonzero((self.group[0][step:] == self.group[0][:-step]) & (np.bitwise_count(self.fps[step:] ^ self.fps[:-step]) <= radius))
+                near = np.flatnonzero((self.group[0][step:] == self.group[0][:-step]) & (differing(self.fps[step:] ^ self.fps[:-step]) <= radius))
                 union(near, near + step)
         top = len(self.levels) - 1
         if not top:
@@ -140,7 +193,7 @@ class Forest:
                 continue
             low, high = self.levels[level]
             share = ~(low[a] ^ high[a]) & ~(low[b] ^ high[b])  # bits that are constant below both
-            near = np.bitwise_count((low[a] ^ low[b]) & share) <= radius
+            near = differing((low[a] ^ low[b]) & share) <= radius
             self.tally["compared" if level == 0 else "seen"] += len(a)
             self.tally["pruned"] += 0 if level == 0 else int(len(a) - near.sum())
             a, b = a[near], b[near]
@@ -244,6 +297,98 @@ def balls(fps: DataFrame, radius: int) -> DataFrame:
     return named.join(least, "point").select("a", F.col("fp").alias("b")).where("a != b").where(near if radius % 2 == 0 else F.lit(True))
 
 
+def draws(size: int) -> np.ndarray:
+    """Places of bits, one row for each draw, by which a file of `size` fingerprints is dealt into groups of about eight.
+
+    The bits are counted from the file's own block on, so that a row means other bits in each file. A pair that differs in
+    58 of 256 bits, 3.3 deviations above what similarity 0.8 makes, meets in eight groups on average.
+    """
+    k = min(max(0, int(size - 1).bit_length() - 3), 20) if size > 64 else 0
+    many = int(np.ceil(8 / (FILES * (198 / 256) ** (BLOCK + k)))) if k else 1
+    rng = np.random.default_rng([SEED, k])
+    return np.array([rng.choice(FILES * BLOCK - BLOCK, k, replace=False) + BLOCK for _ in range(many)], np.int64).reshape(many, k)
+
+
+def wide_joined(fps: np.ndarray, file: np.ndarray, start: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places of two rows) inside each file of wide fingerprints: `file` names each row's, `start` its block."""
+    order = gray_order(fps)
+    fps, (_, own, sizes) = fps[order], np.unique(file[order], return_inverse=True, return_counts=True)
+    start, parent = start[order], np.arange(len(fps))
+    depth = np.array([int(n - 1).bit_length() if n > 64 else 0 for n in sizes], np.int64)[own]
+    for d in np.unique(depth):
+        rows = np.flatnonzero(depth == d)
+        places = draws(1 << int(d))
+        planes = np.zeros((0, len(rows)), np.uint8)
+        if d:
+            bits = np.unpackbits(fps[rows].view(np.uint8).reshape(len(rows), WIDE, 8), axis=2, bitorder="little")[:, :, : FILES // WIDE * BLOCK].reshape(len(rows), -1)
+            for k in np.unique(start[rows]):
+                here = start[rows] == k
+                bits[here] = np.roll(bits[here], -BLOCK * int(k), axis=1)
+            planes = np.ascontiguousarray(bits.T)
+        for draw in places:
+            key = own[rows].astype(np.int64)
+            for at in draw:
+                key = (key << 1) | planes[at]
+            key = (key << 20) | np.arange(len(rows))
+            key.sort()
+            group = key >> 20
+            same = np.flatnonzero(group[1:] == group[:-1])
+            several = np.zeros(len(rows), bool)
+            several[same] = several[same + 1] = True
+            met = rows[key[several] & ((1 << 20) - 1)]
+            first = Forest(fps[met], group[several]).linked(radius)
+            moved = np.flatnonzero(first != np.arange(len(first)))
+            unite(parent, met[first[moved]], met[moved])
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return order[parent[moved]], order[moved]
+
+
+def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, crowd: int = WIDE_CROWD) -> DataFrame:
+    """(a, b): links between the `nodes` (node, f0, f1, ...: their wide fingerprints) that join what is within `radius` bits."""
+    words = [f"f{k}" for k in range(WIDE)]
+    per = FILES // WIDE
+    blocks = [F.shiftright(words[k // per], BLOCK * (k % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)) for k in range(FILES)]
+    keyed = nodes.select("node", *words, F.posexplode(F.array(*blocks)).alias("set", "bits"))
+    keyed = keyed.select((F.col("set") * F.lit(1 << BLOCK) + F.col("bits")).cast("int").alias("file"), "node", *words)
+    sizes = keyed.groupBy("file").agg(F.count("*").alias("n")).where(f"n > {crowd}").collect()  # one row for each of 2560 files at most
+    if sizes:  # blocks of such a file, every two of which meet in a task
+        many = nodes.sparkSession.createDataFrame([(r["file"], -(-2 * r["n"] // crowd)) for r in sizes], "file int, blocks int")
+        keyed = keyed.join(F.broadcast(many), "file", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        keyed = keyed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keyed = keyed.where("blocks = 1 or side != other").select("file", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", *words)
+    else:
+        keyed = keyed.select("file", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", *words)
+
+    def join(batches):
+        held: list[np.ndarray] = []
+        rows = 0
+        for batch in batches:
+            table = np.stack([batch.column(k).to_numpy().astype(np.int64, copy=False) for k in range(batch.num_columns)], axis=1)
+            if not len(table):
+                continue
+            name = table[:, :3]
+            cut = np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1
+            if held and (name[0] != held[-1][-1, :3]).any():
+                cut = np.concatenate(([0], cut))
+            held.append(table)
+            rows += len(table)
+            if rows >= SPAN and len(cut):  # the last file may go on in the next batch
+                held[-1] = table[: cut[-1]]
+                yield from pairs(np.concatenate(held))
+                held = [table[cut[-1] :]]
+                rows = len(held[0])
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    def pairs(table):
+        name = table[:, :3]
+        file = np.concatenate(([0], np.cumsum((name[1:] != name[:-1]).any(axis=1))))
+        a, b = wide_joined(np.ascontiguousarray(table[:, 4:]).view(np.uint64), file, table[:, 0] >> BLOCK, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(table[a, 3]), pa.array(table[b, 3])], names=["a", "b"])
+
+    return keyed.repartition("file", "x", "y").sortWithinPartitions("file", "x", "y", "node").mapInArrow(common.frugal(join), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node that links reach.
 

@@ -682,4 +682,4 @@ def rows_kept(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     joined = rows.join(gone, "rid", "left").withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType))
-    return joined.select(*df.columns, "gone").mapInArrow(cut, schema)
+    return joined.select(*df.columns, "gone").mapInArrow(common.frugal(cut), schema)
