@@ -35,20 +35,19 @@ class Memory:
 
     def get(self, keys: list[str], learn) -> list:
         """The values of `keys`, which are all different; learn(missing) gives those of new ones."""
-        new, old = self.new, self.old
+        new = self.new
         found = list(map(new.get, keys))
         gaps = [k for k, x in enumerate(found) if x is None]
-        fresh = []
-        for k in gaps:
-            x = old.get(keys[k])
-            if x is None:
-                fresh.append(k)
-            else:
-                found[k] = new[keys[k]] = x
-        if fresh:
-            missing = [keys[k] for k in fresh]
-            for k, key, x in zip(fresh, missing, learn(missing)):
-                found[k] = new[key] = x
+        if gaps:
+            missing = [keys[k] for k in gaps]
+            values = list(map(self.old.get, missing))
+            fresh = [key for key, x in zip(missing, values) if x is None]
+            if fresh:
+                learnt = iter(learn(fresh))
+                values = [next(learnt) if x is None else x for x in values]
+            new.update(zip(missing, values))
+            for k, x in zip(gaps, values):
+                found[k] = x
         return found
 
 
@@ -74,6 +73,7 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.letters = self.byte_letters()
+        self.inside = {b: letter for b, letter in self.letters.items() if b != 10}
         self.long = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size(with_added_tokens=True))])
         self.pieces, self.parts, self.heads = Memory(REMEMBERED), Memory(REMEMBERED_PARTS), Memory(50_000)
         self.split = None
@@ -106,8 +106,14 @@ class Encoder:
     def learn(self, pieces: list[str]) -> list:
         """The ids of a space and the piece; False for a piece that touches other white space."""
         out: dict[str, bytes | bool] = {}
+        words = [p for p in pieces if p.isalpha()]  # a pre-token each
+        if not _common_letters.match("".join(words)):
+            words = [p for p in words if _common_letters.match(p)]
+        out.update(zip(words, self.learn_words(words)))
         clean, rare = [], []
         for p in pieces:
+            if p in out:
+                continue
             if not p or p[0].isspace() or p[-1].isspace():
                 out[p] = False
             else:
@@ -132,14 +138,24 @@ class Encoder:
         spelt = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
         out: list[bytes] = []
         for at in range(0, len(spelt), 5000):
-            group = spelt[at : at + 5000]
-            got = self.model.encode_batch_fast(["\n".join(group)], add_special_tokens=False)[0]
-            ids = np.array(got.ids, "<u4")
-            data, ends = ids.tobytes(), np.cumsum(self.long[ids])  # tokens spell their words letter by letter
-            bounds = np.searchsorted(ends, np.cumsum([0, *map(len, group)]), "right") * 4
-            out.extend(map(data.__getitem__, map(slice, bounds[:-1].tolist(), bounds[1:].tolist())))
+            out += self.modelled("\n".join(spelt[at : at + 5000]))
         return out
 
+    def learn_words(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and the word, for words of letters only: they are spelt together, as no letter is a line's end."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 5000):
+            lines = " " + "\n ".join(words[at : at + 5000])
+            out += self.modelled(lines.encode().decode("latin-1").translate(self.inside))
+        return out
+
+    def modelled(self, lines: str) -> list[bytes]:
+        """The ids of each line of byte letters."""
+        ids = np.array(self.model.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
+        data, ends = ids.tobytes(), np.cumsum(self.long[ids])  # tokens spell their words letter by letter
+        bounds = (np.searchsorted(ends, np.cumsum([0, *map(len, lines.split("\n"))]), "right") * 4).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def encode(self, texts) -> list[bytes]:
         """`texts`: a list, or an Arrow array of strings without nulls."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
